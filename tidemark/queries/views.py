@@ -151,3 +151,24 @@ shipped AS (
 SQL_LADDER = """
 ladder AS (SELECT * FROM (VALUES ('1min', 1, 0), ('5min', 5, 1), ('15min', 15, 2), ('1h', 60, 3), ('4h', 240, 4),
   ('1D', 1440, 5), ('1W', 10080, 6), ('1M', 43200, 7), ('4M', 172800, 8), ('1Y', 525600, 9)) t(timeframe, minutes, rank))"""
+
+
+def sql_ewm(name: str, source: str, value: str, alpha: float, least: int, out: str) -> str:
+    """CTE `name`: `source` with the adjusted exponential mean of `value`, weights taken from the bar distance."""
+    return f"""
+{name} AS (
+  SELECT s.*, e.v AS {out} FROM {source} s LEFT JOIN (
+    SELECT a.symbol, a.bar, CASE WHEN count(b.{value}) >= {least} THEN
+             sum(b.{value} * pow({1 - alpha!r}, a.bar - b.bar))
+             / sum(CASE WHEN b.{value} IS NOT NULL THEN pow({1 - alpha!r}, a.bar - b.bar) END) END AS v
+    FROM {source} a JOIN {source} b ON a.symbol = b.symbol AND b.bar <= a.bar GROUP BY 1, 2) e
+  ON s.symbol = e.symbol AND s.bar = e.bar)"""
+
+
+def sql_atr(name: str, source: str, length: int, out: str = "atr") -> str:
+    """CTEs `<name>_tr` and `name`: `source` with its ATR."""
+    return f"""
+{name}_tr AS (
+  SELECT *, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr
+  FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar) AS prev FROM {source})),
+{sql_ewm(name, name + "_tr", "tr", 1.0 / length, length, out)}"""
