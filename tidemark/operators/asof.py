@@ -10,68 +10,84 @@ from tidemark.functions.clock import epoch_us
 from tidemark.operators.blocks import BLOCK_S
 
 
-def asof_join(
+def asof_channels(
     left: DataFrame,
     right: DataFrame,
     payload: Sequence[str],
+    channels: dict[str, str | None],
     by: Sequence[str] = ("symbol",),
     left_time: str | Column = "date",
     right_time: str | Column = "date",
     direction: str = "backward",
     allow_equal: bool = True,
     tie: Sequence[str] = (),
-    prefix: str = "",
     block_s: int = BLOCK_S,
 ) -> DataFrame:
-    """Add to each left row the `payload` columns of the matching right row, NULL where there is none.
+    """As-of join that looks up several kinds of right rows in one pass.
 
-    backward: the latest right row at or before the left time; forward: the first at or after it.
-    `allow_equal=False` makes the comparison strict. Right rows of one time are ordered by `tie`, the last wins
-    backward, the first wins forward.
+    `channels = {prefix: condition}`: for each of them the nearest right row that meets the SQL condition (None:
+    any) gives the columns `prefix + name` for every name in `payload`, NULL where there is none.
 
     Both sides meet in one sort per (series, time block); a block that starts without a right row gets the last
     one of the earlier blocks as an extra row. So a series is never sorted in one task, and gaps of any length
-    are bridged.
+    are bridged. Right rows of one time are ordered by `tie`: the last wins backward, the first wins forward.
     """
     sign = 1 if direction == "backward" else -1
     width = F.lit(block_s * 1_000_000)
-    right_first = 0 if allow_equal else 2
+    names = list(channels)
 
     def keyed(df: DataFrame, time: str | Column) -> DataFrame:
         df = df.withColumn("_t", epoch_us(time) * sign)
         return df.withColumn("_block", F.floor(F.col("_t") / width).cast("long"))
 
-    tie_struct = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
+    def channel(i: int) -> Column:
+        rule = channels[names[i]]
+        row = F.struct(*payload)
+        return (row if rule is None else F.when(F.expr(rule), row)).alias(f"_m{i}")
+
+    span = range(len(names))
+    tie_key = F.struct(*tie) if tie else F.lit(0)
     base = keyed(left, left_time).withColumn("_side", F.lit(1))
-    match = keyed(right, right_time).select(
-        *by, "_t", "_block", F.struct(*payload).alias("_match"), tie_struct.alias("_tie")
-    )
-    match = match.where(F.col("_t").isNotNull())
-    # the row of a block that is nearest to the blocks after it
-    nearest = (
-        F.max_by("_match", F.struct("_t", "_tie")) if sign == 1 else F.min_by("_match", F.struct(-F.col("_t"), "_tie"))
-    )
-    last_of_block = match.groupBy(*by, "_block").agg(nearest.alias("_match"))
+    match = keyed(right, right_time).where("_t is not null")
+    match = match.select(*by, "_t", "_block", tie_key.alias("_tie"), *[channel(i) for i in span])
+
+    # per block and channel the row that is nearest to the blocks after it
+    def nearest(i: int) -> Column:
+        has = F.col(f"_m{i}").isNotNull()
+        if sign == 1:
+            return F.max_by(f"_m{i}", F.when(has, F.struct("_t", "_tie")))
+        return F.min_by(f"_m{i}", F.when(has, F.struct(-F.col("_t"), F.col("_tie"))))
+
+    ends = match.groupBy(*by, "_block").agg(*[nearest(i).alias(f"_m{i}") for i in span])
     blocks = (
         base.select(*by, "_block", F.lit(True).alias("_wanted"))
-        .unionByName(last_of_block, allowMissingColumns=True)
+        .unionByName(ends, allowMissingColumns=True)
         .groupBy(*by, "_block")
-        .agg(F.max("_wanted").alias("_wanted"), F.first("_match", ignorenulls=True).alias("_match"))
+        .agg(F.max("_wanted").alias("_wanted"), *[F.first(f"_m{i}", ignorenulls=True).alias(f"_m{i}") for i in span])
     )
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        blocks.withColumn("_match", F.last("_match", ignorenulls=True).over(earlier))
-        .where("_wanted and _match is not null")
-        .select(*by, "_block", "_match", (F.col("_block") * width).alias("_t"), F.lit(-1).alias("_side"))
+        blocks.withColumns({f"_m{i}": F.last(f"_m{i}", ignorenulls=True).over(earlier) for i in span})
+        .where("_wanted")
+        .withColumns({"_t": F.col("_block") * width, "_side": F.lit(-1)})
+        .drop("_wanted")
+    )
+    rows = (
+        base.unionByName(match.withColumn("_side", F.lit(0 if allow_equal else 2)), allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
     )
-    rows = base.unionByName(
-        match.withColumn("_side", F.lit(right_first)), allowMissingColumns=True
-    ).unionByName(carried, allowMissingColumns=True)
-    tie_order = F.asc("_tie") if sign == 1 else F.desc("_tie")
     w = (
         Window.partitionBy(*by, "_block")
-        .orderBy("_t", "_side", tie_order)
+        .orderBy("_t", "_side", F.asc("_tie") if sign == 1 else F.desc("_tie"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = rows.withColumn("_found", F.last("_match", ignorenulls=True).over(w)).where(F.col("_side") == 1)
-    return found.select(*left.columns, *[F.col(f"_found.{c}").alias(prefix + c) for c in payload])
+    found = rows.withColumns({f"_f{i}": F.last(f"_m{i}", ignorenulls=True).over(w) for i in span})
+    return found.where("_side = 1").select(
+        *left.columns, *[F.col(f"_f{i}.{c}").alias(names[i] + c) for i in span for c in payload]
+    )
+
+
+def asof_join(left: DataFrame, right: DataFrame, payload: Sequence[str], prefix: str = "", **options) -> DataFrame:
+    """One-channel form: backward takes the latest right row at or before the left time, forward the first at or
+    after it, `allow_equal=False` makes either strict."""
+    return asof_channels(left, right, payload, {prefix: None}, **options)

@@ -110,8 +110,12 @@ def first_crossing(
     schema = T.StructType(
         [*b.schema.fields, T.StructField("_hit_t", T.LongType()), T.StructField("_hit_v", T.DoubleType())]
     )
+    # base and target often come from one table; other column names keep the two sides apart
+    other = t.select(*[F.col(k).alias(f"_target_{k}") for k in keys], "_t", "_v")
     searched = (
-        b.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(_block_search(strict, same_time), schema=schema)
+        b.groupBy(*keys)
+        .cogroup(other.groupBy(*[f"_target_{k}" for k in keys]))
+        .applyInArrow(_block_search(strict, same_time), schema=schema)
     )
     settled = searched.where("_hit_t is not null or isnan(_level)")
     open_rows = searched.where("_hit_t is null and not isnan(_level)").drop("_hit_t", "_hit_v")
