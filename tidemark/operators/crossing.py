@@ -1,12 +1,12 @@
 """First crossing: for each base row the first later (or earlier) target row whose value beats the base's level.
 
-Three steps, none of which forms pairs of rows:
+Two steps, neither of which forms pairs of rows:
 
-1. inside the block of the base row, with range maxima over the block (numpy, one bounded block per group);
-2. rows without a hit look through the maxima of the following blocks of their super-block, then of the
-   following super-blocks, to find the one block that holds the hit;
-3. inside that block only the running records can be a first hit; they are joined as an array by block key, an
-   equi join that adaptive execution may split when one block answers very many rows.
+1. Inside the block of the base row, by range maxima (numpy, one bounded block per group). The group also gets the
+   maxima of all blocks of the series, one number per block, and looks there for the nearest other block that holds
+   a hit when its own does not.
+2. In that block only a running record can be a first hit. The records of a block are joined as an array by block
+   key, an equi join that adaptive execution may split when one block answers very many rows.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.clock import epoch_us, from_epoch_us
 
-# Comparators a caller may name: target value against base level.
+# Comparators a caller may name: target value against base level. (sign that makes it "above", strictness)
 COMPARATORS = {"gt": (1, True), "ge": (1, False), "lt": (-1, True), "le": (-1, False)}
-BLOCK_BARS = 8192
-SUPER = 512
+BLOCK_BARS = 16_384
 
 
 def first_beating(values: np.ndarray, start: np.ndarray, level: np.ndarray, strict: bool) -> np.ndarray:
@@ -31,6 +30,8 @@ def first_beating(values: np.ndarray, start: np.ndarray, level: np.ndarray, stri
     Range maxima for lengths 1, 2, 4, … let every search skip ahead by halving steps, all searches at once.
     """
     n = len(values)
+    if n == 0:
+        return start.astype(np.int64)
     maxima, width = [values], 1
     while width < n:
         wider = maxima[-1].copy()
@@ -39,32 +40,51 @@ def first_beating(values: np.ndarray, start: np.ndarray, level: np.ndarray, stri
         width *= 2
     at = start.astype(np.int64)
     for step in reversed(range(len(maxima))):
-        reachable = at < n
         best = maxima[step][np.minimum(at, n - 1)]
         hit = best > level if strict else best >= level
-        at = np.where(reachable & ~hit, at + (1 << step), at)
+        at = np.where((at < n) & ~hit, at + (1 << step), at)
     return at
 
 
-def _block_search(strict: bool, same_time: bool):
-    """Arrow function for one block: append the hit inside the block to the base rows."""
-
-    def search(base: pa.Table, target: pa.Table) -> pa.Table:
-        n = base.num_rows
-        hit_t = np.zeros(n, dtype=np.int64)
-        hit_v = np.zeros(n, dtype=np.float64)
-        found = np.zeros(n, dtype=bool)
-        if n and target.num_rows:
-            t = target["_t"].to_numpy()
-            order = np.argsort(t, kind="stable")
-            t, v = t[order], target["_v"].to_numpy()[order]
-            level = base["_level"].to_numpy()
-            start = np.searchsorted(t, base["_t"].to_numpy(), side="left" if same_time else "right")
-            at = first_beating(v, start, np.where(np.isnan(level), np.inf, level), strict)
-            found = (at < len(t)) & ~np.isnan(level)
-            hit_t[found], hit_v[found] = t[at[found]], v[at[found]]
-        out = base.append_column("_hit_t", pa.array(hit_t, mask=~found))
-        return out.append_column("_hit_v", pa.array(hit_v, mask=~found))
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.float64, copy=False)
+
+
+def _block_search(directions: Sequence[str], strict: bool, same_time: bool):
+    """Arrow function for one block: append to the base rows the hit inside the block, or the block that has it."""
+
+    def search(base: pa.Table, other: pa.Table) -> pa.Table:
+        index = other.filter(other["_index"].is_valid())["_index"].combine_chunks()
+        rows = other.filter(other["_t"].is_valid())
+        t, v = rows["_t"].to_numpy(), _floats(rows["_v"])
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        entries = index.flatten() if len(index) else None
+        blocks = entries.field("k").to_numpy() if entries is not None else np.zeros(0, np.int64)
+        maxima = entries.field("m").to_numpy() if entries is not None else np.zeros(0)
+        asked, own = base["_t"].to_numpy(), base["_block"].to_numpy()
+        level = _floats(base["_level"])
+        valid = ~np.isnan(level)
+        level = np.where(valid, level, np.inf)
+        for d in directions:
+            # to the left everything is mirrored: the arrays are reversed and times and numbers are negated
+            turn = 1 if d == "right" else -1
+            ts, vs = turn * t[::turn], v[::turn]
+            ks, ms = turn * blocks[::turn], maxima[::turn]
+            start = np.searchsorted(ts, turn * asked, side="left" if same_time else "right")
+            at = first_beating(vs, start, level, strict)
+            here = valid & (at < len(ts))
+            hit_t, hit_v = np.zeros(len(asked), np.int64), np.zeros(len(asked))
+            hit_t[here], hit_v[here] = turn * ts[at[here]], vs[at[here]]
+            far = first_beating(ms, np.searchsorted(ks, turn * own, side="right"), level, strict)
+            there = valid & ~here & (far < len(ks))
+            block = own.copy()
+            block[there] = turn * ks[far[there]]
+            base = base.append_column(f"_{d}_t", pa.array(hit_t, mask=~here))
+            base = base.append_column(f"_{d}_v", pa.array(hit_v, mask=~here))
+            base = base.append_column(f"_{d}_k", pa.array(block))
+            base = base.append_column(f"_{d}_far", pa.array(there))
+        return base
 
     return search
 
@@ -76,108 +96,77 @@ def first_crossing(
     value: str | Column,
     comparator: str,
     bar_s: int,
-    direction: str = "right",
+    directions: Sequence[str] = ("right",),
     by: Sequence[str] = ("symbol",),
     base_time: str | Column = "date",
     target_time: str | Column = "date",
     same_time: bool = False,
-    out_time: str = "crossing_time",
-    out_value: str = "crossing_value",
     block_bars: int = BLOCK_BARS,
-    super_blocks: int = SUPER,
 ) -> DataFrame:
-    """Add the time and value of the first crossing, NULL where the level is never beaten.
+    """Add `<direction>_crossing_time` and `<direction>_crossing_value`, NULL where the level is never beaten.
 
     `bar_s` is the width of a target bar in seconds: a block covers `block_bars` of them, so it holds at most that
-    many target rows of a series. `same_time` lets a target row at the base's own time count.
+    many target rows of a series. `same_time` lets a target row at the base's own time count. Base and target are
+    read more than once; give tables or staged results.
     """
-    toward = 1 if direction == "right" else -1
     up, strict = COMPARATORS[comparator]
     span = F.lit(bar_s * block_bars * 1_000_000)
     level_c = F.col(level) if isinstance(level, str) else level
     value_c = F.col(value) if isinstance(value, str) else value
-
-    def cut(df: DataFrame, time) -> DataFrame:
-        df = df.withColumn("_t", epoch_us(time) * toward)
-        return df.withColumn("_block", F.floor(F.col("_t") / span).cast("long"))
-
-    # a NULL level is carried as NaN, which beats nothing and is beaten by nothing
-    b = cut(base.withColumn("_level", F.coalesce(level_c.cast("double") * up, F.lit(float("nan")))), base_time)
-    t = cut(target.select(*by, value_c.cast("double").alias("_value"), _time_as(target_time)), "_time")
-    t = t.where("_value is not null").select(*by, "_t", "_block", (F.col("_value") * up).alias("_v"))
-
     keys = [*by, "_block"]
-    schema = T.StructType(
-        [*b.schema.fields, T.StructField("_hit_t", T.LongType()), T.StructField("_hit_v", T.DoubleType())]
+    block = F.floor(F.col("_t") / span).cast("long").alias("_block")
+
+    # a NULL level is carried as NaN, which nothing beats
+    b = base.withColumns(
+        {"_t": epoch_us(base_time), "_level": F.coalesce(level_c.cast("double") * up, F.lit(float("nan")))}
+    ).select("*", block)
+    t = (
+        target.select(*by, epoch_us(target_time).alias("_t"), (value_c.cast("double") * up).alias("_v"))
+        .where("_v is not null")
+        .select("*", block)
+    )
+    maxima = t.groupBy(*keys).agg(F.max("_v").alias("m"))
+    series = maxima.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_block").alias("k"), "m"))).alias("_index")
     )
+    index = b.select(*keys).distinct().join(series, list(by))
+    other = t.unionByName(index, allowMissingColumns=True)
     # base and target often come from one table; other column names keep the two sides apart
-    other = t.select(*[F.col(k).alias(f"_target_{k}") for k in keys], "_t", "_v")
-    searched = (
+    other = other.select(*[F.col(k).alias(f"_target_{k}") for k in keys], "_t", "_v", "_index")
+    extra = []
+    for d in directions:
+        extra += [
+            T.StructField(f"_{d}_t", T.LongType()),
+            T.StructField(f"_{d}_v", T.DoubleType()),
+            T.StructField(f"_{d}_k", T.LongType()),
+            T.StructField(f"_{d}_far", T.BooleanType()),
+        ]
+    out = (
         b.groupBy(*keys)
         .cogroup(other.groupBy(*[f"_target_{k}" for k in keys]))
-        .applyInArrow(_block_search(strict, same_time), schema=schema)
+        .applyInArrow(_block_search(directions, strict, same_time), schema=T.StructType([*b.schema.fields, *extra]))
     )
-    settled = searched.where("_hit_t is not null or isnan(_level)")
-    open_rows = searched.where("_hit_t is null and not isnan(_level)").drop("_hit_t", "_hit_v")
-    located = _locate_block(open_rows, t, by, strict, super_blocks)
-    whole = settled.unionByName(located)
-    return whole.select(
-        *base.columns,
-        from_epoch_us(F.col("_hit_t") * toward).alias(out_time),
-        (F.col("_hit_v") * up).alias(out_value),
-    )
-
-
-def _locate_block(open_rows: DataFrame, t: DataFrame, by: Sequence[str], strict: bool, super_blocks: int) -> DataFrame:
-    """Steps 2 and 3 for the rows that beat the rest of their own block."""
 
     def beats(x: Column) -> Column:
         return x > F.col("_level") if strict else x >= F.col("_level")
 
-    def first_of(array: str, wanted) -> Column:
-        return F.try_element_at(F.filter(array, wanted), F.lit(1))
-
-    def key(number: str) -> Column:
-        return F.col(number).alias("k")
-
-    super_of = F.floor(F.col("_block") / super_blocks).cast("long")
-    supers = (
-        t.groupBy(*by, "_block")
-        .agg(F.max("_v").alias("m"))
-        .groupBy(*by, super_of.alias("_super"))
-        .agg(F.sort_array(F.collect_list(F.struct(key("_block"), "m"))).alias("_blocks"), F.max("m").alias("m"))
-    )
-    # one row per series, one small struct per `super_blocks` blocks of it
-    series = supers.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key("_super"), "m"))).alias("_supers"))
-    before = Window.partitionBy(*by, "_block").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    records = (
-        t.withColumn("_above", F.max("_v").over(before))
-        .where("_above is null or _v > _above")
-        .groupBy(*by, F.col("_block").alias("_k"))
-        .agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).alias("_records"))
-    )
-    return (
-        open_rows.withColumn("_super", super_of)
-        .join(supers.drop("m"), [*by, "_super"], "left")
-        .join(series, list(by), "left")
-        .withColumn("_near", first_of("_blocks", lambda x: (x["k"] > F.col("_block")) & beats(x["m"]))["k"])
-        .withColumn("_far", first_of("_supers", lambda x: (x["k"] > F.col("_super")) & beats(x["m"]))["k"])
-        .drop("_blocks", "_supers")
-        .withColumn("_super", F.when(F.col("_near").isNull(), F.col("_far")).otherwise(F.col("_super")))
-        .withColumn("_super", F.coalesce("_super", super_of))
-        .join(supers.drop("m"), [*by, "_super"], "left")
-        .withColumn("_there", first_of("_blocks", lambda x: (x["k"] > F.col("_block")) & beats(x["m"]))["k"])
-        .withColumn("_k", F.coalesce("_near", "_there", "_block"))
-        .drop("_blocks", "_super")
-        .join(records, [*by, "_k"], "left")
-        .withColumn("_hit", first_of("_records", lambda x: beats(x["_v"])))
-        .withColumn("_answered", F.col("_near").isNotNull() | F.col("_there").isNotNull())
-        .withColumns(
-            {"_hit_t": F.when(F.col("_answered"), F.col("_hit._t")), "_hit_v": F.when(F.col("_answered"), F.col("_hit._v"))}
+    for d in directions:
+        toward = F.asc("_t") if d == "right" else F.desc("_t")
+        before = Window.partitionBy(*keys).orderBy(toward).rowsBetween(Window.unboundedPreceding, -1)
+        records = (
+            t.withColumn("_above", F.max("_v").over(before))
+            .where("_above is null or _v > _above")
+            .groupBy(*by, F.col("_block").alias(f"_{d}_k"))
+            .agg(F.sort_array(F.collect_list(F.struct("_t", "_v")), asc=d == "right").alias("_records"))
+            .withColumn(f"_{d}_far", F.lit(True))
         )
-        .drop("_records", "_hit", "_k", "_near", "_far", "_there", "_answered")
-    )
-
-
-def _time_as(time: str | Column) -> Column:
-    return (F.col(time) if isinstance(time, str) else time).alias("_time")
+        # rows that need no other block keep their own block as key and match nothing
+        first = F.try_element_at(F.filter("_records", lambda x: beats(x["_v"])), F.lit(1))
+        out = out.join(records, [*by, f"_{d}_k", f"_{d}_far"], "left").withColumn("_hit", first)
+        out = out.withColumns(
+            {
+                f"{d}_crossing_time": from_epoch_us(F.coalesce(f"_{d}_t", "_hit._t")),
+                f"{d}_crossing_value": F.coalesce(f"_{d}_v", "_hit._v") * up,
+            }
+        ).drop("_records", "_hit")
+    return out.select(*base.columns, *[f"{d}_crossing_{c}" for d in directions for c in ("time", "value")])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.ladder import bar_of, start_of_bar
 from tidemark.operators.blocks import BLOCK_BARS
+from tidemark.session import staged
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -53,10 +54,7 @@ def resample(candles: DataFrame, timeframes: Sequence[str], week_close_label: bo
             F.sum("volume").alias("volume"),
         )
     )
-    date = F.lit(None).cast("timestamp_ntz")
-    for tf in timeframes:
-        date = F.when(F.col("timeframe") == tf, start_of_bar("bar", tf)).otherwise(date)
-    return grouped.select("symbol", "timeframe", "bar", date.alias("date"), *OHLCV)
+    return grouped.select("symbol", "timeframe", "bar", _date_of_bar(timeframes).alias("date"), *OHLCV)
 
 
 def _date_of_bar(timeframes: Sequence[str]) -> Column:
@@ -99,6 +97,6 @@ def fill_empty_bins(candles: DataFrame, timeframes: Sequence[str], size: int = B
 
 def candle_ladder(base: DataFrame, base_tf: str, higher: Sequence[str], week_close_label: bool = False) -> DataFrame:
     """The stacked table: filled base candles and filled higher timeframes."""
-    filled = fill_empty_bins(base, [base_tf])
+    filled = staged(fill_empty_bins(base, [base_tf]))
     upper = fill_empty_bins(resample(filled, higher, week_close_label), higher)
     return filled.unionByName(upper)

@@ -10,6 +10,7 @@ from tidemark.functions.clock import epoch_s, minutes_between
 from tidemark.functions.ladder import CANDLE_TIMEFRAMES, TF_MINUTES, floor_to_ladder
 from tidemark.operators.blocks import SERIES, framed, numbered
 from tidemark.operators.crossing import first_crossing
+from tidemark.session import staged
 
 # Names of the two kinds of tops.
 PEAK, VALLEY = "peak", "valley"
@@ -63,13 +64,10 @@ def add_strength(tops: DataFrame, candles: DataFrame, base_tf: str, **crossing_o
     keys = [*SERIES, "top_type"]
     target = both_kinds(candles)
     options = {"bar_s": TF_MINUTES[base_tf] * 60, "by": keys, **crossing_options}
-    out = first_crossing(tops, target, extremeness(), "v", "gt", direction="right", out_time="_right",
-                         out_value="_rv", **options)
-    out = first_crossing(out, target, extremeness(), "v", "gt", direction="left", out_time="_left",
-                         out_value="_lv", **options)
+    out = first_crossing(tops, target, extremeness(), "v", "gt", directions=("right", "left"), **options)
     ends = candles.groupBy(*SERIES).agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
     now = epoch_s("date")
-    beaten = F.least(epoch_s("_right") - now, now - epoch_s("_left"))
+    beaten = F.least(epoch_s("right_crossing_time") - now, now - epoch_s("left_crossing_time"))
     out = out.join(ends, list(SERIES)).withColumns(
         {"_beaten": beaten, "_from_start": now - epoch_s("_first"), "_to_end": epoch_s("_last") - now}
     )
@@ -78,7 +76,7 @@ def add_strength(tops: DataFrame, candles: DataFrame, base_tf: str, **crossing_o
             "strength": F.least("_beaten", "_from_start", "_to_end"),
             "permanent_strength": (F.col("_beaten") < F.col("_from_start")) & (F.col("_beaten") < F.col("_to_end")),
         }
-    ).drop("_right", "_left", "_rv", "_lv", "_first", "_last", "_beaten", "_from_start", "_to_end")
+    ).select(*tops.columns, "strength", "permanent_strength")
 
 
 def top_timeframe(strength_s: Column, timeframes: Sequence[str] = CANDLE_TIMEFRAMES) -> Column:
@@ -101,7 +99,7 @@ def timeframe_tops(
     candles: DataFrame, base_tf: str, timeframes: Sequence[str], start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Tops of the base candles with strength and timeframe, cut to the open range if one is given."""
-    tops = add_strength(find_tops(candles), candles, base_tf)
+    tops = add_strength(staged(find_tops(candles)), candles, base_tf)
     tops = tops.withColumn("timeframe", top_timeframe(F.col("strength"), timeframes))
     if start is not None:
         tops = tops.where((F.col("date") > F.lit(start).cast("timestamp_ntz")) & (F.col("date") < F.lit(end).cast("timestamp_ntz")))
@@ -125,11 +123,11 @@ def add_true_extremum(candles: DataFrame, base_tf: str, **crossing_options) -> D
     base = target.withColumnRenamed("v", "_own")
     keys = [*SERIES, "top_type"]
     options = {"bar_s": TF_MINUTES[base_tf] * 60, "by": keys, **crossing_options}
-    out = first_crossing(base, target, "_own", "v", "ge", direction="right", out_time="_right", out_value="_rv", **options)
-    out = first_crossing(out, target, "_own", "v", "ge", direction="left", out_time="_left", out_value="_lv", **options)
+    out = first_crossing(base, target, "_own", "v", "ge", directions=("right", "left"), **options)
     inf = F.lit(float("inf"))
     reach = F.least(
-        F.coalesce(minutes_between("_right", "date"), inf), F.coalesce(minutes_between("date", "_left"), inf)
+        F.coalesce(minutes_between("right_crossing_time", "date"), inf),
+        F.coalesce(minutes_between("date", "left_crossing_time"), inf),
     )
     wide = (
         out.withColumn("_reach", reach)

@@ -21,6 +21,7 @@ from tidemark.queries.views import (
     sql_stacked,
     stacked,
 )
+from tidemark.session import staged
 
 KEY = ["symbol", "date"]
 W = "PARTITION BY symbol ORDER BY date"
@@ -102,7 +103,7 @@ SELECT symbol, date, {s6("mfe", "mfe")}, action,
 
 
 def _labels(spark, sf, as_reference):
-    mt = stacked(spark, sf)
+    mt = staged(stacked(spark, sf))
     out = lb.excursion_labels(
         mt.where("timeframe = '1h'"), mt.where("timeframe = '4h'"), "1h", "4h",
         horizon=12, floor_length=14, gate=1.5, as_reference=as_reference,

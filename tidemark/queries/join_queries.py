@@ -11,12 +11,13 @@ from tidemark.operators.smoothing import add_atr
 from tidemark.plans import tops as tp
 from tidemark.queries import query
 from tidemark.queries.views import candles, r6, s6, sql_atr, sql_candles, sql_stacked, stacked, ticks
+from tidemark.session import staged
 
 KEY = ["symbol", "date"]
 W = "PARTITION BY symbol ORDER BY date"
 DAYS = 86_400
 # blocks smaller than the series, so that the block-to-block steps work on these tables too
-SMALL = {"block_bars": 128, "super_blocks": 2}
+SMALL = {"block_bars": 128}
 
 
 @query("asof_backward", f"""WITH {sql_stacked()}, {sql_atr("f", "c_4h", 14)}
@@ -44,7 +45,7 @@ def asof_forward(spark, sf):
 SELECT a.symbol, a.date, b.date AS closed_bar, b.close AS closed_close FROM c_1h a
 ASOF LEFT JOIN c_4h b ON a.symbol = b.symbol AND b.date <= a.date - INTERVAL '3 HOUR'""")
 def closed_candle_asof(spark, sf):
-    mt = stacked(spark, sf)
+    mt = staged(stacked(spark, sf))
     bars = mt.where("timeframe = '4h'").select(
         "symbol", "date", F.col("date").alias("closed_bar"), F.col("close").alias("closed_close")
     )
@@ -58,7 +59,7 @@ def closed_candle_asof(spark, sf):
 SELECT a.symbol, a.date, {s6("f.atr", "atr")} FROM c_1h a
 ASOF LEFT JOIN f ON a.symbol = f.symbol AND f.date <= a.date - INTERVAL '4 HOUR'""")
 def source_atr_aligned(spark, sf):
-    mt = stacked(spark, sf)
+    mt = staged(stacked(spark, sf))
     atr = add_atr(mt.where("timeframe = '4h'"), 14)
     out = asof_join(mt.where("timeframe = '1h'").select(*KEY), atr, ["atr"], left_time=plus_seconds("date", -4 * 3600))
     return out.select(*KEY, r6("atr").alias("atr"))
@@ -96,29 +97,30 @@ def sql_cross(name, source, op, column, left):
 SELECT c.symbol, c.date, x.t AS crossing_time, n.high AS crossing_value FROM c_1h c
 LEFT JOIN x ON c.symbol = x.symbol AND c.date = x.date LEFT JOIN c_1h n ON n.symbol = c.symbol AND n.date = x.t""")
 def first_crossing_right(spark, sf):
-    c = candles(spark, sf)
+    c = staged(candles(spark, sf))
     out = first_crossing(c, c, "high", "high", "gt", 3600, **SMALL)
-    return out.select(*KEY, "crossing_time", "crossing_value")
+    return out.select(*KEY, F.col("right_crossing_time").alias("crossing_time"), F.col("right_crossing_value").alias("crossing_value"))
 
 
 @query("first_crossing_left", f"""WITH {sql_candles()}, {sql_cross("x", "c_1h", "<", "low", True)}
 SELECT c.symbol, c.date, x.t AS crossing_time, n.low AS crossing_value FROM c_1h c
 LEFT JOIN x ON c.symbol = x.symbol AND c.date = x.date LEFT JOIN c_1h n ON n.symbol = c.symbol AND n.date = x.t""")
 def first_crossing_left(spark, sf):
-    c = candles(spark, sf)
-    out = first_crossing(c, c, "low", "low", "lt", 3600, direction="left", **SMALL)
-    return out.select(*KEY, "crossing_time", "crossing_value")
+    c = staged(candles(spark, sf))
+    out = first_crossing(c, c, "low", "low", "lt", 3600, directions=("left",), **SMALL)
+    return out.select(*KEY, F.col("left_crossing_time").alias("crossing_time"), F.col("left_crossing_value").alias("crossing_value"))
 
 
 @query("nearest_reach", f"""WITH {sql_candles()}, {sql_cross("r", "c_1h", ">=", "high", False)}, {sql_cross("l", "c_1h", ">=", "high", True)}
 SELECT c.symbol, c.date, epoch(r.t - c.date) / 60 AS right_minutes, epoch(c.date - l.t) / 60 AS left_minutes FROM c_1h c
 LEFT JOIN r ON c.symbol = r.symbol AND c.date = r.date LEFT JOIN l ON c.symbol = l.symbol AND c.date = l.date""")
 def nearest_reach(spark, sf):
-    c = candles(spark, sf)
-    out = first_crossing(c, c, "high", "high", "ge", 3600, out_time="_r", out_value="_rv", **SMALL)
-    out = first_crossing(out, c, "high", "high", "ge", 3600, direction="left", out_time="_l", out_value="_lv", **SMALL)
+    c = staged(candles(spark, sf))
+    out = first_crossing(c, c, "high", "high", "ge", 3600, directions=("right", "left"), **SMALL)
     return out.select(
-        *KEY, minutes_between("_r", "date").alias("right_minutes"), minutes_between("date", "_l").alias("left_minutes")
+        *KEY,
+        minutes_between("right_crossing_time", "date").alias("right_minutes"),
+        minutes_between("date", "left_crossing_time").alias("left_minutes"),
     )
 
 
@@ -145,7 +147,7 @@ def sql_extremum(source="c_1h", name="ext"):
 SELECT symbol, date, CASE WHEN isinf(peak) THEN -1.0 ELSE peak END AS peak_reach,
   CASE WHEN isinf(valley) THEN -1.0 ELSE valley END AS valley_reach, CAST(size AS DOUBLE) AS size, sign FROM ext""")
 def true_extremum(spark, sf):
-    out = tp.add_true_extremum(candles(spark, sf), "1h", **SMALL)
+    out = tp.add_true_extremum(staged(candles(spark, sf)), "1h", **SMALL)
 
     def finite(c):
         return F.when(F.col(c) == float("inf"), -1.0).otherwise(F.col(c))
@@ -170,17 +172,17 @@ def sql_tops(source="c_1h", name="tops"):
 
 @query("find_tops", f"""WITH {sql_candles()}, {sql_tops()} SELECT symbol, date, high, low, top_type FROM tops""")
 def find_tops(spark, sf):
-    return tp.find_tops(candles(spark, sf)).select(*KEY, "high", "low", "top_type")
+    return tp.find_tops(staged(candles(spark, sf))).select(*KEY, "high", "low", "top_type")
 
 
 @query("peaks_only", f"""WITH {sql_candles()}, {sql_tops()} SELECT symbol, date, high FROM tops WHERE top_type = 'peak'""")
 def peaks_only(spark, sf):
-    return tp.find_tops(candles(spark, sf)).where(F.col("top_type") == tp.PEAK).select(*KEY, "high")
+    return tp.find_tops(staged(candles(spark, sf))).where(F.col("top_type") == tp.PEAK).select(*KEY, "high")
 
 
 @query("valleys_only", f"""WITH {sql_candles()}, {sql_tops()} SELECT symbol, date, low FROM tops WHERE top_type = 'valley'""")
 def valleys_only(spark, sf):
-    return tp.find_tops(candles(spark, sf)).where(F.col("top_type") == tp.VALLEY).select(*KEY, "low")
+    return tp.find_tops(staged(candles(spark, sf))).where(F.col("top_type") == tp.VALLEY).select(*KEY, "low")
 
 
 @query("tops_in_range", f"""WITH {sql_candles()}, {sql_tops()} SELECT symbol, date, top_type FROM tops
@@ -189,7 +191,7 @@ def tops_in_range(spark, sf):
     inside = F.col("date").between(
         F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12 12:00:00").cast("timestamp_ntz")
     )
-    return tp.find_tops(candles(spark, sf)).where(inside).select(*KEY, "top_type")
+    return tp.find_tops(staged(candles(spark, sf))).where(inside).select(*KEY, "top_type")
 
 
 def sql_strength(tops="tops", source="c_1h", name="strong"):
@@ -214,8 +216,8 @@ def sql_strength(tops="tops", source="c_1h", name="strong"):
 @query("top_strength", f"""WITH {sql_candles()}, {sql_tops()}, {sql_strength()}
 SELECT symbol, date, top_type, strength, permanent_strength FROM strong""")
 def top_strength(spark, sf):
-    c = candles(spark, sf)
-    out = tp.add_strength(tp.find_tops(c), c, "1h", **SMALL)
+    c = staged(candles(spark, sf))
+    out = tp.add_strength(staged(tp.find_tops(c)), c, "1h", **SMALL)
     return out.select(*KEY, "top_type", "strength", "permanent_strength")
 
 
@@ -223,7 +225,7 @@ def top_strength(spark, sf):
 SELECT symbol, timeframe, date, top_type, strength FROM strong
 WHERE date > TIMESTAMP '2024-01-02' AND date < TIMESTAMP '2024-01-29'""")
 def timeframe_tops(spark, sf):
-    out = tp.timeframe_tops(candles(spark, sf), "1h", ["1h", "4h", "1D", "1W"], "2024-01-02", "2024-01-29")
+    out = tp.timeframe_tops(staged(candles(spark, sf)), "1h", ["1h", "4h", "1D", "1W"], "2024-01-02", "2024-01-29")
     return out.select("symbol", "timeframe", "date", "top_type", "strength")
 
 
@@ -231,7 +233,7 @@ def timeframe_tops(spark, sf):
 SELECT symbol, date, top_type, CASE WHEN strength > 604800 THEN '1W' WHEN strength > 86400 THEN '1D' WHEN strength > 14400 THEN '4h'
   ELSE '1h' END AS mapped FROM strong WHERE strength > 3600""")
 def strength_to_timeframe(spark, sf):
-    c = candles(spark, sf)
-    out = tp.add_strength(tp.find_tops(c), c, "1h")
+    c = staged(candles(spark, sf))
+    out = tp.add_strength(staged(tp.find_tops(c)), c, "1h")
     mapped = tp.strength_timeframe(F.col("strength"), ["1h", "4h", "1D", "1W"])
     return out.withColumn("mapped", mapped).where("mapped is not null").select(*KEY, "top_type", "mapped")

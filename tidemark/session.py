@@ -1,8 +1,9 @@
-"""Session defaults and the one place where lineage is cut."""
+"""Session defaults, and staging of results that are read more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,16 +36,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by `spark.checkpoint.dir`.
 
     A temporary folder is used only in local mode, where one machine is the whole cluster.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared folder and go on from the written table.
+
+    The steps then read only the columns they need, nothing is computed twice, and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
