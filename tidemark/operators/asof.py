@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.clock import epoch_us
-from tidemark.operators.blocks import BLOCK_S
+from tidemark.operators.blocks import BLOCK_S, spread
 
 
 def asof_channels(
@@ -37,8 +37,11 @@ def asof_channels(
     names = list(channels)
 
     def keyed(df: DataFrame, time: str | Column) -> DataFrame:
+        columns = df.columns
         df = df.withColumn("_t", epoch_us(time) * sign)
-        return df.withColumn("_block", F.floor(F.col("_t") / width).cast("long"))
+        # rows without a time sort first in whatever block they are sent to, and find nothing
+        block = F.coalesce(F.floor(F.col("_t") / width).cast("long"), spread(columns))
+        return df.withColumn("_block", block)
 
     def channel(i: int) -> Column:
         rule = channels[names[i]]
@@ -78,7 +81,7 @@ def asof_channels(
     )
     w = (
         Window.partitionBy(*by, "_block")
-        .orderBy("_t", "_side", F.asc("_tie") if sign == 1 else F.desc("_tie"))
+        .orderBy(F.asc_nulls_first("_t"), "_side", F.asc("_tie") if sign == 1 else F.desc("_tie"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     found = rows.withColumns({f"_f{i}": F.last(f"_m{i}", ignorenulls=True).over(w) for i in span})

@@ -48,6 +48,11 @@ def time_block(date: str | Column, block_s: int = BLOCK_S) -> Column:
     return F.floor(epoch_us(date) / F.lit(block_s * 1_000_000)).cast("long")
 
 
+def spread(columns: Sequence[str], over: int = 4096) -> Column:
+    """A number that depends on the row only, to keep rows without a key from meeting in one task."""
+    return F.pmod(F.xxhash64(*columns), F.lit(over))
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str] = SERIES,

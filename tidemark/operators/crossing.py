@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.clock import epoch_us, from_epoch_us
+from tidemark.operators.blocks import spread
 
 # Comparators a caller may name: target value against base level. (sign that makes it "above", strictness)
 COMPARATORS = {"gt": (1, True), "ge": (1, False), "lt": (-1, True), "le": (-1, False)}
@@ -116,9 +117,14 @@ def first_crossing(
     keys = [*by, "_block"]
     block = F.floor(F.col("_t") / span).cast("long").alias("_block")
 
-    # a NULL level is carried as NaN, which nothing beats
+    # rows without level or time get NaN as level, which nothing beats; those without time are spread over blocks
+    asked = epoch_us(base_time)
+    wanted = F.when(asked.isNotNull(), level_c.cast("double") * up)
     b = base.withColumns(
-        {"_t": epoch_us(base_time), "_level": F.coalesce(level_c.cast("double") * up, F.lit(float("nan")))}
+        {
+            "_t": F.coalesce(asked, spread(base.columns) * span),
+            "_level": F.coalesce(wanted, F.lit(float("nan"))),
+        }
     ).select("*", block)
     t = (
         target.select(*by, epoch_us(target_time).alias("_t"), (value_c.cast("double") * up).alias("_v"))
