@@ -121,12 +121,14 @@ def running(
     forward: bool = True,
     inclusive: bool = True,
     block_s: int = BLOCK_S,
+    block: Column | None = None,
 ) -> DataFrame:
     """Prefix (or suffix) folds: `outputs = {name: ("sum"|"max"|"min", column)}`.
 
-    `inclusive=False` leaves the row itself out.
+    `inclusive=False` leaves the row itself out. Blocks are cut by time, or by `block` if `order` is no time: a
+    number that grows with `order[0]`.
     """
-    cut = df.withColumn("_block", time_block(order[0], block_s))
+    cut = df.withColumn("_block", time_block(order[0], block_s) if block is None else block)
     values = {n: (kind, F.col(c) if isinstance(c, str) else c) for n, (kind, c) in outputs.items()}
     per_block = cut.groupBy(*keys, "_block").agg(*[_FOLDS[k][0](c).alias(f"_b_{n}") for n, (k, c) in values.items()])
     side = F.asc if forward else F.desc
