@@ -61,12 +61,11 @@ def asof_channels(
             return F.max_by(f"_m{i}", F.when(has, F.struct("_t", "_tie")))
         return F.min_by(f"_m{i}", F.when(has, F.struct(-F.col("_t"), F.col("_tie"))))
 
-    ends = match.groupBy(*by, "_block").agg(*[nearest(i).alias(f"_m{i}") for i in span])
     blocks = (
         base.select(*by, "_block", F.lit(True).alias("_wanted"))
-        .unionByName(ends, allowMissingColumns=True)
+        .unionByName(match, allowMissingColumns=True)
         .groupBy(*by, "_block")
-        .agg(F.max("_wanted").alias("_wanted"), *[F.first(f"_m{i}", ignorenulls=True).alias(f"_m{i}") for i in span])
+        .agg(F.max("_wanted").alias("_wanted"), *[nearest(i).alias(f"_m{i}") for i in span])
     )
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (

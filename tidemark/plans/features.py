@@ -15,26 +15,26 @@ VOLUME_RMA_LENGTH = 14
 EPS = 2.220446049250313e-16
 
 
-def add_relative_candle(df: DataFrame, atr_length: int = ATR_LENGTH) -> DataFrame:
-    """Close, high-close, close-low, open gap and height, each over the ATR (added when it is missing)."""
-    if "atr" not in df.columns:
-        df = add_atr(df, atr_length)
+def relative_ratios(w: WindowSpec) -> dict[str, Column]:
+    """Close, high-close, close-low, open gap and height over the `atr` column."""
 
-    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        def per_atr(c: Column) -> Column:
-            return F.try_divide(c, F.col("atr"))
+    def per_atr(c: Column) -> Column:
+        return F.try_divide(c, F.col("atr"))
 
-        return rows.withColumns(
-            {
-                "rel_close": per_atr(F.col("close")),
-                "rel_high_close": per_atr(F.col("high") - F.col("close")),
-                "rel_close_low": per_atr(F.col("close") - F.col("low")),
-                "open_gap": per_atr(F.col("open") - F.lag("close").over(w)),
-                "rel_candle_height": per_atr(F.col("high") - F.col("low")),
-            }
-        )
+    return {
+        "rel_close": per_atr(F.col("close")),
+        "rel_high_close": per_atr(F.col("high") - F.col("close")),
+        "rel_close_low": per_atr(F.col("close") - F.col("low")),
+        "open_gap": per_atr(F.col("open") - F.lag("close").over(w)),
+        "rel_candle_height": per_atr(F.col("high") - F.col("low")),
+    }
 
-    return framed(df, build, before=1)
+
+def add_relative_candle(df: DataFrame, atr_length: int = ATR_LENGTH) -> DataFrame:
+    """Candle ratios over the ATR, which is added when it is missing."""
+    if "atr" not in df.columns:
+        df = add_atr(df, atr_length)
+    return framed(df, lambda rows, w: rows.withColumns(relative_ratios(w)), before=1)
 
 
 def add_volume_rma(df: DataFrame, length: int = VOLUME_RMA_LENGTH, out: str = "volume_atr") -> DataFrame:
@@ -42,12 +42,14 @@ def add_volume_rma(df: DataFrame, length: int = VOLUME_RMA_LENGTH, out: str = "v
     return add_rma(df, "volume", length, "_rma").withColumn(out, F.try_divide("volume", "_rma")).drop("_rma")
 
 
-def add_log_sma_volume(df: DataFrame, length: int = 256) -> DataFrame:
+def log_sma_ratio(w: WindowSpec, length: int) -> Column:
     """Logarithm of volume over its plain mean."""
+    return F.ln((F.col("volume") + EPS) / (sma(F.col("volume"), w, length) + EPS))
 
+
+def add_log_sma_volume(df: DataFrame, length: int = 256) -> DataFrame:
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        mean = sma(F.col("volume"), w, length)
-        return rows.withColumn("log_volume_sma_ratio", F.ln((F.col("volume") + EPS) / (mean + EPS)))
+        return rows.withColumn("log_volume_sma_ratio", log_sma_ratio(w, length))
 
     return framed(df, build, before=length - 1)
 
