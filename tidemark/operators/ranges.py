@@ -127,3 +127,28 @@ def best_covering(
     best = F.greatest("_above", "_below", "_whole", "_inside")
     out = found.join(near, "_id", "left").withColumn("_chosen", best)
     return out.select(*points.columns, *[F.col(f"_chosen._best.{c}").alias(prefix + c) for c in payload])
+
+
+def overlap_join(
+    left: DataFrame, right: DataFrame, by: Sequence[str], bucket_s: int, payload: Sequence[str],
+    start: str = "start", end: str = "end",
+) -> DataFrame:
+    """Pairs of intervals of one group that overlap (`a.start < b.end and a.end > b.start`), each pair once.
+
+    Both sides are cut into time buckets; a pair that meets in several buckets is taken in the first it shares.
+    """
+    def cut(df: DataFrame) -> DataFrame:
+        first = F.floor(epoch_s(start) / bucket_s).cast("long")
+        last = F.floor(epoch_s(end) / bucket_s).cast("long")
+        return df.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(F.col("_first"), last)))
+
+    r = cut(right).select(
+        *by, "_bucket", F.col("_first").alias("_r_first"), F.col(start).alias("_r_start"), F.col(end).alias("_r_end"),
+        F.struct(*payload).alias("_right"),
+    )
+    met = cut(left).join(r, [*by, "_bucket"]).where(
+        (F.col(start) < F.col("_r_end"))
+        & (F.col(end) > F.col("_r_start"))
+        & (F.col("_bucket") == F.greatest("_first", "_r_first"))
+    )
+    return met.select(*left.columns, *[F.col(f"_right.{c}").alias(f"other_{c}") for c in payload])
