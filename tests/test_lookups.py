@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import column
+from tidemark.operators import asof
 from tidemark.operators.asof import asof_channels, asof_join
 from tidemark.operators.crossing import first_beating, first_crossing
 from tidemark.operators.nearest import nearest_in_prefix, nearest_known
@@ -24,13 +25,14 @@ def random_times(rng, n, span=4000):
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("allow_equal", [True, False])
-@pytest.mark.parametrize("block_s", [1800, 10_000_000])
-def test_asof_matches_pandas(spark, direction, allow_equal, block_s):
+@pytest.mark.parametrize("block_s, dense", [(1800, False), (10_000_000, False), (40_000, True)])
+def test_asof_matches_pandas(spark, monkeypatch, direction, allow_equal, block_s, dense):
+    monkeypatch.setattr(asof, "ROWS_PER_BLOCK", 7)
     rng = np.random.default_rng(5)
     left, right = random_times(rng, 300), random_times(rng, 40)
     ldf = spark.createDataFrame([("a", at(m)) for m in left], "symbol string, date timestamp_ntz")
     rdf = spark.createDataFrame([("a", at(m), i) for i, m in enumerate(right)], "symbol string, date timestamp_ntz, v long")
-    got = column(asof_join(ldf, rdf, ["v"], direction=direction, allow_equal=allow_equal, block_s=block_s), "v")
+    got = column(asof_join(ldf, rdf, ["v"], direction=direction, allow_equal=allow_equal, block_s=block_s, dense=dense), "v")
     want = pd.merge_asof(
         pd.DataFrame({"t": left}), pd.DataFrame({"t": right, "v": range(40)}), on="t", direction=direction,
         allow_exact_matches=allow_equal,
@@ -47,6 +49,8 @@ def test_asof_channels_ties_and_missing_times(spark):
     out = asof_channels(left, right, ["v"], {"x_": "kind = 'x'", "y_": "kind = 'y'"}, tie=["v"]).collect()
     rows = {(r.symbol, r.date): (r.x_v, r.y_v) for r in out}
     assert rows == {("a", at(10)): (2, 9), ("a", None): (None, None), ("b", at(10)): (None, None)}
+    crowd = asof_channels(left.union(left), right, ["v"], {"x_": "kind = 'x'"}, tie=["v"], dense=True).collect()
+    assert sorted((r.symbol, str(r.date), r.x_v) for r in crowd if r.x_v) == [("a", str(at(10)), 2)] * 2 and len(crowd) == 6
     ahead = asof_channels(left, right, ["v"], {"x_": None}, tie=["v"], direction="forward").collect()
     assert {(r.symbol, r.date): r.x_v for r in ahead}[("a", at(10))] == 1
 

@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.clock import epoch_us
+from tidemark.functions.clock import epoch_us, from_epoch_us
 from tidemark.operators.blocks import BLOCK_S, spread
 
+# Dense look-ups: times per block to aim at, and how finely a block may be cut.
+ROWS_PER_BLOCK = 1_000_000
+MOST_PARTS = 1 << 20
+
 
 def asof_channels(
     left: DataFrame,
@@ -22,6 +26,7 @@ def asof_channels(
     allow_equal: bool = True,
     tie: Sequence[str] = (),
     block_s: int = BLOCK_S,
+    dense: bool = False,
 ) -> DataFrame:
     """As-of join that looks up several kinds of right rows in one pass.
 
@@ -31,7 +36,52 @@ def asof_channels(
     Both sides meet in one sort per (series, time block); a block that starts without a right row gets the last
     one of the earlier blocks as an extra row. So a series is never sorted in one task, and gaps of any length
     are bridged. Right rows of one time are ordered by `tie`: the last wins backward, the first wins forward.
+
+    A block of candles is bounded by its bars. Left rows without that bound, ticks say, are `dense`: their distinct
+    times are looked up, in blocks that are cut finer where many times fall, and joined back by key and time.
+    """
+    if dense:
+        moment = left_time if isinstance(left_time, Column) else F.col(left_time)
+        timed = left.withColumn("_asked", epoch_us(moment))
+        times = timed.where("_asked is not null").select(*by, "_asked").distinct()
+        found = _asof(
+            times, right, payload, channels, by, from_epoch_us("_asked"), right_time, direction, allow_equal, tie,
+            block_s, True,
+        )
+        new = [f"{p}{c}" for p in channels for c in payload]
+        # rows without a time keep apart from each other; they find nothing
+        key = F.coalesce("_asked", -spread(left.columns, 1 << 20) - 1)
+        out = timed.withColumn("_asked", key).join(found, [*by, "_asked"], "left")
+        return out.select(*left.columns, *new)
+    return _asof(
+        left, right, payload, channels, by, left_time, right_time, direction, allow_equal, tie, block_s, False
+    )
+
+
+def _finer(rows: DataFrame, by: Sequence[str], width: Column) -> DataFrame:
+    """Number the part of its block a time lies in; crowded blocks have more parts.
+
+    Times are distinct microseconds, so a part holds no more of them than it is wide.
     """
+    parts = F.ceil(F.col("_n") / F.lit(ROWS_PER_BLOCK)).cast("long")
+    crowded = (
+        rows.where("_side = 1")
+        .groupBy(*by, "_block")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > ROWS_PER_BLOCK)
+        .select(*by, "_block", F.least(parts, F.lit(MOST_PARTS)).alias("_parts"))
+    )
+    part = F.floor((F.col("_t") - F.col("_block") * width) / width * F.coalesce("_parts", F.lit(1)))
+    return rows.join(crowded, [*by, "_block"], "left").withColumn(
+        "_block", F.col("_block") * MOST_PARTS + F.least(part, F.coalesce("_parts", F.lit(1)) - 1).cast("long")
+    ).drop("_parts")
+
+
+def _asof(
+    left: DataFrame, right: DataFrame, payload: Sequence[str], channels: dict[str, str | None], by: Sequence[str],
+    left_time: str | Column, right_time: str | Column, direction: str, allow_equal: bool, tie: Sequence[str],
+    block_s: int, split: bool,
+) -> DataFrame:
     sign = 1 if direction == "backward" else -1
     width = F.lit(block_s * 1_000_000)
     names = list(channels)
@@ -54,36 +104,36 @@ def asof_channels(
     match = keyed(right, right_time).where("_t is not null")
     match = match.select(*by, "_t", "_block", tie_key.alias("_tie"), *[channel(i) for i in span])
 
-    # per block and channel the row that is nearest to the blocks after it
     def nearest(i: int) -> Column:
+        """Per block and channel the row that is nearest to the blocks after it."""
         has = F.col(f"_m{i}").isNotNull()
         if sign == 1:
             return F.max_by(f"_m{i}", F.when(has, F.struct("_t", "_tie")))
         return F.min_by(f"_m{i}", F.when(has, F.struct(-F.col("_t"), F.col("_tie"))))
 
-    blocks = (
-        base.select(*by, "_block", F.lit(True).alias("_wanted"))
-        .unionByName(match, allowMissingColumns=True)
-        .groupBy(*by, "_block")
-        .agg(F.max("_wanted").alias("_wanted"), *[nearest(i).alias(f"_m{i}") for i in span])
+    rows = base.unionByName(match.withColumn("_side", F.lit(0 if allow_equal else 2)), allowMissingColumns=True)
+    if split:
+        rows = _finer(rows, by, width)
+    ends = rows.groupBy(*by, "_block").agg(
+        F.max(F.col("_side") == 1).alias("_wanted"), *[nearest(i).alias(f"_m{i}") for i in span]
     )
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # the extra row has no time, so that it comes first in its block
     carried = (
-        blocks.withColumns({f"_m{i}": F.last(f"_m{i}", ignorenulls=True).over(earlier) for i in span})
+        ends.withColumns({f"_m{i}": F.last(f"_m{i}", ignorenulls=True).over(earlier) for i in span})
         .where("_wanted")
-        .withColumns({"_t": F.col("_block") * width, "_side": F.lit(-1)})
+        .withColumn("_side", F.lit(-1))
         .drop("_wanted")
     )
-    rows = (
-        base.unionByName(match.withColumn("_side", F.lit(0 if allow_equal else 2)), allowMissingColumns=True)
-        .unionByName(carried, allowMissingColumns=True)
-    )
+    order = F.when(F.col("_side") == -1, 1).when(F.col("_t").isNull(), 0).otherwise(2)
     w = (
         Window.partitionBy(*by, "_block")
-        .orderBy(F.asc_nulls_first("_t"), "_side", F.asc("_tie") if sign == 1 else F.desc("_tie"))
+        .orderBy(order, "_t", "_side", F.asc("_tie") if sign == 1 else F.desc("_tie"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = rows.withColumns({f"_f{i}": F.last(f"_m{i}", ignorenulls=True).over(w) for i in span})
+    found = rows.unionByName(carried, allowMissingColumns=True).withColumns(
+        {f"_f{i}": F.last(f"_m{i}", ignorenulls=True).over(w) for i in span}
+    )
     return found.where("_side = 1").select(
         *left.columns, *[F.col(f"_f{i}.{c}").alias(names[i] + c) for i in span for c in payload]
     )

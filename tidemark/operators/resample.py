@@ -83,7 +83,14 @@ def fill_empty_bins(candles: DataFrame, timeframes: Sequence[str], size: int = B
     spread = (
         cut.join(first_of_next, [*keys, "_block"])
         .withColumn("_next", following)
-        .withColumn("_bin", F.explode(F.sequence(F.col("bar"), F.col("_next") - 1)))
+        # block by block, so that a gap of years is never one array
+        .withColumn("_part", F.explode(F.sequence(F.col("_block"), F.floor((F.col("_next") - 1) / size).cast("long"))))
+        .withColumn(
+            "_bin",
+            F.explode(
+                F.sequence(F.greatest("bar", F.col("_part") * size), F.least(F.col("_next"), (F.col("_part") + 1) * size) - 1)
+            ),
+        )
     )
     real = F.col("_bin") == F.col("bar")
     return spread.select(

@@ -12,6 +12,8 @@ from tidemark.session import staged
 # Histogram bins, least sample, and the weights of the similarity score.
 BINS, LEAST_SAMPLE = 50, 50
 WEIGHTS = {"js_divergence": 0.4, "cosine_similarity": 0.3, "wasserstein_distance": 0.2, "ks_statistic": 0.1}
+BLOCKS = 256
+QUARTILES = (0.25, 0.5, 0.75)
 STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
@@ -21,24 +23,53 @@ def long_form(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select("symbol", pairs.alias("_p")).select("symbol", "_p.*").where("x is not null")
 
 
-def describe(values: DataFrame) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per symbol and feature.
+def value_counts(values: DataFrame) -> DataFrame:
+    """How often each value occurs: `(symbol, feature, x, c)`."""
+    return values.groupBy("symbol", "feature", "x").agg(F.count(F.lit(1)).alias("c"))
 
-    The quartiles fold value counts, not values, so equal values cost nothing.
+
+def with_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add `block`, the part of the feature's pooled values a value lies in; every part holds a like share of them.
+
+    The bounds are one small array per feature.
     """
-    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        values.groupBy("symbol", "feature")
-        .agg(
-            F.count("x").alias("n"),
-            F.avg("x").alias("mean"),
-            F.stddev_samp("x").alias("std"),
-            F.min("x").alias("min"),
-            quartiles.alias("_q"),
-            F.max("x").alias("max"),
-        )
-        .withColumns({"p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]})
-        .drop("_q")
+    shares = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
+    bounds = counts.groupBy("feature").agg(F.percentile_approx("x", shares, 10 * BLOCKS).alias("_bounds"))
+    at = F.size(F.filter("_bounds", lambda v: v <= F.col("x")))
+    return rows.join(bounds, "feature").withColumn("block", at).drop("_bounds")
+
+
+def describe(counts: DataFrame) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles per symbol and feature, from value counts.
+
+    A quartile lies between the values at two ranks; running counts over blocks of values find these, so the
+    values of a symbol are never held in one place.
+    """
+    c = F.col("c")
+    mean = counts.groupBy("symbol", "feature").agg(
+        F.sum("c").alias("n"), (F.sum(F.col("x") * c) / F.sum("c")).alias("mean"), F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
+    rows = staged(with_blocks(counts, counts))
+    ranked = running(rows, {"upto": ("sum", "c")}, keys=("symbol", "feature"), order=("x",), block=F.col("block"))
+    placed = ranked.join(mean, ["symbol", "feature"])
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - c <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    gap = F.col("x") - F.col("mean")
+    picked = [F.sum(gap * gap * c).alias("_squares")]
+    for q in QUARTILES:
+        rank = (F.col("n") - 1) * q
+        picked += [value_at(F.floor(rank)).alias(f"_lo{q}"), value_at(F.ceil(rank)).alias(f"_hi{q}")]
+    out = mean.join(placed.groupBy("symbol", "feature").agg(*picked), ["symbol", "feature"])
+    quartiles = {}
+    for q in QUARTILES:
+        rank = (F.col("n") - 1) * q
+        lo, hi = F.col(f"`_lo{q}`"), F.col(f"`_hi{q}`")
+        quartiles[f"p{int(q * 100)}"] = lo + (hi - lo) * (rank - F.floor(rank))
+    return out.withColumns({**quartiles, "std": F.sqrt(F.try_divide(F.col("_squares"), F.col("n") - 1))}).select(
+        "symbol", "feature", "n", *STATS
     )
 
 
@@ -85,27 +116,23 @@ def _histogram_distances(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     )
 
 
-def _order_distances(pairs: DataFrame, values: DataFrame) -> DataFrame:
+def _order_distances(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Wasserstein-1 distance and Kolmogorov-Smirnov statistic from the two running value counts."""
     key = ["feature", "symbol_1", "symbol_2"]
-    counts = staged(values.groupBy("symbol", "feature", "x").agg(F.count(F.lit(1)).alias("c")))
     sides = []
     for i, other in ((1, 2), (2, 1)):
         own = counts.withColumnsRenamed({"symbol": f"symbol_{i}", "c": f"c{i}"})
-        names = pairs.select(*key, "n_1", "n_2", "min_1", "max_1", "min_2", "max_2")
+        names = pairs.select(*key, "n_1", "n_2")
         sides.append(names.join(own, ["feature", f"symbol_{i}"]).withColumn(f"c{other}", F.lit(0)))
-    carry = ["n_1", "n_2", "min_1", "max_1", "min_2", "max_2"]
     steps = (
         sides[0].unionByName(sides[1])
-        .groupBy(*key, "x", *carry)
+        .groupBy(*key, "x", "n_1", "n_2")
         .agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     )
-    # a thousand equal parts of the joint range as blocks
-    low, high = F.least("min_1", "min_2"), F.greatest("max_1", "max_2")
-    block = F.floor(F.coalesce(F.try_divide(F.col("x") - low, high - low), F.lit(0.0)) * 1000).cast("long")
-    steps = staged(steps)
-    ecdf = running(steps, {"s1": ("sum", "c1"), "s2": ("sum", "c2")}, keys=key, order=("x",), block=block)
-    ecdf = running(staged(ecdf), {"next": ("min", "x")}, keys=key, order=("x",), forward=False, inclusive=False, block=block)
+    steps = staged(with_blocks(steps, counts))
+    block = F.col("block")
+    ecdf = staged(running(steps, {"s1": ("sum", "c1"), "s2": ("sum", "c2")}, keys=key, order=("x",), block=block))
+    ecdf = running(ecdf, {"next": ("min", "x")}, keys=key, order=("x",), forward=False, inclusive=False, block=block)
     gap = F.abs(F.col("s1") / F.col("n_1") - F.col("s2") / F.col("n_2"))
     return ecdf.groupBy(*key).agg(
         F.sum(gap * F.coalesce(F.col("next") - F.col("x"), F.lit(0.0))).alias("wasserstein_distance"),
@@ -129,10 +156,11 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
 def compare_symbols(df: DataFrame, features: Sequence[str], least: int = LEAST_SAMPLE) -> DataFrame:
     """All distances between each pair of symbols, per feature."""
     values = staged(long_form(df, features))
-    stats = staged(describe(values))
+    counts = staged(value_counts(values))
+    stats = staged(describe(counts))
     pairs = staged(symbol_pairs(stats, least))
     key = ["feature", "symbol_1", "symbol_2"]
-    out = pairs.join(_histogram_distances(pairs, histogram(values, stats)), key).join(_order_distances(pairs, values), key)
+    out = pairs.join(_histogram_distances(pairs, histogram(values, stats)), key).join(_order_distances(pairs, counts), key)
     out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2")))
     diffs = {f"diff_{s}": F.abs(F.col(f"{s}_1") - F.col(f"{s}_2")) for s in STATS}
     return out.withColumns(diffs).select(
@@ -142,16 +170,16 @@ def compare_symbols(df: DataFrame, features: Sequence[str], least: int = LEAST_S
 
 def symbol_similarity(comparison: DataFrame) -> DataFrame:
     """One weighted score per pair of symbols."""
-    grouped = comparison.groupBy("symbol_1", "symbol_2").agg(*[F.avg(c).alias(c) for c in WEIGHTS])
-    widest = grouped.agg(F.max("wasserstein_distance").alias("_widest"))
+    grouped = staged(comparison.groupBy("symbol_1", "symbol_2").agg(*[F.avg(c).alias(c) for c in WEIGHTS]))
+    # one number
+    widest = grouped.agg(F.max("wasserstein_distance")).first()[0] or 0.0
     score = (
         (1 - F.col("js_divergence")) * WEIGHTS["js_divergence"]
         + F.col("cosine_similarity") * WEIGHTS["cosine_similarity"]
-        + (1 - F.try_divide(F.col("wasserstein_distance"), F.col("_widest"))) * WEIGHTS["wasserstein_distance"]
+        + (1 - F.coalesce(F.try_divide(F.col("wasserstein_distance"), F.lit(widest)), F.lit(0.0))) * WEIGHTS["wasserstein_distance"]
         + (1 - F.col("ks_statistic")) * WEIGHTS["ks_statistic"]
     )
-    # one row joined to all
-    return grouped.join(F.broadcast(widest)).withColumn("similarity_score", score).drop("_widest")
+    return grouped.withColumn("similarity_score", score)
 
 
 def top_and_bottom(df: DataFrame, by: str, n: int, tie: Sequence[str]) -> DataFrame:

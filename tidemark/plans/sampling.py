@@ -97,13 +97,11 @@ def add_scales(samples: DataFrame, levels: Sequence[Level]) -> DataFrame:
 
 def balanced(samples: DataFrame, actionable_rate: float, seed: int) -> DataFrame:
     """All samples with a signal and so many of the others that signals make up the rate, drawn by hash."""
-    counts = samples.agg(
-        F.count_if("is_actionable").alias("_yes"), F.count_if(~F.col("is_actionable")).alias("_no")
-    )
-    keep = F.try_divide(F.col("_yes") * (1 / actionable_rate - 1), F.col("_no"))
+    # two numbers
+    yes, no = samples.agg(F.count_if("is_actionable"), F.count_if(~F.col("is_actionable"))).first()
+    keep = yes * (1 / actionable_rate - 1) / no if no else 1.0
     luck = F.pmod(F.xxhash64("symbol", "draw", F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000
-    # one row joined to all
-    return samples.join(F.broadcast(counts)).where(F.col("is_actionable") | (luck < keep)).drop("_yes", "_no")
+    return samples.where(F.col("is_actionable") | (luck < keep))
 
 
 def random_samples(

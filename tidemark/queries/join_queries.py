@@ -26,7 +26,7 @@ FROM events t ASOF LEFT JOIN (SELECT * FROM f WHERE atr IS NOT NULL) f ON t.even
 def asof_backward(spark, sf):
     atr = add_atr(stacked(spark, sf).where("timeframe = '4h'"), 14).where("atr is not null")
     bars = atr.withColumn("bar_date", F.col("date"))
-    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "atr"], block_s=5 * DAYS)
+    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "atr"], block_s=5 * DAYS, dense=True)
     return out.select("seq", "symbol", "bar_date", r6("atr").alias("atr"))
 
 
@@ -36,7 +36,8 @@ ASOF LEFT JOIN c_4h c ON t.event_type = c.symbol AND c.date >= t.ts""")
 def asof_forward(spark, sf):
     bars = candles(spark, sf, "4h").withColumn("bar_date", F.col("date"))
     out = asof_join(
-        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "open"], direction="forward", block_s=5 * DAYS
+        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "open"], direction="forward", block_s=5 * DAYS,
+        dense=True,
     )
     return out.select("seq", "bar_date", "open")
 
@@ -70,7 +71,7 @@ SELECT t.event_id AS seq, c.date AS matched FROM events t
 ASOF LEFT JOIN c_1h c ON t.event_type = c.symbol AND c.date < t.ts""")
 def nearest_match_left(spark, sf):
     bars = candles(spark, sf).select("symbol", "date", F.col("date").alias("matched"))
-    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], allow_equal=False)
+    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], allow_equal=False, dense=True)
     return out.select("seq", "matched")
 
 
@@ -80,7 +81,8 @@ ASOF LEFT JOIN c_1D c ON t.event_type = c.symbol AND c.date > t.ts""")
 def nearest_match_right(spark, sf):
     bars = candles(spark, sf, "1D").select("symbol", "date", F.col("date").alias("matched"))
     out = asof_join(
-        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], direction="forward", allow_equal=False
+        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], direction="forward", allow_equal=False,
+        dense=True,
     )
     return out.select("seq", "matched")
 

@@ -394,13 +394,13 @@ od AS (SELECT feature, symbol_1, symbol_2, n1, n2, sum(gap * coalesce(width, 0))
 @query("describe_by_symbol", f"""{SQL_X} SELECT symbol, feature, n, {s6("mean", "mean")}, {s6("std", "std")}, {s6("mn", "min")}, {s6("p25", "p25")},
   {s6("p50", "p50")}, {s6("p75", "p75")}, {s6("mx", "max")} FROM st""")
 def describe_by_symbol(spark, sf):
-    out = sim.describe(sim.long_form(candles(spark, sf), ["close", "volume"]))
+    out = sim.describe(staged(sim.value_counts(sim.long_form(candles(spark, sf), ["close", "volume"]))))
     return out.select("symbol", "feature", "n", *[r6(c).alias(c) for c in sim.STATS])
 
 
 @query("symbol_pairs", f"{SQL_X} SELECT feature, symbol_1, symbol_2, n1 AS n_1, n2 AS n_2 FROM pr")
 def symbol_pairs(spark, sf):
-    stats = staged(sim.describe(sim.long_form(candles(spark, sf), ["close", "volume"])))
+    stats = staged(sim.describe(staged(sim.value_counts(sim.long_form(candles(spark, sf), ["close", "volume"])))))
     return sim.symbol_pairs(stats).select("feature", "symbol_1", "symbol_2", "n_1", "n_2")
 
 
