@@ -95,6 +95,15 @@ def add_scales(samples: DataFrame, levels: Sequence[Level]) -> DataFrame:
     )
 
 
+def scale_parameters(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same three scales for groups of rows in long form: `(keys, price_scale, price_shift, volume_scale)`."""
+    return frame.groupBy(*keys).agg(
+        F.try_divide(F.lit(1.0), F.avg("atr")).alias("price_scale"),
+        (-F.max_by("close", "date")).alias("price_shift"),
+        F.try_divide(F.lit(1.0), F.avg("volume")).alias("volume_scale"),
+    )
+
+
 def balanced(samples: DataFrame, actionable_rate: float, seed: int) -> DataFrame:
     """All samples with a signal and so many of the others that signals make up the rate, drawn by hash."""
     # two numbers

@@ -48,8 +48,15 @@ def candle_trend(with_tops: DataFrame) -> DataFrame:
     trend = F.when((p1 > p0) & (v1 > v0), BULLISH).when((p1 < p0) & (v1 < v0), BEARISH).when(known, SIDE)
     out = with_tops.withColumn("bull_bear_side", trend)
     out = staged(out.withColumn("is_final", F.col("bull_bear_side").isNotNull()))
-    out = filled(filled(out, ["bull_bear_side"]), ["bull_bear_side"], forward=False)
-    return out.withColumn("bull_bear_side", F.coalesce("bull_bear_side", F.lit(SIDE)))
+    # all four tops are there from some candle on until another: what lacks a trend lies before or after those
+    known = out.where("is_final").groupBy(*SERIES).agg(
+        F.min_by("bull_bear_side", "date").alias("_first"),
+        F.max_by("bull_bear_side", "date").alias("_last"),
+        F.max("date").alias("_until"),
+    )
+    outer = F.when(F.col("date") > F.col("_until"), F.col("_last")).otherwise(F.col("_first"))
+    side = F.coalesce("bull_bear_side", outer, F.lit(SIDE))
+    return out.join(known, list(SERIES), "left").withColumn("bull_bear_side", side).drop("_first", "_last", "_until")
 
 
 def rally_base_drop(with_tops: DataFrame) -> DataFrame:
@@ -70,12 +77,10 @@ def trend_segments(candles: DataFrame) -> DataFrame:
         rows = rows.withColumn("_before", F.lag("bull_bear_side").over(w))
         return rows.where(F.col("_before").isNull() | (F.col("_before") != F.col("bull_bear_side")))
 
-    def ends(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumn("end", F.lead("date").over(w))
-
     starts = staged(framed(candles, changes, before=1).select(*SERIES, "date", "bull_bear_side"))
     last = candles.groupBy(*SERIES).agg(F.max("date").alias("_last"))
-    runs = framed(numbered(starts, name="_run"), ends, after=1, bar="_run")
+    following = starts.select(*SERIES, "date", F.col("date").alias("end"))
+    runs = asof_join(starts, following, ["end"], by=SERIES, direction="forward", allow_equal=False)
     return runs.join(last, list(SERIES)).select(
         *SERIES, "date", "bull_bear_side", F.coalesce("end", "_last").alias("end")
     )

@@ -13,7 +13,7 @@ from tidemark.operators.smoothing import add_atr
 from tidemark.plans import sampling as sp
 from tidemark.queries import query
 from tidemark.queries.structure_queries import sql_mt_atr
-from tidemark.queries.views import candles, daily_raw, ntz, raw_candles, s6, sql_candles, sql_daily, stacked, table, ticks
+from tidemark.queries.views import candles, daily_raw, ntz, raw_candles, s6, sql_atr, sql_candles, sql_daily, sql_ewm, stacked, table, ticks
 from tidemark.session import shared_folder, staged
 from tidemark.sources import manifest as mf
 from tidemark.sources import sinks
@@ -253,3 +253,23 @@ def random_training_samples(spark, sf):
         *[F.size(v.name).alias(f"bars_{v.name}") for v in levels],
         F.round(F.aggregate("double", F.lit(0.0), lambda a, x: a + x[3].cast("double")), 4).alias("scaled_closes"),
     )
+
+
+@query("scale_parameters", f"""WITH {sql_candles()}, {sql_atr("a", "c_1h", 14)}
+SELECT symbol, date_trunc('day', date) AS day, round(1 / nullif(avg(atr), 0), 8) + 0.0 AS price_scale, -last(close ORDER BY date) AS price_shift,
+  round(1 / nullif(avg(volume), 0), 8) + 0.0 AS volume_scale FROM a GROUP BY 1, 2""")
+def scale_parameters(spark, sf):
+    rows = add_atr(candles(spark, sf), 14).withColumn("day", F.date_trunc("day", "date").cast("timestamp_ntz"))
+    out = sp.scale_parameters(rows, ["symbol", "day"])
+    return out.select(
+        "symbol", "day", (F.round("price_scale", 8) + F.lit(0.0)).alias("price_scale"), "price_shift",
+        (F.round("volume_scale", 8) + F.lit(0.0)).alias("volume_scale"),
+    )
+
+
+@query("candles_with_indicators", f"""WITH {sql_candles()}, {sql_atr("a", "c_1h", 14)}, {sql_ewm("e", "a", "volume", 1 / 14, 14, "rma")},
+b AS (SELECT *, CASE WHEN count(*) OVER w = 5 THEN avg(close) OVER w END AS m FROM e WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING))
+SELECT symbol, date, {s6("m", "bbands_m")}, {s6("close / nullif(atr, 0)", "rel_close")}, {s6("volume / nullif(rma, 0)", "volume_atr")} FROM b""")
+def candles_with_indicators(spark, sf):
+    out = sp.frame_with_indicators(candles(spark, sf), 14)
+    return out.select(*KEY, *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("bbands_m", "rel_close", "volume_atr")])

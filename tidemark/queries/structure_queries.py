@@ -35,7 +35,7 @@ def _tops(mt):
 
 
 def _effective(tops):
-    return staged(tp.effective_tops(tops, LADDER))
+    return tp.effective_tops(tops, LADDER)
 
 
 def _trends(spark, sf, expand=True):
