@@ -106,6 +106,14 @@ def test_crossing_of_rows_without_level_or_time_and_outside_the_target(spark, se
     }
 
 
+def test_crossing_with_base_rows_dealt_out(series):
+    v = list(np.cumsum(np.random.default_rng(12).normal(size=120)))
+    df = series(tf="1h", close=v)
+    whole = first_crossing(df, df, "close", "close", "gt", 3600, block_bars=16)
+    dealt = first_crossing(df, df, "close", "close", "gt", 3600, block_bars=16, base_parts=3)
+    assert column(whole, "right_crossing_time") == column(dealt, "right_crossing_time")
+
+
 def test_nearest_known_hand_values():
     times, prices = np.array([0, 30, 200]), np.array([100.0, 105.0, 98.0])
     # an anchor at 250 with an hour's wait knows events up to 190; a bar sees only events before it

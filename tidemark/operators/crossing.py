@@ -103,12 +103,14 @@ def first_crossing(
     target_time: str | Column = "date",
     same_time: bool = False,
     block_bars: int = BLOCK_BARS,
+    base_parts: int = 1,
 ) -> DataFrame:
     """Add `<direction>_crossing_time` and `<direction>_crossing_value`, NULL where the level is never beaten.
 
     `bar_s` is the width of a target bar in seconds: a block covers `block_bars` of them, so it holds at most that
-    many target rows of a series. `same_time` lets a target row at the base's own time count. Base and target are
-    read more than once; give tables or staged results.
+    many target rows of a series. `same_time` lets a target row at the base's own time count. Where a block may have
+    far more base rows than bars, `base_parts` deals them out to that many groups, each with the block's target rows.
+    Base and target are read more than once; give tables or staged results.
     """
     up, strict = COMPARATORS[comparator]
     span = F.lit(bar_s * block_bars * 1_000_000)
@@ -137,8 +139,12 @@ def first_crossing(
     )
     index = b.select(*keys).distinct().join(series, list(by))
     other = t.unionByName(index, allowMissingColumns=True)
+    groups = [*keys, "_part"]
+    b = b.withColumn("_part", spread(base.columns, base_parts) if base_parts > 1 else F.lit(0).cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(base_parts - 1).cast("long"))
+    other = other.withColumn("_part", F.explode(parts) if base_parts > 1 else F.lit(0).cast("long"))
     # base and target often come from one table; other column names keep the two sides apart
-    other = other.select(*[F.col(k).alias(f"_target_{k}") for k in keys], "_t", "_v", "_index")
+    other = other.select(*[F.col(k).alias(f"_target_{k}") for k in groups], "_t", "_v", "_index")
     extra = []
     for d in directions:
         extra += [
@@ -148,8 +154,8 @@ def first_crossing(
             T.StructField(f"_{d}_far", T.BooleanType()),
         ]
     out = (
-        b.groupBy(*keys)
-        .cogroup(other.groupBy(*[f"_target_{k}" for k in keys]))
+        b.groupBy(*groups)
+        .cogroup(other.groupBy(*[f"_target_{k}" for k in groups]))
         .applyInArrow(_block_search(directions, strict, same_time), schema=T.StructType([*b.schema.fields, *extra]))
     )
 
