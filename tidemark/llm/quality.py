@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filtered_by_arrow, held_out, through_arrow
@@ -114,11 +114,11 @@ def _sparse():
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, max_rows: int = 8000, rounds: int = 12,
+    docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, max_rows: int = 8000, rounds: int = 12,
     rate: float = 0.05, decay: float = 1e-4,
 ) -> Model:
-    """Fit on labelled texts; `grade` is an expression over `labels`, 0 to n_grades - 1 (others are clipped)."""
-    sample = labelled(docs, labels, F.least(F.greatest(grade, F.lit(0)), F.lit(n_grades - 1)), max_rows)
+    """Fit on labelled texts; `grade` is SQL over `labels`, 0 to n_grades - 1 (others are clipped)."""
+    sample = labelled(docs, labels, F.least(F.greatest(F.expr(grade), F.lit(0)), F.lit(n_grades - 1)), max_rows)
     got = through_arrow(sample, ["doc_id", "grade"], "bins binary, shares binary", _sparse).toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
     return _fitted(

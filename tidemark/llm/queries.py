@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, quality, token_counts, toxicity
+from tidemark.llm import byte_bpe, language, mixing, quality, quality_rules, simhash, token_counts, toxicity
 from tidemark.llm.common import held_out, table
 from tidemark.session import tune
 
@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Ratings of 0 (poor), 1 (good prose, but toxic), 2 (good and clean).
-GRADE = F.expr("quality * (2 - toxic)")
+GRADE = "quality * (2 - toxic)"
 N_GRADES = 3
 
 
@@ -49,6 +49,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grades(docs, model)
 
 
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
@@ -57,7 +62,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("toxic"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
     return toxicity.scores(docs, model, least_score=0.3)
 
 
@@ -73,3 +78,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer("byte_bpe_50k.tiktoken"), split_pattern()
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, packed=True)
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
+
+
+@query("op9_quality_rules", quality_rules.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op10_source_mix", mixing.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))

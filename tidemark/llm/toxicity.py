@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, through_arrow
 from tidemark.llm.hashing import Tables, Words, bins, mixed, runs
@@ -72,11 +73,11 @@ def _sparse():
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, toxic: Column, max_rows: int = 12000, rounds: int = 4,
+    docs: DataFrame, labels: DataFrame, toxic: str, max_rows: int = 12000, rounds: int = 4,
     alpha: float = 0.3, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1,
 ) -> Model:
-    """Fit on labelled texts; `toxic` is an expression over `labels`, 0 or 1."""
-    sample = labelled(docs, labels, toxic, max_rows)
+    """Fit on labelled texts; `toxic` is SQL over `labels`, 0 or 1."""
+    sample = labelled(docs, labels, F.expr(toxic), max_rows)
     got = through_arrow(sample, ["doc_id", "grade"], "coordinates binary", _sparse).toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
     order = np.random.default_rng(3).permutation(len(got))  # ids may come in groups
