@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from tidemark.queries import QUERIES
 from tools.check import differences
 
 CHECKED = [
@@ -26,8 +27,8 @@ def con():
 def test_registry():
     names, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(names)
-    assert len(names) > 150
-    assert not [n for n in names if re.fullmatch(r"op\d+_.*", n) or "pipeline" in n]
+    own = [n for n in names if not (re.fullmatch(r"op\d+_.*", n) or n == "pipeline")]
+    assert set(own) == set(QUERIES) and len(own) > 150
 
 
 def test_entry(spark):
