@@ -2,8 +2,9 @@
 
 DataFrame functions only. One pass over the texts makes the counts and the votes; the distinct patterns of votes
 (3 to the number of rules at most) with their numbers of documents are all that expectation-maximisation needs, so it runs on a
-table of a few hundred rows. A rule that votes is right with its accuracy, independently of the others given the true
-quality; abstaining says nothing. The posterior probability of being good replaces "all rules must pass".
+table of a few hundred rows. A rule that votes is right with one accuracy on good documents and another on poor ones
+(a rule sees one kind of junk only, so the latter is held low), independently of the others given the true quality; abstaining says nothing.
+The posterior probability of being good replaces "all rules must pass".
 
 Repeats of 5-word windows are found by the windows' XXH64, in one sort per text.
 
@@ -22,22 +23,25 @@ from tidemark.llm.common import staged
 
 WINDOW = 5
 BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]+"
 #: (name, good when, bad when); otherwise the rule abstains. SQL over the columns of `counts`.
 RULES = [
     ("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
-    ("lines", "n_lines >= 3 AND n_dup_lines = 0", "10 * n_dup_lines > 2 * n_lines"),
-    ("repeats", "n_words >= 30 AND 100 * n_repeat_words <= 2 * n_words", "100 * n_repeat_words > 10 * n_words"),
+    ("marks", "50 * n_marks <= n_words", "20 * n_marks > n_words"),
+    ("lines", "n_lines >= 3 AND n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeats", "n_words >= 30 AND 100 * n_repeat_words <= 2 * n_words", "100 * n_repeat_words > 15 * n_words"),
     ("capitals", "10 * n_capitals <= word_chars", "10 * n_capitals > 4 * word_chars"),
     ("length", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     ("stops", "n_stops >= 1 AND 40 * n_stops >= n_words", "n_words >= 60 AND n_stops = 0"),
 ]
 ROUNDS = 20
-#: A rule is taken to be better than a coin and never sure.
-LEAST, MOST = 0.55, 0.99
+#: First guesses, and limits that keep "good" and "poor" in their roles: accuracy on good documents, on poor ones, share of good.
+GUESS = {"good": (0.99, 0.99, 0.999), "poor": (0.3, 0.2, 0.4), "share": (0.8, 0.05, 0.95)}
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stops of every row."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks (runs of
+    symbols), n_capitals, n_stops of every row."""
     text = F.coalesce("text", F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -48,7 +52,8 @@ def counts(docs: DataFrame) -> DataFrame:
         "doc_id", "w", lines.alias("lines"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        without(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        without(SYMBOLS).cast("long").alias("n_symbols"),
+        (F.length(F.regexp_replace("t", SYMBOLS, "#")) - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_marks"),
         without(r"[A-Z]+").cast("long").alias("n_capitals"),
         without(r"[.!?](?=[\x20\x09-\x0D]|$)").cast("long").alias("n_stops"),
         F.when(F.size("w") >= WINDOW, F.transform(
@@ -60,7 +65,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"), "n_capitals", "n_stops",
+        F.size("lines").cast("long").alias("n_lines"), "n_marks", "n_capitals", "n_stops",
     )
 
 
@@ -89,23 +94,34 @@ def votes(counted: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Data
     return counted.withColumns(said)
 
 
-def estimated(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) from the patterns of votes and how many documents have each."""
-    share, accuracy = 0.7, [0.8] * n_rules
+def weight(vote: int, good: float, poor: float) -> float:
+    """What a vote adds to the log odds of being good."""
+    return math.log(good / (1 - poor)) if vote > 0 else math.log((1 - good) / poor) if vote < 0 else 0.0
+
+
+def estimated(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS):
+    """(share of good documents, accuracies on good, accuracies on poor) from the patterns of votes and their numbers.
+
+    Every estimate starts with two documents' worth of its first guess.
+    """
+    share, good, poor = GUESS["share"][0], [GUESS["good"][0]] * n_rules, [GUESS["poor"][0]] * n_rules
+    held = lambda value, kind: min(max(value, GUESS[kind][1]), GUESS[kind][2])
     for _ in range(rounds):
-        good = total = 0.0
-        right, voted = [1.6] * n_rules, [2.0] * n_rules  # two documents' worth of the first guess
+        total, of_good = 2.0, 2 * GUESS["share"][0]
+        sums = [[2 * GUESS["good"][0], 2.0, 2 * GUESS["poor"][0], 2.0] for _ in range(n_rules)]
         for vote, n in patterns:
-            odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, accuracy, strict=True))
+            odds = math.log(share / (1 - share)) + sum(weight(v, g, b) for v, g, b in zip(vote, good, poor, strict=True))
             p = 1 / (1 + math.exp(-odds))
-            good, total = good + n * p, total + n
-            for r, v in enumerate(vote):
+            total, of_good = total + n, of_good + n * p
+            for s, v in zip(sums, vote, strict=True):
                 if v:
-                    right[r] += n * (p if v > 0 else 1 - p)
-                    voted[r] += n
-        share = min(max((good + 0.7) / (total + 1), 0.05), 0.95)
-        accuracy = [min(max(a / b, LEAST), MOST) for a, b in zip(right, voted, strict=True)]
-    return share, accuracy
+                    s[0] += n * p * (v > 0)
+                    s[1] += n * p
+                    s[2] += n * (1 - p) * (v < 0)
+                    s[3] += n * (1 - p)
+        share = held(of_good / total, "share")
+        good, poor = [held(s[0] / s[1], "good") for s in sums], [held(s[2] / s[3], "poor") for s in sums]
+    return share, good, poor
 
 
 def judged(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, least_probability: float = 0.5) -> DataFrame:
@@ -113,10 +129,10 @@ def judged(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, least_pro
     voted = staged(votes(counts(docs), rules))
     names = [f"vote_{name}" for name, _, _ in rules]
     found = voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()  # 3 ** rules rows at most
-    share, accuracy = estimated([(tuple(r[n] for n in names), r["n"]) for r in found], len(rules))
+    share, good, poor = estimated([(tuple(r[n] for n in names), r["n"]) for r in found], len(rules))
     odds = F.lit(math.log(share / (1 - share)))
-    for name, a in zip(names, accuracy, strict=True):
-        odds = odds + F.col(name) * F.lit(math.log(a / (1 - a)))
+    for name, g, b in zip(names, good, poor, strict=True):
+        odds = odds + F.when(F.col(name) > 0, weight(1, g, b)).when(F.col(name) < 0, weight(-1, g, b)).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     probability = F.round(1 / (1 + F.exp(-odds)), 4)
     return voted.select(
@@ -140,7 +156,8 @@ def _sql() -> str:
         f"""again AS (SELECT rid, sum(n) AS n FROM (SELECT rid,
             least({WINDOW}, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), i - {WINDOW})) AS n FROM twice) GROUP BY rid)""",
         rf"""counted AS (SELECT w.rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
-            {count('[#*$%&|<>]')} AS n_symbols, {count('[A-Z]')} AS n_capitals,
+            {count('[#*$%&|<>]')} AS n_symbols,
+            len(regexp_extract_all(t, '{SYMBOLS}')) AS n_marks, {count('[A-Z]')} AS n_capitals,
             len(regexp_extract_all(t || ' ', '[.!?][\x20\x09-\x0D]')) AS n_stops,
             len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
             coalesce(again.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again ON w.rid = again.rid)""",
@@ -148,16 +165,23 @@ def _sql() -> str:
             f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}"
             for i, (_, good, bad) in enumerate(RULES)) + " FROM counted)",
         "patterns AS (SELECT " + ", ".join(f"v{i}" for i in range(len(RULES))) + ", count(*) AS n FROM voted GROUP BY ALL)",
-        "m0 AS (SELECT 0.7::DOUBLE AS s, " + ", ".join(f"0.8::DOUBLE AS a{i}" for i in range(len(RULES))) + ")",
+        f"m0 AS (SELECT {GUESS['share'][0]}::DOUBLE AS s, " + ", ".join(
+            f"{GUESS['good'][0]}::DOUBLE AS a{i}, {GUESS['poor'][0]}::DOUBLE AS b{i}" for i in range(len(RULES))) + ")",
     ]
-    odds = "ln(s / (1 - s)) + " + " + ".join(f"v{i} * ln(a{i} / (1 - a{i}))" for i in range(len(RULES)))
+    odds = "ln(s / (1 - s)) + " + " + ".join(
+        f"CASE v{i} WHEN 1 THEN ln(a{i} / (1 - b{i})) WHEN -1 THEN ln((1 - a{i}) / b{i}) ELSE 0 END" for i in range(len(RULES)))
+
+    def share(above: str, below: str, kind: str) -> str:
+        guess, least, most = GUESS[kind]
+        value = f"({2 * guess} + coalesce(sum({above}), 0)) / (2.0 + coalesce(sum({below}), 0))"
+        return f"least(greatest({value}, {least}), {most})::DOUBLE"
+
     for k in range(ROUNDS):
         parts.append(f"e{k} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns p, m{k})")
         fresh = ", ".join(
-            f"""least(greatest((1.6 + coalesce(sum(n * CASE v{i} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END), 0))
-            / (2.0 + coalesce(sum(n * abs(v{i})), 0)), {LEAST}), {MOST})::DOUBLE AS a{i}""" for i in range(len(RULES)))
-        parts.append(f"""m{k + 1} AS MATERIALIZED (SELECT least(greatest((coalesce(sum(n * p), 0) + 0.7)
-            / (coalesce(sum(n), 0) + 1), 0.05), 0.95)::DOUBLE AS s, {fresh} FROM e{k})""")
+            f"{share(f'n * p * (v{i} > 0)::INT', f'n * p * abs(v{i})', 'good')} AS a{i}, "
+            f"{share(f'n * (1 - p) * (v{i} < 0)::INT', f'n * (1 - p) * abs(v{i})', 'poor')} AS b{i}" for i in range(len(RULES)))
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT {share('n * p', 'n', 'share')} AS s, {fresh} FROM e{k})")
     parts.append(f"""scored AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         round(1 / (1 + exp(-({odds}))), 4) AS quality_probability FROM voted, m{ROUNDS})""")
     return "WITH " + ",\n".join(parts) + """
