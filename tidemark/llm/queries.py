@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, mixing, quality, quality_rules, simhash, token_counts, toxicity
+from tidemark.llm import byte_bpe, language, mixing, quality, quality_rules, simhash, token_counts, topk, toxicity, warc
 from tidemark.llm.common import held_out, table
 from tidemark.session import tune
 
@@ -66,6 +66,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model, least_score=0.3)
 
 
+@query("op5_topk_search", topk.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +85,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
 
 
+@query("op8_warc", warc.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, to = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.read(archives, to, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_quality_rules", quality_rules.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
