@@ -184,7 +184,7 @@ def normalise(archives: DataFrame, to: str) -> DataFrame:
             [pa.array([f"{name}.warc.gz"]), pa.array([f"{name}.idx"]), pa.array([count], pa.int64())],
             names=["archive", "index", "records"])
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, "archive string, index string, records bigint")
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, "archive string, index string, records bigint")
 
 
 def read(archives: DataFrame, to: str, payloads: bool = True) -> DataFrame:
@@ -227,7 +227,7 @@ def read(archives: DataFrame, to: str, payloads: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return archives.select("archive", "index").repartition(F.col("archive")).mapInArrow(run, schema)
+    return archives.select("archive", "index").repartition(max(1, archives.count())).mapInArrow(run, schema)
 
 
 def archived(pages: DataFrame, least_bytes: int = 100) -> tuple[DataFrame, str]:
