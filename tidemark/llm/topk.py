@@ -25,6 +25,7 @@ from tidemark.llm.common import staged
 #: Rows, and queries, that meet in one task.
 ROWS = 8192
 QUERIES = 2048
+MOST_TASKS = 20_000
 #: Entries read from every list in the first round; doubled each round.
 FIRST = 64
 
@@ -108,6 +109,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, scale: int = 64, rows:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
+    cells = min(row_blocks * query_blocks, MOST_TASKS)
+    left, right = left.repartition(cells, "qb", "rb"), right.repartition(cells, "qb", "rb")
     met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
