@@ -210,7 +210,8 @@ def shard_links(fps: DataFrame, radius: int) -> DataFrame:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
 
-    return dealt.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(search, "a bigint, b bigint")
+    tasks = max(1, n * len(chosen) // FOREST)
+    return dealt.select("cell", "fp").repartition(tasks, "cell").sortWithinPartitions("cell", "fp").mapInArrow(search, "a bigint, b bigint")
 
 
 def star_forest(links: DataFrame) -> DataFrame:
