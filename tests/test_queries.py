@@ -50,3 +50,11 @@ def test_no_cross_join_and_no_window_over_a_whole_series(spark, name):
         keys = spec.split(" ASC")[0]
         # windows run inside a block; those over the blocks of a series order by the block itself
         assert "_block" in keys, spec
+
+
+@pytest.mark.parametrize("name", ["candle_resample", "candle_ladder", "range_scan"])
+def test_ticks_aggregate_by_hash(spark, name, monkeypatch):
+    from tidemark.operators import resample
+
+    monkeypatch.setattr(resample, "staged", lambda df: df)  # the whole plan in one
+    assert "SortAggregate" not in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

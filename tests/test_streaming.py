@@ -44,7 +44,7 @@ def test_labels_wait_for_their_horizon(spark, tmp_path):
     live.run_to_end(live.excursions(live.matured_horizons(stream, "5min", 3, "0 minutes")), out)
     got = sorted(((r.date - START).total_seconds() / 60, r.mfe_long, r.mae_long) for r in spark.read.parquet(out).collect())
     # bars 0 … 6 are closed at the mark of minute 35
-    assert got == [(5.0 * (i - 1), 3.0, 0.0) for i in range(5)]
+    assert got == [(5.0 * (i - 1), 3.0, 0.0) for i in range(1, 5)]
 
 
 def test_windows_are_rewritten_whole_and_repeats_change_nothing(spark, tmp_path):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.clock import epoch_us
 from tidemark.functions.ladder import bar_of, start_of_bar
 from tidemark.operators.blocks import BLOCK_BARS
 from tidemark.session import staged
@@ -13,9 +14,23 @@ from tidemark.session import staged
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
+def order_key(ticks: DataFrame, order: Sequence[str]) -> Column:
+    """The order of ticks as one value of fixed width, so that first and last prices aggregate by hash, without a sort.
+
+    A time and a whole number become one decimal: 18 digits of microseconds (years 1 to 9999), 20 digits of number.
+    """
+    kinds = [ticks.schema[c].dataType.typeName() for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[0].startswith("timestamp") and kinds[1] in ("long", "integer", "short", "byte"):
+        number = F.col(order[1]).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+        return epoch_us(order[0]).cast("decimal(18,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + number
+    return F.struct(*order)
+
+
 def ticks_to_candles(ticks: DataFrame, tf: str, order: Sequence[str] = ("date",)) -> DataFrame:
     """Ticks `(symbol, date, price, volume)` to candles of one timeframe; `order` is a full order of the ticks."""
-    key = F.struct(*order)
+    key = order_key(ticks, order)
     return (
         ticks.withColumn("bar", bar_of("date", tf))
         .groupBy("symbol", "bar")

@@ -16,8 +16,6 @@ from tidemark.session import staged
 KEY = ["symbol", "date"]
 W = "PARTITION BY symbol ORDER BY date"
 DAYS = 86_400
-# blocks smaller than the series, so that the block-to-block steps work on these tables too
-SMALL = {"block_bars": 128}
 
 
 @query("asof_backward", f"""WITH {sql_stacked()}, {sql_atr("f", "c_4h", 14)}
@@ -100,7 +98,7 @@ SELECT c.symbol, c.date, x.t AS crossing_time, n.high AS crossing_value FROM c_1
 LEFT JOIN x ON c.symbol = x.symbol AND c.date = x.date LEFT JOIN c_1h n ON n.symbol = c.symbol AND n.date = x.t""")
 def first_crossing_right(spark, sf):
     c = staged(candles(spark, sf))
-    out = first_crossing(c, c, "high", "high", "gt", 3600, **SMALL)
+    out = first_crossing(c, c, "high", "high", "gt", 3600)
     return out.select(*KEY, F.col("right_crossing_time").alias("crossing_time"), F.col("right_crossing_value").alias("crossing_value"))
 
 
@@ -109,7 +107,7 @@ SELECT c.symbol, c.date, x.t AS crossing_time, n.low AS crossing_value FROM c_1h
 LEFT JOIN x ON c.symbol = x.symbol AND c.date = x.date LEFT JOIN c_1h n ON n.symbol = c.symbol AND n.date = x.t""")
 def first_crossing_left(spark, sf):
     c = staged(candles(spark, sf))
-    out = first_crossing(c, c, "low", "low", "lt", 3600, directions=("left",), **SMALL)
+    out = first_crossing(c, c, "low", "low", "lt", 3600, directions=("left",))
     return out.select(*KEY, F.col("left_crossing_time").alias("crossing_time"), F.col("left_crossing_value").alias("crossing_value"))
 
 
@@ -118,7 +116,7 @@ SELECT c.symbol, c.date, epoch(r.t - c.date) / 60 AS right_minutes, epoch(c.date
 LEFT JOIN r ON c.symbol = r.symbol AND c.date = r.date LEFT JOIN l ON c.symbol = l.symbol AND c.date = l.date""")
 def nearest_reach(spark, sf):
     c = staged(candles(spark, sf))
-    out = first_crossing(c, c, "high", "high", "ge", 3600, directions=("right", "left"), **SMALL)
+    out = first_crossing(c, c, "high", "high", "ge", 3600, directions=("right", "left"))
     return out.select(
         *KEY,
         minutes_between("right_crossing_time", "date").alias("right_minutes"),
@@ -149,7 +147,7 @@ def sql_extremum(source="c_1h", name="ext"):
 SELECT symbol, date, CASE WHEN isinf(peak) THEN -1.0 ELSE peak END AS peak_reach,
   CASE WHEN isinf(valley) THEN -1.0 ELSE valley END AS valley_reach, CAST(size AS DOUBLE) AS size, sign FROM ext""")
 def true_extremum(spark, sf):
-    out = tp.add_true_extremum(staged(candles(spark, sf)), "1h", **SMALL)
+    out = tp.add_true_extremum(staged(candles(spark, sf)), "1h")
 
     def finite(c):
         return F.when(F.col(c) == float("inf"), -1.0).otherwise(F.col(c))
@@ -219,7 +217,7 @@ def sql_strength(tops="tops", source="c_1h", name="strong"):
 SELECT symbol, date, top_type, strength, permanent_strength FROM strong""")
 def top_strength(spark, sf):
     c = staged(candles(spark, sf))
-    out = tp.add_strength(staged(tp.find_tops(c)), c, "1h", **SMALL)
+    out = tp.add_strength(staged(tp.find_tops(c)), c, "1h")
     return out.select(*KEY, "top_type", "strength", "permanent_strength")
 
 

@@ -220,9 +220,9 @@ def range_needed_for_now(spark, sf):
 @query("forecast_reconstruction", f"""WITH RECURSIVE {sql_candles()},
 b AS (SELECT symbol, date, high, low, high AS mean_high, low AS mean_low, greatest(1.0, high - low) AS std_high, greatest(1.0, high - low) AS std_low, bar FROM c_1h),
 w AS (SELECT symbol, date, 0 AS step, high, low, mean_high, mean_low, std_high, std_low, bar FROM b
-  UNION ALL SELECT w.symbol, w.date, w.step + 1, n.h, n.l, n.mh, n.ml, sqrt((256 * w.std_high * w.std_high + (n.h - n.mh) * (n.h - n.mh)) / 257), sqrt((256 * w.std_low * w.std_low + (n.l - n.ml) * (n.l - n.ml)) / 257), w.bar
-  FROM w, LATERAL (SELECT h, l, (w.mean_high * 256 + h) / 257 AS mh, (w.mean_low * 256 + l) / 257 AS ml FROM (SELECT w.mean_high + w.std_high * ((w.step + 1) * 0.1) AS h, w.mean_low + w.std_low * (-(w.step + 1) * 0.05) AS l)) n WHERE w.step < 4)
-SELECT symbol, date, step, {s6("high", "high")}, {s6("low", "low")}, {s6("mean_high", "mean_high")}, {s6("std_low", "std_low")} FROM w""")
+  UNION ALL SELECT w.symbol, w.date, w.step + 1, n.h, n.l, n.mh, n.ml, sqrt((255 * w.std_high * w.std_high + (n.h - n.mh) * (n.h - n.mh)) / 256), sqrt((255 * w.std_low * w.std_low + (n.l - n.ml) * (n.l - n.ml)) / 256), w.bar
+  FROM w, LATERAL (SELECT h, l, (w.mean_high * 255 + h) / 256 AS mh, (w.mean_low * 255 + l) / 256 AS ml FROM (SELECT w.mean_high + w.std_high * ((w.step + 1) * 0.1) AS h, w.mean_low + w.std_low * (-(w.step + 1) * 0.05) AS l)) n WHERE w.step < 4)
+SELECT symbol, date, step, {s6("high + 1e-9", "high")}, {s6("low + 1e-9", "low")}, {s6("mean_high + 1e-9", "mean_high")}, {s6("std_low + 1e-9", "std_low")} FROM w""")
 def forecast_reconstruction(spark, sf):
     spread = F.greatest(F.lit(1.0), F.col("high") - F.col("low"))
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(i * 0.1).alias("n_high"), F.lit(-i * 0.05).alias("n_low")) for i in range(1, 5)])
@@ -230,8 +230,9 @@ def forecast_reconstruction(spark, sf):
         *KEY, "high", "low", F.col("high").alias("mean_high"), F.col("low").alias("mean_low"), spread.alias("std_high"),
         spread.alias("std_low"), steps.alias("steps"),
     )
-    out = sp.reconstruct_forecast(rows, divisor=257.0)
-    return out.select(*KEY, "step", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("high", "low", "mean_high", "std_low")])
+    # shares of 256 end in a decimal 5, which the engines round differently: move them off the middle
+    out = sp.reconstruct_forecast(rows)
+    return out.select(*KEY, "step", *[(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c) for c in ("high", "low", "mean_high", "std_low")])
 
 
 @query("random_training_samples")

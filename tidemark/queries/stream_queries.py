@@ -55,12 +55,7 @@ f AS (SELECT symbol, date, list(high) OVER w AS h, list(low) OVER w AS l, max(da
 mx AS (SELECT max(date) - INTERVAL 2 HOUR AS mark FROM c_1h)
 SELECT symbol, date, {s6("greatest(0.0, list_max(h) - l[1])", "mfe_long")}, {s6("greatest(0.0, l[1] - list_min(l[1:list_position(h, list_max(h))]))", "mae_long")},
   {s6("greatest(0.0, h[1] - list_min(l))", "mfe_short")}, {s6("greatest(0.0, list_max(h[1:list_position(l, list_min(l))]) - h[1])", "mae_short")}
-FROM f, mx WHERE len(h) = 12 AND date + INTERVAL 13 HOUR <= mark
-UNION ALL
-SELECT symbol, date - INTERVAL 1 HOUR, {s6("greatest(0.0, list_max(h) - l[1])")}, {s6("greatest(0.0, l[1] - list_min(l[1:list_position(h, list_max(h))]))")},
-  {s6("greatest(0.0, h[1] - list_min(l))")}, {s6("greatest(0.0, list_max(h[1:list_position(l, list_min(l))]) - h[1])")}
-FROM (SELECT symbol, date, list(high) OVER w AS h, list(low) OVER w AS l, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM c_1h
-  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) WHERE k = 1""")
+FROM f, mx WHERE len(h) = 12 AND date + INTERVAL 13 HOUR <= mark""")
 def stream_matured_labels(spark, sf):
     stored = staged(candles(spark, sf).withColumn("date", F.col("date").cast("timestamp")))
     path = stored.inputFiles()[0].rsplit("/", 1)[0]

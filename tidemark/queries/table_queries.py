@@ -407,7 +407,7 @@ def symbol_pairs(spark, sf):
 @query("symbol_distances", f"""{SQL_X}, pv AS (SELECT *, ks_statistic * ks_statistic * n1 * n2 / (n1 + n2) AS lam FROM od)
 SELECT feature, symbol_1, symbol_2, {s6("js_divergence", "js_divergence")}, {s6("cosine_similarity", "cosine_similarity")},
   {s6("wasserstein_distance", "wasserstein_distance")}, {s6("ks_statistic", "ks_statistic")},
-  {s6("least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam)))))", "ks_pvalue")}
+  {s6("CASE WHEN lam = 0 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 3 + CAST(ceil(5 / sqrt(lam)) AS BIGINT)), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam))))) END", "ks_pvalue")}
 FROM js JOIN pv USING (feature, symbol_1, symbol_2)""")
 def symbol_distances(spark, sf):
     out = sim.compare_symbols(candles(spark, sf), ["close", "volume"])

@@ -142,13 +142,18 @@ def window_coverage(
 
 
 class PartialCoverageError(ValueError):
-    """A window has rows of some timeframes only; nothing is patched silently."""
+    """Windows have rows of some timeframes only; nothing is patched silently. `windows` has all of them."""
+
+    def __init__(self, n: int, windows: DataFrame):
+        super().__init__(f"{n} windows have rows of some timeframes only")
+        self.windows = windows
 
 
 def require_whole_windows(coverage: DataFrame) -> DataFrame:
-    bad = coverage.where("state = 'partial'").select("symbol", "window", "lacking").take(5)
-    if bad:
-        raise PartialCoverageError("; ".join(f"{r.symbol} window {r.window} lacks {r.lacking}" for r in bad))
+    bad = coverage.where("state = 'partial'").select("symbol", "window", "lacking")
+    n = bad.count()
+    if n:
+        raise PartialCoverageError(n, bad)
     return coverage
 
 

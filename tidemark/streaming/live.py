@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions.clock import plus_seconds
 from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_bar
+from tidemark.operators.resample import order_key
 from tidemark.session import staged
 
 WEEK_START = "4 days"
@@ -28,7 +29,7 @@ def closed_candles(ticks: DataFrame, tf: str, late: str) -> DataFrame:
 
     Append mode gives a candle out when the watermark passes its end, so an open candle is never seen.
     """
-    key = F.struct("date", "seq")
+    key = order_key(ticks, ("date", "seq"))
     start = WEEK_START if tf == "1W" else "0 seconds"
     return (
         ticks.withWatermark("date", late)
@@ -47,17 +48,17 @@ def closed_candles(ticks: DataFrame, tf: str, late: str) -> DataFrame:
 def matured_horizons(candles: DataFrame, tf: str, horizon: int, late: str) -> DataFrame:
     """Per anchor of a candle stream the highs and lows of its next `horizon` bars, once all of them are closed.
 
-    A window of `horizon` bars slides by one bar; the watermark gives it out when it is over. The state is the bars
-    of one horizon per anchor. Anchors that lack bars (a gap in the stream) are left out.
+    A window of the anchor and `horizon` bars slides by one bar; the watermark gives it out when it is over. The state is
+    those bars per anchor. Anchors that lack bars (a gap in the stream), or their own candle, are left out.
     """
     width = TF_MINUTES[tf]
     bars = F.array_sort(F.collect_list(F.struct("date", "high", "low")))
     return (
         candles.withWatermark("date", late)
-        .groupBy("symbol", F.window("date", f"{width * horizon} minutes", f"{width} minutes").alias("_w"))
+        .groupBy("symbol", F.window("date", f"{width * (horizon + 1)} minutes", f"{width} minutes").alias("_w"))
         .agg(bars.alias("bars"))
-        .where(F.size("bars") == horizon)
-        .select("symbol", plus_seconds("_w.start", -width * 60).alias("date"), "bars")
+        .where(F.size("bars") == horizon + 1)
+        .select("symbol", F.col("_w.start").alias("date"), F.slice("bars", 2, horizon).alias("bars"))
     )
 
 
