@@ -52,6 +52,17 @@ def test_exponential_means_match_pandas_over_many_blocks(series, length):
     np.testing.assert_allclose(np.array([np.nan if v is None else v for v in got]), want, rtol=1e-10)
 
 
+@pytest.mark.parametrize("holes", [(40, 4000), (1, 4990), (0, 4000), (700, 2300)])
+@pytest.mark.parametrize("length", [14, 30])
+def test_exponential_means_outlive_any_gap(series, length, holes):
+    x = np.random.default_rng(4).uniform(1, 100, 5000)
+    x[holes[0] : holes[1]] = np.nan
+    df = series(volume=[None if np.isnan(v) else v for v in x])
+    got = np.array([np.nan if v is None else v for v in column(add_rma(df, "volume", length, "m"), "m")])
+    want = pd.Series(x).ewm(alpha=1 / length, min_periods=length).mean().to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-10)
+
+
 def test_atr_counts_from_the_second_bar(series):
     df = series(high=[3, 5, 9, 8], low=[1, 4, 6, 2], close=[2, 5, 7, 3])
     # true ranges: none, 3, 4, 6

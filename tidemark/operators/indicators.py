@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.operators.blocks import BLOCK_BARS, framed, running
-from tidemark.operators.smoothing import add_ewm, block_position, ema_alpha, ewm, ewm_block, ewm_reach, rma_alpha, sma
+from tidemark.operators.smoothing import add_ewm, ema_alpha, rma_alpha, sma
 from tidemark.operators.windows import frame_array, frame_max, frame_min, full, mid, slope
 
 # Usual indicator lengths.
@@ -55,15 +55,13 @@ def add_rsi(df: DataFrame, length: int = RSI_LENGTH, out: str = "rsi") -> DataFr
     alpha = rma_alpha(length)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumns({"_step": F.col("close") - F.lag("close").over(w), "_pos": block_position(w)})
-        gain = ewm(F.greatest(F.col("_step"), F.lit(0.0) * F.col("_step")), F.col("_pos"), w, alpha, length)
-        loss = ewm(F.greatest(-F.col("_step"), F.lit(0.0) * F.col("_step")), F.col("_pos"), w, alpha, length)
-        rows = rows.withColumns({"_gain": gain, "_loss": loss})
-        return rows.withColumn(out, F.try_divide(100 * F.col("_gain"), F.col("_gain") + F.col("_loss"))).drop(
-            "_step", "_pos", "_gain", "_loss"
-        )
+        return rows.withColumn("_step", F.col("close") - F.lag("close").over(w))
 
-    return framed(df, build, before=ewm_reach(alpha) + 1, size=ewm_block(alpha))
+    none = F.lit(0.0) * F.col("_step")
+    sides = {"_gain": (F.greatest(F.col("_step"), none), length), "_loss": (F.greatest(-F.col("_step"), none), length)}
+    rows = add_ewm(framed(df, build, before=1), sides, alpha)
+    share = F.try_divide(100 * F.col("_gain"), F.col("_gain") + F.col("_loss"))
+    return rows.withColumn(out, share).drop("_step", "_gain", "_loss")
 
 
 def add_mfi(df: DataFrame, length: int = MFI_LENGTH, out: str = "mfi") -> DataFrame:
@@ -204,21 +202,14 @@ def z_encode(df: DataFrame, tf: str, columns: list[str], length: int | None = No
     alpha = ema_alpha(n)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumn("_pos", block_position(w))
         for c in columns:
             rows = rows.withColumn(f"pre_{c}", F.lag(c).over(w))
-            rows = rows.withColumns(
-                {
-                    f"mean_{c}": ewm(F.col(f"pre_{c}"), F.col("_pos"), w, alpha, n),
-                    f"std_{c}": F.when(
-                        full(F.col(f"pre_{c}"), w, 1 - n, 0), F.stddev_samp(f"pre_{c}").over(w.rowsBetween(1 - n, 0))
-                    ),
-                }
-            )
-            rows = rows.withColumn(f"n_{c}", F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"std_{c}")))
-        return rows.drop("_pos")
-
-    return framed(df, build, before=ewm_reach(alpha) + 1, size=ewm_block(alpha))
+            spread = F.stddev_samp(f"pre_{c}").over(w.rowsBetween(1 - n, 0))
+            rows = rows.withColumn(f"std_{c}", F.when(full(F.col(f"pre_{c}"), w, 1 - n, 0), spread))
+        return rows
+
+    rows = add_ewm(framed(df, build, before=n), {f"mean_{c}": (F.col(f"pre_{c}"), n) for c in columns}, alpha)
+    return rows.withColumns({f"n_{c}": F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"std_{c}")) for c in columns})
 
 
 def z_decode(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Moving averages. All work on consecutive bars inside `framed` windows."""
+"""Moving averages over consecutive bars."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.operators.blocks import framed
+from tidemark.session import staged
 
 # Weights below this are under double precision next to the newest one.
 _NEGLIGIBLE = 1e-17
@@ -18,31 +19,10 @@ def ewm_reach(alpha: float) -> int:
 
 
 def ewm_block(alpha: float) -> int:
-    """Block size for an exponential mean: the copied rows stay a fraction, and weights stay in double range."""
+    """Block size for an exponential mean: a weight one block old is negligible, and weights stay in double range."""
     return 3 * ewm_reach(alpha)
 
 
-def ewm(value: Column, position: Column, w: WindowSpec, alpha: float, min_periods: int) -> Column:
-    """Adjusted exponential mean: sum of x·d^age over sum of d^age, NULL values left out, NULL until `min_periods`.
-
-    `position` counts the rows of the block from 0; scaling each weight by d^-position turns both sums into plain
-    running sums. `w` must start at least `ewm_reach(alpha)` rows before the rows that are kept.
-    """
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.when(value.isNotNull(), F.pow(F.lit(1.0 / (1 - alpha)), position))
-    total = F.sum(value * weight).over(upto)
-    norm = F.sum(weight).over(upto)
-    return F.when(F.count(value).over(upto) >= min_periods, total / norm)
-
-
-def ewm_unadjusted(value: Column, position: Column, is_first: Column, w: WindowSpec, alpha: float) -> Column:
-    """Recursive form y_t = (1-alpha)·y_{t-1} + alpha·x_t, y_0 = x_0, for values without NULL."""
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.pow(F.lit(1.0 / (1 - alpha)), position)
-    share = F.when(is_first, 1.0).otherwise(alpha)
-    return F.sum(value * weight * share).over(upto) / weight
-
-
 def rma_alpha(length: int) -> float:
     return 1.0 / length
 
@@ -72,21 +52,56 @@ def true_range(w: WindowSpec) -> Column:
     )
 
 
-def block_position(w: WindowSpec) -> Column:
-    return F.row_number().over(w) - 1
-
-
 def add_ewm(
     df: DataFrame, outputs: dict[str, tuple[Column, int]], alpha: float, keys=("symbol", "timeframe"), bar: str = "bar"
 ) -> DataFrame:
-    """Exponential means with one weight: `outputs = {name: (value, min_periods)}`. One shuffle."""
-
-    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumn("_pos", block_position(w))
-        means = {n: ewm(v, F.col("_pos"), w, alpha, least) for n, (v, least) in outputs.items()}
-        return rows.withColumns(means).drop("_pos")
+    """Exponential means with one weight: `outputs = {name: (value, min_periods)}`.
 
-    return framed(df, build, before=ewm_reach(alpha), keys=keys, bar=bar, size=ewm_block(alpha))
+    Adjusted form: sum of x·d^age over sum of d^age, NULL values left out, NULL until there were `min_periods` values,
+    however long ago. Inside a block both sums are running sums scaled by d^-position. What came before is carried as
+    one row per block: the two sums of the last block with a value, folded with those of the block with a value before it
+    (anything older is under double precision), and the count of all values. Only the ratio of the two sums matters
+    where no newer value is there, so it outlives any gap.
+    """
+    size, d = ewm_block(alpha), 1 - alpha
+    names = list(outputs)
+    cut = staged(df.withColumns({f"_x_{n}": v for n, (v, _) in outputs.items()}).withColumn(
+        "_block", F.floor(F.col(bar) / size).cast("long")))
+    position = F.col(bar) - F.col("_block") * size
+    faded = F.pow(F.lit(d), size - 1 - position)
+    sums = cut.groupBy(*keys, "_block").agg(*[c for n in names for c in (
+        F.sum(F.col(f"_x_{n}") * faded).alias(f"_num_{n}"),
+        F.sum(F.when(F.col(f"_x_{n}").isNotNull(), faded)).alias(f"_den_{n}"),
+        F.count(f"_x_{n}").alias(f"_n_{n}"),
+    )])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def last_with_value(n: str) -> Column:
+        state = F.struct("_block", F.col(f"_num_{n}").alias("num"), F.col(f"_den_{n}").alias("den"))
+        return F.last(F.when(F.col(f"_n_{n}") > 0, state), ignorenulls=True).over(earlier)
+
+    sums = sums.withColumns({f"_before_{n}": last_with_value(n) for n in names})
+    folded = {}
+    for n in names:
+        fade = F.pow(F.lit(d), (F.col("_block") - F.col(f"_before_{n}._block")) * size)
+        for part in ("num", "den"):
+            folded[f"_{part}_{n}"] = F.col(f"_{part}_{n}") + F.coalesce(F.col(f"_before_{n}.{part}") * fade, F.lit(0.0))
+    sums = sums.withColumns(folded)
+    carried = sums.select(*keys, "_block", *[c for n in names for c in (
+        last_with_value(n).alias(f"_in_{n}"), F.coalesce(F.sum(f"_n_{n}").over(earlier), F.lit(0)).alias(f"_many_{n}"))])
+    upto = Window.partitionBy(*keys, "_block").orderBy(bar).rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.pow(F.lit(1.0 / d), position)
+    means = {}
+    for n, (_, least) in outputs.items():
+        x, held = F.col(f"_x_{n}"), F.col(f"_in_{n}")
+        fade = F.pow(F.lit(d), (F.col("_block") - held["_block"] - 1) * size + 1)
+        count = F.count(x).over(upto)
+        total = F.sum(x * grown).over(upto) + F.coalesce(held["num"] * fade, F.lit(0.0))
+        norm = F.sum(F.when(x.isNotNull(), grown)).over(upto) + F.coalesce(held["den"] * fade, F.lit(0.0))
+        mean = F.when(count > 0, total / norm).otherwise(held["num"] / held["den"])
+        means[n] = F.when(F.col(f"_many_{n}") + count >= least, mean)
+    out = cut.join(carried, [*keys, "_block"]).withColumns(means)
+    return out.select(*[c for c in df.columns if c not in means], *names)
 
 
 def add_rma(df: DataFrame, column: str, length: int, out: str, **kw) -> DataFrame:
@@ -94,13 +109,11 @@ def add_rma(df: DataFrame, column: str, length: int, out: str, **kw) -> DataFram
     return add_ewm(df, {out: (F.col(column), length)}, rma_alpha(length), **kw)
 
 
-def add_atr(df: DataFrame, length: int, out: str = "atr", keys=("symbol", "timeframe"), bar: str = "bar") -> DataFrame:
-    """ATR: Wilder's mean of the true range. Range and mean share one shuffle."""
-    alpha = rma_alpha(length)
-    reach = ewm_reach(alpha) + 1
+def add_true_range(df: DataFrame, out: str, keys=("symbol", "timeframe"), bar: str = "bar") -> DataFrame:
+    return framed(df, lambda rows, w: rows.withColumn(out, true_range(w)), before=1, keys=keys, bar=bar)
 
-    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumns({"_tr": true_range(w), "_pos": block_position(w)})
-        return rows.withColumn(out, ewm(F.col("_tr"), F.col("_pos"), w, alpha, length)).drop("_tr", "_pos")
 
-    return framed(df, build, before=reach, keys=keys, bar=bar, size=ewm_block(alpha))
+def add_atr(df: DataFrame, length: int, out: str = "atr", keys=("symbol", "timeframe"), bar: str = "bar") -> DataFrame:
+    """ATR: Wilder's mean of the true range."""
+    ranged = add_true_range(df, "_tr", keys, bar)
+    return add_ewm(ranged, {out: (F.col("_tr"), length)}, rma_alpha(length), keys=keys, bar=bar).drop("_tr")

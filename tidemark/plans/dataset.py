@@ -12,7 +12,7 @@ from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_ladder, shift
 from tidemark.operators.asof import asof_channels
 from tidemark.operators.blocks import framed, numbered
 from tidemark.operators.nearest import nearest_in_prefix
-from tidemark.operators.smoothing import block_position, ewm, ewm_block, ewm_reach, rma_alpha, true_range
+from tidemark.operators.smoothing import add_atr
 from tidemark.plans.features import log_sma_ratio, relative_ratios
 from tidemark.plans.labels import excursion_labels
 from tidemark.plans.tops import PEAK, VALLEY, add_true_extremum
@@ -67,18 +67,12 @@ class Layout:
 
 
 def branch_table(candles: DataFrame, tf: str, length: int) -> DataFrame:
-    """Candles of one timeframe with ATR, static ratios, and true extremum size and sign.
-
-    ATR and ratios come from one pass over blocks, with as much history as the ATR needs.
-    """
-    alpha = rma_alpha(length)
+    """Candles of one timeframe with ATR, static ratios, and true extremum size and sign."""
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumns({"_tr": true_range(w), "_pos": block_position(w)})
-        rows = rows.withColumn("atr", ewm(F.col("_tr"), F.col("_pos"), w, alpha, length)).drop("_tr", "_pos")
         return rows.withColumns({**relative_ratios(w), "log_volume_sma_ratio": log_sma_ratio(w, length)})
 
-    out = framed(candles, build, before=max(ewm_reach(alpha) + 1, length), size=ewm_block(alpha))
+    out = framed(add_atr(candles, length), build, before=length)
     return add_true_extremum(staged(out), tf)
 
 
