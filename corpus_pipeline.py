@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles) stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return simhash.one_of_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,50 @@ def test_one_of_each_group_stays(spark):
     assert got == sorted([(1, a), (2, b), (None, "x y"), (5, None), (7, "alone")], key=str)
 
 
+def gram_set(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similar_groups(texts, least=0.8):
+    """The first member of each one's group, by all pairs."""
+    sets = [gram_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j]
+             and min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j]))
+             and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return simhash.joined(len(sets), *np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"w{rng.randint(0, 10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("paired", [256, 8])
+def test_similar_texts_are_found_whole(spark, monkeypatch, paired):
+    rng = random.Random(8)
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    texts = []
+    for group in range(12):  # copies with a few words changed, some under and some over the similarity
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([40, 200, 900]))]
+        texts += [" ".join(edited(rng, base, max(1, round(len(base) * rng.choice([0.002, 0.01, 0.02, 0.04]))))) for _ in range(8)]
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts += [" ".join(edited(rng, base, 2)).upper() for _ in range(60)]  # a crowded group
+    texts += [None, "", "one word", "one word", "two words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("node", F.lit("kept"))
+    links = [(r["a"], r["b"]) for r in simhash.similar_links(docs).collect()]
+    label = simhash.joined(len(texts), *np.array(links).T)
+    assert label.tolist() == similar_groups(texts).tolist()
+    out = simhash.one_of_similar(docs)
+    assert out.columns == docs.columns
+    first = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    left = sorted(first)
+    expected = {left[i] for i in similar_groups([texts[i] for i in left])}
+    assert {r["doc_id"] for r in out.collect()} == expected
+
+
 def test_thresholds_are_ordered_and_grades_recovered():
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 4, 600)
