@@ -91,6 +91,58 @@ def test_missing_windows_are_generated_once(spark, tmp_path):
     assert spark.read.parquet(slow).select("window").distinct().count() == 2
 
 
+KEYED = T.StructType([T.StructField("symbol", T.StringType(), False), T.StructField("timeframe", T.StringType(), False), *SIMPLE.fields])
+
+
+def test_windows_are_known_by_symbol_and_empty_ones_too(spark, tmp_path):
+    calls = []
+
+    def generate(session, start, end):
+        """Symbols a, b with a row a day, none on the third."""
+        calls.append((start.day, end.day))
+        days = [start + timedelta(days=i) for i in range((end - start).days)]
+        return session.createDataFrame([(s, "1h", d, 1.0) for d in days for s in "ab" if d.day != 3], KEYED)
+
+    def read(symbols, last=4):
+        series = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+        out = sinks.read_or_generate(spark, table, "x", day(1), day(last, 60), generate, KEYED, now=day(20), series=series)
+        return sorted((r.symbol, r.date.day) for r in out.collect())
+
+    table = str(tmp_path / "t")
+    assert read("a") == [("a", 1), ("a", 2), ("a", 4)] and calls == [(1, 5)]
+    both = [(s, d) for s in "ab" for d in (1, 2, 4)]
+    assert read("ab") == both and calls == [(1, 5), (1, 5)]  # b came later
+    assert read("ab") == both and read("b") == both[3:] and len(calls) == 2  # the empty day is known
+    assert len(read("ab", 5)) == 8 and calls[2:] == [(5, 6)]
+    assert read("") == []
+    with pytest.raises(ValueError, match="series"):
+        sinks.read_or_generate(spark, table, "x", day(1), day(2), generate, KEYED, now=day(20))
+
+
+def test_failed_and_partial_windows(spark, tmp_path):
+    series = spark.createDataFrame([("a",)], "symbol string")
+
+    def store(table, rows, schema=KEYED, last=2, **options):
+        def generate(session, start, end):
+            return session.createDataFrame(rows, "symbol string, timeframe string, date timestamp_ntz, value double")
+
+        return sinks.read_or_generate(spark, table, "x", day(1), day(last), generate, schema, now=day(20), series=series, **options)
+
+    table = str(tmp_path / "t")
+    with pytest.raises(vd.SchemaError, match="value"):
+        store(table, [("a", "1h", day(1), None)])
+    # its windows are still missing, and the rows that were refused are not seen
+    assert [r.value for r in store(table, [("a", "1h", day(1), 2.0)]).collect()] == [2.0]
+    nullable = T.StructType([*KEYED.fields[:3], T.StructField("value", T.DoubleType())])
+    with pytest.raises(mf.PartialCoverageError, match="1 windows"):
+        store(table, [("a", "1h", day(3), 1.0)], nullable, 3, timeframes=["1h", "4h"])
+    # windows with NULL only are made again
+    table = str(tmp_path / "n")
+    store(table, [("a", "1h", day(1), None)], nullable)
+    again = store(table, [("a", "1h", day(1), 5.0)], nullable, timeframes=["1h"], not_null=["value"])
+    assert [r.value for r in again.collect()] == [5.0]
+
+
 def test_single_result_is_read_or_generated(spark, tmp_path):
     def generate(session, start, end):
         return session.createDataFrame([(start, 1.0)], SIMPLE)

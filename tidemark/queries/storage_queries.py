@@ -179,10 +179,14 @@ def windowed_read_or_generate(spark, sf):
 
     place = f"{shared_folder(spark)}/candles-{uuid.uuid4().hex}"
     now = datetime(2024, 1, 28, 12)
-    # a few windows are there already; the second read fills the others, and the days from the 28th stay unstored
-    sinks.read_or_generate(spark, place, "ohlcv", datetime(2024, 1, 8), datetime(2024, 1, 11, 23), generate, vd.CANDLES, now=now)
+    symbols = source.select("symbol").distinct()
+    # a few windows of one symbol are there already; the second read fills the others, and the days from the 28th stay unstored
+    sinks.read_or_generate(
+        spark, place, "ohlcv", datetime(2024, 1, 8), datetime(2024, 1, 11, 23), generate, vd.CANDLES, now=now,
+        series=symbols.where("symbol = 'click'"),
+    )
     out = sinks.read_or_generate(
-        spark, place, "ohlcv", datetime(2024, 1, 3, 5), datetime(2024, 1, 29, 10), generate, vd.CANDLES, now=now
+        spark, place, "ohlcv", datetime(2024, 1, 3, 5), datetime(2024, 1, 29, 10), generate, vd.CANDLES, now=now, series=symbols,
     )
     return out.select(*KEY, "open", "high", "low", "close", (F.round("volume", 6) + F.lit(0.0)).alias("volume"))
 

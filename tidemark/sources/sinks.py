@@ -7,16 +7,18 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.feather as feather
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.ladder import bar_of, start_of_bar
 from tidemark.operators.validate import SchemaError, conform, null_columns
 from tidemark.session import staged
-from tidemark.sources.manifest import FREQUENCIES, merge_batches
+from tidemark.sources.manifest import FREQUENCIES, merge_batches, require_whole_windows, window_coverage
 from tidemark.sources.readers import _arrow_schema, _to_batches
 
 Generator = Callable[[SparkSession, datetime, datetime], DataFrame]
@@ -28,8 +30,13 @@ def _fs(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def write_checked(
@@ -64,54 +71,94 @@ def register_maturity(dataset: str, wait: timedelta) -> None:
 def read_or_generate(
     spark: SparkSession, table: str, dataset: str, start: datetime, end: datetime, generate: Generator,
     schema: T.StructType, freq: str = "D", now: datetime | None = None,
-    after_read: Callable[[DataFrame], DataFrame] | None = None,
+    after_read: Callable[[DataFrame], DataFrame] | None = None, series: DataFrame | None = None,
+    timeframes: Sequence[str] = (), not_null: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of a closed range from a windowed table; windows it lacks are generated, and stored once they are over.
 
-    `generate(spark, start, end)` gives the rows of a range. Runs of missing windows are generated in one call each
-    and written by dynamic partition overwrite, so a repeated run writes the same partitions again. Windows that are
-    still open, or whose rows still wait for later bars, are generated for this read and not stored.
+    A window is known per symbol: `series` (column symbol) names the symbols asked for, and is needed if the table has
+    symbols. `generate(spark, start, end)` gives the rows of a range of windows; all missing windows are written by one job.
+    Windows that are still open, or whose rows still wait for later bars, are generated for this read and not stored.
+
+    Each write is a run of its own. Its rows are checked as written, and count only once the run's marks are there, one per
+    symbol and window, empty windows included; so a failed run leaves its windows missing, and an empty window is asked for
+    once. The latest mark of a window wins.
+
+    With `timeframes`, a stored window must have rows of all of them or of none: others raise before anything is
+    written. Rows in which a column of `not_null` is NULL count as not there, and windows of only such rows are made again.
     """
     tf = FREQUENCIES[freq]
+    keys = ["symbol"] if "symbol" in schema.names else []
+    if keys and series is None:
+        raise ValueError("a table with symbols needs the series that are asked for")
     now = now or datetime.utcnow()
     final = now - MATURITY.get(dataset, timedelta())
-    bounds = spark.range(1).select(
-        F.lit(start).cast("timestamp_ntz").alias("s"), F.lit(end).cast("timestamp_ntz").alias("e")
-    )
-    wanted = bounds.select(F.explode(F.sequence(bar_of("s", tf), bar_of("e", tf))).alias("window"))
-    if exists(spark, table):
-        stored = spark.read.parquet(table).select("window").distinct()
-        wanted = wanted.join(stored, "window", "left_anti")
-    # window numbers only: as many as there are days or months in the range
-    missing = sorted(r.window for r in wanted.collect())
-    starts = {r.w: (r.a, r.b) for r in spark.createDataFrame([(m,) for m in missing], "w long").select(
-        "w", start_of_bar("w", tf).alias("a"), start_of_bar(F.col("w") + 1, tf).alias("b")).collect()} if missing else {}
-    live = []
-    for first, last in _runs(missing):
-        for a, b, keep in _split_at(starts, first, last, final):
-            # windows are half open here: the minute before the next one belongs to this one
-            rows = conform(generate(spark, starts[a][0], starts[b][1]), schema)
-            rows = rows.withColumn("window", bar_of("date", tf)).where(F.col("window").between(a, b))
-            if keep:
-                bad = null_columns(rows, schema)
-                if bad:
-                    raise SchemaError(f"NULL in {bad}; nothing was written")
-                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window").parquet(table)
-            else:
-                live.append(rows)
-    parts = [spark.read.parquet(table)] if exists(spark, table) else []
-    out = None
-    for part in [*parts, *live]:
-        part = part.select(*schema.names, F.col("window").cast("long").alias("window"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("nothing stored and nothing generated")
-    first, last = (F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    inside = F.col("window").between(bar_of(first, tf), bar_of(last, tf)) & F.col("date").between(first, last)
-    out = out.where(inside).drop("window")
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    source = series.select(*keys).distinct() if keys else spark.range(1)
+    asked = source.select(*keys, F.explode(F.sequence(bar_of(first, tf), bar_of(last, tf))).alias("window"))
+    known = _latest_marks(spark, table, keys)
+    missing = asked.join(known, [*keys, "window"], "left_anti")
+    if timeframes:
+        held = asked.join(known.where("rows > 0"), [*keys, "window"])
+        state = window_coverage(_stored(spark, table, schema, held), held.select(*keys, "window"), timeframes, freq, not_null)
+        unusable = require_whole_windows(state).where("state = 'missing'").select(*keys, "window")
+        missing = missing.unionByName(unusable)
+    missing = staged(missing.withColumns({"_from": start_of_bar("window", tf), "_to": start_of_bar(F.col("window") + 1, tf)}))
+    # window numbers and their borders only: as many as there are days or months in the range
+    starts = {r.window: (r._from, r._to) for r in missing.select("window", "_from", "_to").distinct().collect()}
+    made: dict[bool, list[DataFrame]] = {True: [], False: []}
+    for a, b, over in (part for run in _runs(sorted(starts)) for part in _split_at(starts, *run, final)):
+        # windows are half open here: the minute before the next one belongs to this one
+        rows = conform(generate(spark, starts[a][0], starts[b][1]), schema).withColumn("window", bar_of("date", tf))
+        made[over].append(rows.where(F.col("window").between(a, b)))
+    if made[True]:
+        over = missing.where(F.col("_to") <= F.lit(final).cast("timestamp_ntz")).select(*keys, "window")
+        _store(table, reduce(DataFrame.unionByName, made[True]).join(over, [*keys, "window"], "left_semi"), over, schema, keys)
+    wanted = asked.join(_latest_marks(spark, table, keys), [*keys, "window"])
+    out = _stored(spark, table, schema, wanted).where(F.col("window").between(bar_of(first, tf), bar_of(last, tf)))
+    for rows in made[False]:
+        out = out.unionByName(rows.join(missing, [*keys, "window"], "left_semi").select(*out.columns))
+    out = out.where(F.col("date").between(first, last)).drop("window")
     return after_read(out) if after_read else out
 
 
+def _marks_of(table: str) -> str:
+    return f"{table.rstrip('/')}.windows"
+
+
+def _latest_marks(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The run that holds each known window, and how many rows it has: `(symbol, window, run, rows)`."""
+    names = ", ".join([*[f"{k} string" for k in keys], "window long, run string, rows long"])
+    if not exists(spark, _marks_of(table)):
+        return spark.createDataFrame([], names)
+    marks = spark.read.schema(names).parquet(_marks_of(table))
+    return marks.groupBy(*keys, "window").agg(F.max(F.struct("run", "rows")).alias("_m")).select(*keys, "window", "_m.*")
+
+
+def _stored(spark: SparkSession, table: str, schema: T.StructType, marks: DataFrame) -> DataFrame:
+    """Rows of the windows that `marks` lists, with their window."""
+    columns = [f for f in T.StructType([*schema.fields, T.StructField("window", T.LongType())])]
+    if not exists(spark, table):
+        return spark.createDataFrame([], T.StructType(columns))
+    rows = spark.read.schema(T.StructType([*columns, T.StructField("run", T.StringType())])).parquet(table)
+    names = [c for c in ("symbol", "window", "run") if c in marks.columns]
+    return rows.join(marks.select(*names), names, "left_semi").select(*[f.name for f in columns])
+
+
+def _store(table: str, rows: DataFrame, windows: DataFrame, schema: T.StructType, keys: list[str]) -> None:
+    """Write rows as a run, check what was written, then mark all `windows` as known."""
+    spark, run = rows.sparkSession, f"r{datetime.utcnow():%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+    out = rows.select(*schema.names, "window").withColumn("run", F.lit(run))
+    out.write.mode("append").option("compression", "zstd").partitionBy("run", "window").parquet(table)
+    written = spark.read.schema(out.schema).parquet(table).where(F.col("run") == run)
+    bad = null_columns(written, schema)
+    if bad:
+        raise SchemaError(f"NULL in {bad}; the windows stay missing")
+    sizes = written.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("rows"))
+    marks = windows.join(sizes, [*keys, "window"], "left")
+    marks.select(*keys, "window", F.lit(run).alias("run"), F.coalesce("rows", F.lit(0)).alias("rows")).write.mode("append").parquet(_marks_of(table))
+
+
 def _runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
     first = None
     for i, n in enumerate(numbers):
@@ -138,7 +185,7 @@ def read_or_generate_one(
     """One stored result for one range: read it if it is there, else generate, check and, once over, store it."""
     if exists(spark, path):
         return conform(spark.read.parquet(path), schema)
-    rows = conform(generate(spark, start, end), schema)
+    rows = staged(conform(generate(spark, start, end), schema))
     if not empty_allowed and rows.isEmpty():
         raise ValueError("the generated result is empty")
     if end >= (now or datetime.utcnow()):
