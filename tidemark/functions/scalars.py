@@ -89,3 +89,9 @@ def scale_text(largest: str | Column, target: float) -> Column:
 def normalized_timeframe(c: str | Column) -> Column:
     """Whole-word `1H` to `1h`, for any number of hours."""
     return F.regexp_replace(col(c), r"\b(\d+)H\b", "$1h")
+
+
+def drawn(*parts: str | Column, part: int = 0) -> Column:
+    """A seeded number of 32 bits: eight hex digits of the MD5 of the parts, joined by `|`. `part` 0 to 3 picks the digits."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("long")

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.functions.ladder import floor_to_bar, start_of_bar
+from tidemark.functions.scalars import drawn
 from tidemark.operators.blocks import BLOCK_BARS, numbered
 
 CANDLES = T.StructType(
@@ -207,9 +208,8 @@ def with_random_gaps(df: DataFrame, tf: str, per_series: int, longest: int, seed
     slice_width = F.greatest(F.lit(longest + 1), F.ceil((F.col("_last") - F.col("_first") + 1) / per_series))
     rows = df.join(bounds, "symbol").withColumns({"_width": slice_width})
     rows = rows.withColumn("_slice", F.floor((F.col("bar") - F.col("_first")) / F.col("_width")))
-    draw = F.xxhash64("symbol", "_slice", F.lit(seed))
-    length = F.pmod(draw, F.lit(longest)) + 1
-    offset = F.pmod(F.shiftrightunsigned(draw, 8), F.col("_width") - length)
+    length = drawn("symbol", "_slice", F.lit(seed)) % longest + 1
+    offset = drawn("symbol", "_slice", F.lit(seed), part=1) % (F.col("_width") - length)
     place = F.pmod(F.col("bar") - F.col("_first"), F.col("_width"))
     return rows.where((place < offset) | (place >= offset + length)).select(*df.columns)
 

@@ -178,11 +178,12 @@ def _seen_window(tf: str) -> Column:
     return F.transform("window", lambda x: _features(x, tf, F.col("_time"), F.col("_close")))
 
 
-def build_dataset(mt_candles: DataFrame, layout: Layout | None = None) -> DataFrame:
+def build_dataset(mt_candles: DataFrame, layout: Layout | None = None, anchors: Column | None = None) -> DataFrame:
     """One row per anchor: `branch_<timeframe>` (window × 15 floats), `auxiliary` (the last bar of every branch),
     `mfe`, `rer` and `action` (one-hot). Anchors with any missing value are left out.
 
-    `mt_candles` is a stacked gap-free table and is read once per branch.
+    `mt_candles` is a stacked gap-free table and is read once per branch. `anchors`, a condition on symbol and date, keeps
+    some anchors only, before any window is joined to them.
     """
     layout = layout or Layout()
     base = layout.branches[0]
@@ -194,6 +195,8 @@ def build_dataset(mt_candles: DataFrame, layout: Layout | None = None) -> DataFr
         mt_candles.where(F.col("timeframe") == base), mt_candles.where(F.col("timeframe") == layout.floor_tf), base,
         layout.floor_tf, layout.horizon, layout.floor_length, layout.gate,
     ).where("mfe is not null and rer is not null")
+    if anchors is not None:
+        labels = labels.where(anchors)
     closes = tables[base].select("symbol", "bar", F.col("close").alias("_close"))
     out = labels.join(closes, ["symbol", "bar"]).withColumn("_time", minutes("date"))
     for tf in layout.branches:
@@ -224,12 +227,14 @@ def sample_rows(dataset: DataFrame, tf: str) -> DataFrame:
 
 
 def evenly_spaced(dataset: DataFrame, n: int) -> DataFrame:
-    """`n` anchors of each symbol, spread evenly over its samples in time order."""
-    rows = numbered(dataset, ("symbol",), name="_n")
-    sizes = dataset.groupBy("symbol").agg(F.count(F.lit(1)).alias("_size"))
-    part = F.floor(F.col("_n") * n / F.col("_size"))
-    before = F.floor((F.col("_n") - 1) * n / F.col("_size"))
-    return rows.join(sizes, "symbol").where((F.col("_n") == 0) | (part != before)).drop("_n", "_size")
+    """`n` samples of each symbol, the inner ones of `n` + 2 points spread evenly from its first to its last."""
+    keys = dataset.select("symbol", "date")
+    sizes = keys.groupBy("symbol").agg(F.count(F.lit(1)).alias("_size"))
+    points = sizes.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"), "_size").select(
+        "symbol", F.floor(F.col("_k") * (F.col("_size") - 1) / (n + 1)).alias("_n")
+    ).distinct()
+    chosen = numbered(keys, ("symbol",), name="_n").join(points, ["symbol", "_n"], "left_semi")
+    return dataset.join(chosen.select("symbol", "date"), ["symbol", "date"], "left_semi")
 
 
 def shape_violations(dataset: DataFrame, layout: Layout) -> DataFrame:

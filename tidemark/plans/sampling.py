@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from tidemark.functions.clock import DAY_S, epoch_s, from_epoch_s, minutes_between, plus_seconds
 from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_bar
+from tidemark.functions.scalars import drawn
 from tidemark.operators.blocks import framed
 from tidemark.operators.indicators import add_classic_indicators
 from tidemark.operators.validate import common_complete_range
@@ -164,7 +165,7 @@ def overlapped_periods(ranges: DataFrame, length_days: int = 90, slide_days: int
 def random_periods(summary: DataFrame, days: int, seed: int) -> DataFrame:
     """A seeded period of `days` days, on a whole hour of each symbol's stored span; spans too short give none."""
     room = F.floor((epoch_s("end") - epoch_s("start") - days * DAY_S) / 3600)
-    hours = F.pmod(F.xxhash64("symbol", F.lit(seed)), room + 1)
+    hours = drawn("symbol", F.lit(seed)) % (room + 1)
     start = plus_seconds("start", hours * 3600)
     return summary.where(room >= 0).select(
         "symbol", start.alias("period_start"), plus_seconds(start, days * DAY_S).alias("period_end")

@@ -111,11 +111,12 @@ def _round4(name: str, sql: str | None = None) -> str:
     return f"round(CAST(CAST({sql or name} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {name}"
 
 
-@query("training_sample_rows", f"""{SQL_DATASET}
-SELECT symbol, anchor AS date, branch, position, {", ".join(_round4(f) for f in ds.FEATURES)} FROM allrows SEMI JOIN good USING (symbol, anchor)""")
-def training_sample_rows(spark, sf):
-    samples = staged(_dataset(spark, sf))
-    rows = None
+ROW_COLUMNS = f"""symbol, anchor AS date, branch, position, {", ".join(_round4(f) for f in ds.FEATURES)}"""
+
+
+def all_rows(samples):
+    """Every branch of the samples in long form, rounded."""
+    samples, rows = staged(samples), None
     for tf in LAYOUT.branches:
         part = ds.sample_rows(samples, tf).withColumn("branch", F.lit(tf))
         rows = part if rows is None else rows.unionByName(part)
@@ -125,6 +126,11 @@ def training_sample_rows(spark, sf):
     )
 
 
+@query("training_sample_rows", f"{SQL_DATASET} SELECT {ROW_COLUMNS} FROM allrows SEMI JOIN good USING (symbol, anchor)")
+def training_sample_rows(spark, sf):
+    return all_rows(_dataset(spark, sf))
+
+
 @query("training_samples", f"""{SQL_DATASET}
 SELECT l.symbol, l.date, round(mfe, 3) + 0.0 AS mfe, round(rer, 4) + 0.0 AS rer, action FROM lab l SEMI JOIN good g ON g.symbol = l.symbol AND g.anchor = l.date""")
 def training_samples(spark, sf):
@@ -142,7 +148,9 @@ def training_sample_shapes(spark, sf):
     return ds.shape_violations(_dataset(spark, sf), LAYOUT)
 
 
-@query("review_samples")
+@query("review_samples", f"""{SQL_DATASET},
+spread AS (SELECT symbol, anchor, row_number() OVER (PARTITION BY symbol ORDER BY anchor) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS size FROM good),
+chosen AS (SELECT symbol, anchor FROM spread WHERE list_contains([floor(i * (size - 1) / 5) for i in range(1, 5)], k))
+SELECT {ROW_COLUMNS} FROM allrows SEMI JOIN chosen USING (symbol, anchor)""")
 def review_samples(spark, sf):
-    samples = staged(_dataset(spark, sf))
-    return ds.sample_rows(ds.evenly_spaced(samples, 4), "1h")
+    return all_rows(ds.evenly_spaced(staged(_dataset(spark, sf)), 4))

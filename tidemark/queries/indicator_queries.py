@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import indicators as ind
 from tidemark.queries import query
-from tidemark.queries.views import candles, r6, s6, sql_candles, sql_ewm, stacked, sql_stacked
+from tidemark.queries.views import LADDER, candles, r6, s6, sql_candles, sql_ewm, stacked, sql_stacked
+from tidemark.session import staged
 
 KEY = ["symbol", "date"]
 W = "PARTITION BY symbol ORDER BY date"
@@ -119,20 +122,48 @@ def obv_macd(spark, sf):
     )
 
 
-@query("z_encode", f"""WITH {sql_stacked()},
-p AS (SELECT *, lag(close) OVER ({W}) AS pre FROM c_4h), {sql_ewm("e", "p", "pre", 2 / 33, 32, "mean")},
-z AS (SELECT *, {_full_sql("stddev_samp(pre)", "pre", 32)} AS std FROM e)
-SELECT symbol, date, {s6("mean", "mean_close")}, {s6("std", "std_close")},
-  {s6("(close - mean) / nullif(std, 0)", "n_close")} FROM z""")
+PRICES = ["open", "high", "low", "close", "volume"]
+
+
+def _z_sql() -> str:
+    """CTEs `z_<timeframe>` with mean and deviation of every column, and their union `z`."""
+    parts = []
+    for tf in LADDER:
+        n = ind.NORMALIZATION_LENGTH[tf]
+        before = ", ".join(f"lag({c}) OVER ({W}) AS pre_{c}" for c in PRICES)
+        parts.append(f"p_{tf}_0 AS (SELECT *, {before} FROM c_{tf})")
+        for i, c in enumerate(PRICES):
+            parts.append(sql_ewm(f"p_{tf}_{i + 1}", f"p_{tf}_{i}", f"pre_{c}", 2 / (n + 1), n, f"mean_{c}"))
+        spreads = ", ".join(f"{_full_sql(f'stddev_samp(pre_{c})', f'pre_{c}', n)} AS std_{c}" for c in PRICES)
+        parts.append(f"z_{tf} AS (SELECT *, {spreads} FROM p_{tf}_{len(PRICES)})")
+    return ",".join(parts) + f", z AS ({' UNION ALL '.join(f'SELECT * FROM z_{tf}' for tf in LADDER)})"
+
+
+def _z_encoded(spark, sf):
+    mt = staged(stacked(spark, sf))
+    return [ind.z_encode(mt.where(F.col("timeframe") == tf), tf, PRICES) for tf in LADDER]
+
+
+Z_COLUMNS = [f"{kind}_{c}" for c in PRICES for kind in ("mean", "std", "n")]
+
+
+def _z_column(name: str) -> str:
+    c = name.split("_")[1]
+    return s6(f"({c} - mean_{c}) / nullif(std_{c}, 0)" if name.startswith("n_") else name, name)
+
+
+@query("z_encode", f"""WITH {sql_stacked()}, {_z_sql()}
+SELECT symbol, timeframe, date, {", ".join(_z_column(c) for c in Z_COLUMNS)} FROM z""")
 def z_encode(spark, sf):
-    four = stacked(spark, sf).where("timeframe = '4h'")
-    return _rounded(ind.z_encode(four, "4h", ["close"]), "mean_close", "std_close", "n_close")
+    parts = [df.select(*KEY, "timeframe", *[r6(c).alias(c) for c in Z_COLUMNS]) for df in _z_encoded(spark, sf)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("z_decode", f"""WITH {sql_stacked()},
-p AS (SELECT *, lag(close) OVER ({W}) AS pre FROM c_4h),
-n AS (SELECT symbol, date, close, count(pre) OVER ({W} ROWS 31 PRECEDING) AS n FROM p)
-SELECT symbol, date, {s6("close", "close")} FROM n WHERE n = 32""")
+@query("z_decode", f"""WITH {sql_stacked()}, {_z_sql()}
+SELECT symbol, timeframe, date, {", ".join(s6(f"CASE WHEN std_{c} <> 0 THEN {c} END", c) for c in PRICES)} FROM z WHERE std_close <> 0""")
 def z_decode(spark, sf):
-    coded = ind.z_encode(stacked(spark, sf).where("timeframe = '4h'"), "4h", ["close"]).drop("close")
-    return _rounded(ind.z_decode(coded, ["close"]).where(F.col("close").isNotNull()), "close")
+    parts = [
+        ind.z_decode(df.drop(*PRICES), PRICES).where("close is not null").select(*KEY, "timeframe", *[r6(c).alias(c) for c in PRICES])
+        for df in _z_encoded(spark, sf)
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -210,7 +210,10 @@ def overlapped_periods(spark, sf):
     return sp.overlapped_periods(spans).select("symbol", "period_start", "period_end")
 
 
-@query("random_cached_period")
+@query("random_cached_period", f"""WITH {SQL_MANIFEST},
+r AS (SELECT symbol, min(start) AS start, CAST(floor((epoch(max("end")) - epoch(min(start)) - 5 * 86400) / 3600) AS BIGINT) AS room FROM m GROUP BY 1),
+p AS (SELECT symbol, start + to_hours(CAST('0x' || md5(symbol || '|7')[1:8] AS BIGINT) % (room + 1)) AS period_start FROM r WHERE room >= 0)
+SELECT symbol, period_start, period_start + INTERVAL 5 DAY AS period_end FROM p""")
 def random_cached_period(spark, sf):
     return sp.random_periods(mf.cache_summary(_manifest(spark, sf)), days=5, seed=7)
 

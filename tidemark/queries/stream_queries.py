@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.validate import trim
-from tidemark.plans.dataset import build_dataset, sample_rows
+from tidemark.plans.dataset import build_dataset
 from tidemark.queries import query
-from tidemark.queries.dataset_queries import LAYOUT
+from tidemark.queries.dataset_queries import LAYOUT, ROW_COLUMNS, SQL_DATASET, all_rows
 from tidemark.queries.views import candles, r6, s6, sql_candles, stacked, table
 from tidemark.session import shared_folder, staged
 from tidemark.streaming import live
@@ -88,8 +87,8 @@ def latest_closed_candles(spark, sf):
     return live.latest_closed(candles(spark, sf), "1h", now, 7).select(*KEY, "close")
 
 
-@query("now_sample")
+@query("now_sample", f"""{SQL_DATASET}
+SELECT {ROW_COLUMNS} FROM allrows SEMI JOIN good USING (symbol, anchor) WHERE anchor = TIMESTAMP '2024-01-20 10:00:00'""")
 def now_sample(spark, sf):
-    samples = build_dataset(staged(stacked(spark, sf)), LAYOUT)
-    at = trim(samples, "2024-01-20 10:00:00", "2024-01-20 10:00:00")
-    return sample_rows(at, "1h")
+    now = F.lit("2024-01-20 10:00:00").cast("timestamp_ntz")
+    return all_rows(build_dataset(staged(stacked(spark, sf)), LAYOUT, anchors=F.col("date") == now))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.clock import plus_seconds
+from tidemark.functions.ladder import minutes_of
 from tidemark.operators.smoothing import add_atr
 from tidemark.plans import bases as bp
 from tidemark.plans import pivots as pv
@@ -362,7 +364,7 @@ bs0 AS (SELECT symbol, timeframe, date, atr, ih0 <= il0 AS zero_trigger_candle,
     CASE WHEN ih0 > il0 THEN ih0 WHEN hi - lo <= hi1 - lo1 THEN hi ELSE hi1 END AS internal_high,
     date + INTERVAL (t.minutes * 256) MINUTE AS ttl, date + INTERVAL (t.minutes) MINUTE AS since,
     (SELECT tf FROM tfs WHERE r = t.r + 1) AS tf1, (SELECT tf FROM tfs WHERE r = t.r + 2) AS tf2
-  FROM b3 JOIN tfs t ON t.tf = timeframe WHERE timeframe IN ('1h', '4h')),
+  FROM b3 JOIN tfs t ON t.tf = timeframe),
 va AS (SELECT symbol, timeframe, date, atr FROM mta WHERE atr IS NOT NULL),
 h1 AS (SELECT symbol, date, high, low, atr FROM mta WHERE timeframe = '1h' AND atr IS NOT NULL),
 bs1 AS (SELECT b.*, x.atr AS a_pattern_atr FROM bs0 b ASOF LEFT JOIN va x ON b.symbol = x.symbol AND b.tf1 = x.timeframe AND x.date <= b.date),
@@ -379,7 +381,7 @@ SQL_TO_BASES = f"{sql_mt_atr()}, {SQL_TFS}, {SQL_BASES}"
 
 
 def _bases(mt):
-    return bp.base_patterns(mt, ["1h", "4h"], LADDER, least_overlap=OVERLAP, band_atrs=BAND)
+    return bp.base_patterns(mt, LADDER, LADDER, least_overlap=OVERLAP, band_atrs=BAND)
 
 
 @query("base_patterns", f"""WITH {SQL_TO_BASES}
@@ -404,9 +406,9 @@ def base_timeframe_atr(spark, sf):
 def first_passed_candle(spark, sf):
     mt = _mt(spark, sf)
     valid = mt.where("atr is not null")
-    found = bp.base_candles(valid.where("timeframe in ('1h', '4h')"), least_overlap=OVERLAP)
+    found = bp.base_candles(valid, least_overlap=OVERLAP)
     found = found.withColumns(
-        {"ttl": F.expr("date + make_dt_interval(0, 0, CASE timeframe WHEN '1h' THEN 60 ELSE 240 END * 256)"),
+        {"ttl": plus_seconds("date", minutes_of("timeframe") * 60 * bp.TTL_BARS),
          "level": F.col("internal_low") - F.col("atr") * BAND}
     ).select(*KEY, "ttl", "level")
     base = valid.where("timeframe = '1h'").drop("timeframe")

@@ -148,14 +148,19 @@ def series_gap_counts(spark, sf):
 
 
 @query("times_outside_valid_set", f"""WITH {sql_daily()}
-SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ANTI JOIN (SELECT DISTINCT date AS l_shipdate FROM raw_d WHERE symbol = '1-URGENT') v USING (l_shipdate)""")
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ANTI JOIN (SELECT DISTINCT date AS l_shipdate FROM raw_d) v USING (l_shipdate)""")
 def times_outside_valid_set(spark, sf):
-    valid = daily_raw(spark, sf).where("symbol = '1-URGENT'").select(F.col("date").alias("l_shipdate")).distinct()
+    valid = daily_raw(spark, sf).select(F.col("date").alias("l_shipdate")).distinct()
     lines = table(spark, sf, "lineitem").withColumn("l_shipdate", ntz("l_shipdate"))
     return vd.keys_outside(lines, valid, ["l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("random_gaps")
+@query("random_gaps", f"""WITH {sql_candles()},
+b AS (SELECT symbol, date, close, bar - min(bar) OVER s AS place, CAST(greatest(11, ceil((max(bar) OVER s - min(bar) OVER s + 1) / 6)) AS BIGINT) AS width
+  FROM c_1h WINDOW s AS (PARTITION BY symbol)),
+d AS (SELECT *, md5(symbol || '|' || (place // width) || '|7') AS m FROM b),
+g AS (SELECT *, CAST('0x' || m[1:8] AS BIGINT) % 10 + 1 AS length, CAST('0x' || m[9:16] AS BIGINT) AS second FROM d)
+SELECT symbol, date, close FROM g WHERE place % width < second % (width - length) OR place % width >= second % (width - length) + length""")
 def random_gaps(spark, sf):
     return vd.with_random_gaps(staged(candles(spark, sf)), "1h", per_series=6, longest=10, seed=7).select(*KEY, "close")
 
@@ -198,24 +203,24 @@ def grid_difference(spark, sf):
 
 
 @query("key_intersection", f"""WITH {sql_daily()}, {SQL_SHIPPED}
-SELECT symbol, date, volume FROM shipped SEMI JOIN (SELECT DISTINCT date FROM raw_d WHERE symbol = '5-LOW') v USING (date)""")
+SELECT symbol, date, volume FROM shipped SEMI JOIN (SELECT DISTINCT date FROM raw_d) v USING (date)""")
 def key_intersection(spark, sf):
-    low = daily_raw(spark, sf).where("symbol = '5-LOW'").select("date")
-    return shipped(spark, sf).join(low, "date", "left_semi").select(*KEY, "volume")
+    days = daily_raw(spark, sf).select("date").distinct()
+    return shipped(spark, sf).join(days, "date", "left_semi").select(*KEY, "volume")
 
 
 @query("key_exclusion", f"""WITH {sql_daily()}, {SQL_SHIPPED}
-SELECT symbol, date, volume FROM shipped ANTI JOIN (SELECT DISTINCT date FROM raw_d WHERE symbol = '5-LOW') v USING (date)""")
+SELECT symbol, date, volume FROM shipped ANTI JOIN (SELECT DISTINCT date FROM raw_d) v USING (date)""")
 def key_exclusion(spark, sf):
-    low = daily_raw(spark, sf).where("symbol = '5-LOW'").select("date")
-    return shipped(spark, sf).join(low, "date", "left_anti").select(*KEY, "volume")
+    days = daily_raw(spark, sf).select("date").distinct()
+    return shipped(spark, sf).join(days, "date", "left_anti").select(*KEY, "volume")
 
 
 @query("left_join_on_date", f"""WITH {sql_daily()}, {SQL_SHIPPED}
-SELECT s.symbol, s.date, s.volume, d.close FROM shipped s LEFT JOIN (SELECT date, close FROM raw_d WHERE symbol = '5-LOW') d ON s.date = d.date""")
+SELECT s.symbol, s.date, s.volume, d.close FROM shipped s LEFT JOIN (SELECT date, max(close) AS close FROM raw_d GROUP BY 1) d ON s.date = d.date""")
 def left_join_on_date(spark, sf):
-    low = daily_raw(spark, sf).where("symbol = '5-LOW'").select("date", "close")
-    return shipped(spark, sf).join(low, "date", "left").select(*KEY, "volume", "close")
+    days = daily_raw(spark, sf).groupBy("date").agg(F.max("close").alias("close"))
+    return shipped(spark, sf).join(days, "date", "left").select(*KEY, "volume", "close")
 
 
 @query("table_date_span", f"WITH {sql_stacked()} SELECT timeframe, min(date) AS start, max(date) AS \"end\", count(*) AS n FROM mt GROUP BY 1")
