@@ -201,6 +201,16 @@ def test_compaction_keeps_rows_and_drops_sources(spark, tmp_path):
     assert spark.read.parquet(*[str(root / n) for n in left]).count() == 8
 
 
+def test_compaction_goes_on_after_a_run_that_died(spark, tmp_path):
+    names = ["24-08-01.00-00T24-08-01.23-59", "24-08-02.00-00T24-08-02.23-59", "24-08-01.00-00T24-08-02.23-59"]
+    for name, values in zip(names, ([1.0], [2.0], [1.0, 2.0]), strict=True):
+        frame = pd.DataFrame({"date": pd.to_datetime([day(int(v)) for v in values]).astype("datetime64[us]"), "value": values})
+        frame.to_parquet(tmp_path / f"s.ohlcv.{name}.parquet")
+    files = sinks.manifest_of(spark, str(tmp_path), "ohlcv")
+    assert sinks.compact(spark, files, "D", 10**9) == [{"symbol": "s", "files": 2, "rows": 2, "ok": True}]
+    assert [p.name for p in tmp_path.glob("*.parquet")] == [f"s.ohlcv.{names[2]}.parquet"]
+
+
 def test_legacy_files_and_readers(spark, tmp_path):
     frame = pd.DataFrame({"date": [str(day(1)), str(day(2))], "value": [1.0, 2.0]})
     frame.to_csv(tmp_path / "good.csv", index=False)

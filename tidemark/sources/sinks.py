@@ -236,10 +236,11 @@ def _merge(spark: SparkSession, row, paths: list[str]) -> tuple[int, bool]:
     folder = paths[0].rsplit("/", 1)[0]
     token = f"{row.members[0].start:%y-%m-%d.%H-%M}T{row.members[-1].end:%y-%m-%d.%H-%M}"
     target = f"{folder}/{row.symbol}.{row.dataset}.{token}.parquet"
-    if exists(spark, target):
-        return 0, False
     rows = spark.read.parquet(*paths)
     expected = rows.count()
+    if exists(spark, target):  # a run that died after the merge and before its sources went, or another file
+        written = spark.read.parquet(target).count()
+        return written, written == expected and _deleted(spark, paths)
     staging = f"{folder}/_staging-{uuid.uuid4().hex}"
     # one output file is the point of compaction, and its size is bounded by the target size
     rows.repartitionByRange(1, "date").sortWithinPartitions("date").write.option("compression", "zstd").parquet(staging)
@@ -251,10 +252,12 @@ def _merge(spark: SparkSession, row, paths: list[str]) -> tuple[int, bool]:
     part = next(s.getPath() for s in fs.listStatus(staged_path) if s.getPath().getName().startswith("part-"))
     moved = fs.rename(part, _fs(spark, target)[1])
     fs.delete(staged_path, True)
-    if moved:
-        for p in paths:
-            fs.delete(_fs(spark, p)[1], False)
-    return written, moved
+    return written, moved and _deleted(spark, paths)
+
+
+def _deleted(spark: SparkSession, paths: list[str]) -> bool:
+    fs = _fs(spark, paths[0])[0]
+    return all([fs.delete(_fs(spark, p)[1], False) for p in paths])
 
 
 def convert_legacy(

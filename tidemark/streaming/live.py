@@ -11,6 +11,7 @@ from tidemark.functions.clock import plus_seconds
 from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_bar
 from tidemark.operators.resample import order_key
 from tidemark.session import staged
+from tidemark.sources.sinks import exists
 
 WEEK_START = "4 days"
 
@@ -91,9 +92,7 @@ def into_table(stream: DataFrame, table: str, checkpoint: str, transform: Callab
         rows = (transform(batch) if transform else batch).withColumn("window", bar_of("date", tf))
         rows = rows.persist()
         try:
-            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-            fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            if fs.exists(hadoop_path):
+            if exists(spark, table):
                 touched = rows.select("window").distinct()
                 old = spark.read.schema(rows.schema).parquet(table).join(touched, "window", "left_semi")
                 old = old.join(rows.select(*keys), list(keys), "left_anti")
