@@ -277,3 +277,18 @@ def test_rows_are_repeated_as_taken(spark):
     assert out.count() == plan.agg(F.sum("copies")).first()[0]
     words = out.select(F.size(F.split(F.btrim("text"), " "))).groupBy().sum().first()[0]
     assert abs(words - plan.agg(F.sum("taken")).first()[0]) <= 3
+
+
+def test_texts_that_only_share_a_passage_stay(spark):
+    rng = random.Random(11)
+    texts = []
+    for similarity in (0.55, 0.65, 0.72):  # a text of 200 shingles with so much of one passage in it
+        shared = round(200 * 2 * similarity / (1 + similarity)) + 4
+        passage = [f"p{rng.randint(0, 10**6)}" for _ in range(shared)]
+        texts += [" ".join(passage + [f"w{rng.randint(0, 10**9)}" for _ in range(204 - shared)]) for _ in range(1000)]
+    footer = " ".join(f"f{i}" for i in range(40))
+    bodies = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(200)) for _ in range(2)]
+    texts += [f"{body} " + " ".join([footer] * 30) for body in bodies]  # near fingerprints by repeats alone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    left = {r["doc_id"] for r in simhash.one_of_similar(docs).collect()}
+    assert left == set(range(len(texts)))

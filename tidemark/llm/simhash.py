@@ -13,9 +13,9 @@ leaves out subtrees that are wholly in the searcher's own component: groups of m
 A shard emits one link per fingerprint at most; components are joined by alternating large and small stars, each
 round a written table.
 
-`one_of_each` keeps a row of each component. Small edits move more than the radius's bits, so `one_of_similar` looks among the
-rows that are left for texts with similar sets of shingles: shards named by smallest shingles, a BK-tree each with a
-wide radius, and a check on the whole sets.
+`one_of_each` keeps a row of each component. Near fingerprints do not make texts similar, and small edits move more than the
+radius's bits, so `one_of_similar` drops a row only if whole sets of shingles join it to one that stays: it compares what near
+fingerprints join, then looks among the rows that are left in shards named by smallest shingles, with a BK-tree of wide radius each.
 
 The trees go to the searches by hash partitioning, not as one broadcast variable: together they are as large as the corpus.
 
@@ -50,6 +50,10 @@ STEP = 1 << 16
 BANDS, ROWS = 20, 5
 #: A shard of similar texts with more is cut into cells of two chunks of this size.
 PAIRED = 256
+#: Radius of the trees in a shard of similar texts.
+WIDE = 20
+#: Column with the number of a row.
+ROW = "simhash_row"
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -334,36 +338,72 @@ def gram_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 20) -> DataFrame:
-    """(a, b) links between doc_ids of `docs` that join all whose sets of shingles have a Jaccard similarity of `least` or more.
-
-    Texts this similar may be some 10 bits apart, up to `radius`, so blocks of bits cannot name shards. Shards are named by
-    smallest shingles instead: 20 bands of 5 miss one pair in 3,000 at 0.8, far fewer above. In a shard a BK-tree finds the
-    fingerprints within the radius, and every link found is checked on the whole sets of shingles. Of shards with the same
-    members one is searched. Only documents that share a shard are read again. doc_id tells rows apart; a row without one, or
-    without words, takes no part.
-    """
+def sketched(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """`key`, fp, digest (16 bytes of the set of shingles; of nothing without words) and bands of every row."""
 
     def sketch():
+        import xxhash
+
         sketcher = Sketcher()
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            fps, names = np.zeros(len(texts), np.uint64), []
+            fps, digests, names = np.zeros(len(texts), np.uint64), [], []
             for i, text in enumerate(texts):
                 parts = list(hashed(text.as_py(), width))
                 fps[i] = majority(parts)
-                names.append(sketcher.bands(np.unique(np.concatenate(parts))) if parts else [])
-            return [pa.array(fps.view(np.int64)), pa.array(names, pa.list_(pa.int64()))]
+                grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
+                names.append(sketcher.bands(grams) if parts else [])
+            return [pa.array(fps.view(np.int64)), pa.array(digests, pa.binary()), pa.array(names, pa.list_(pa.int64()))]
 
         return compute
 
-    known = docs.where("doc_id IS NOT NULL")
-    sketches = staged(through_arrow(known, ["doc_id"], "fp bigint, bands array<bigint>", sketch))
-    named = sketches.select("doc_id", "fp", F.posexplode("bands").alias("band", "name"))
-    named = named.select("doc_id", "fp", F.xxhash64("band", "name").alias("shard"))
-    members = named.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("n > 1")
+    return through_arrow(docs, [key], "fp bigint, digest binary, bands array<bigint>", sketch)
+
+
+def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = WIDE) -> DataFrame:
+    """(a, b) links between doc_ids of `docs` that join all whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    Texts this similar may be some 10 bits apart, up to `radius`, so blocks of bits cannot name shards. Shards are named by
+    smallest shingles instead: 20 bands of 5 miss one pair in 3,000 at 0.8, far fewer above. In a shard a BK-tree finds the
+    fingerprints within the radius, and every link found is checked on the whole sets of shingles. Of shards with the same
+    members one is searched. Only documents that share a shard are read again. doc_id tells rows apart; a row without one, or
+    without words, takes no part.
+    """
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("key"), "text")
+    sketches = staged(sketched(known, "key", width).withColumn("node", F.col("key")))
+    return checked_links(known, band_cells(sketches), least, width, radius)
+
+
+def band_cells(sketches: DataFrame) -> DataFrame:
+    """(key, node, fp, cell) of rows (key, node, fp, bands) that share a band."""
+    named = sketches.select("key", "node", "fp", F.posexplode("bands").alias("band", "name"))
+    named = named.select("key", "node", "fp", F.xxhash64("band", "name").alias("shard"))
+    members = named.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
     searched = members.groupBy("n", "who").agg(F.min("shard").alias("shard")).select("shard")
-    dealt = staged(celled(named.join(searched, "shard", "left_semi"), "doc_id", PAIRED))
+    return celled(named.join(searched, "shard", "left_semi"), "node", PAIRED)
+
+
+def near_cells(sketches: DataFrame, radius: int) -> DataFrame:
+    """(key, node, fp, cell) of rows (key, node, fp) whose fingerprints are joined within `radius`.
+
+    A large component is cut into chunks, and its first node is in each: rows grow with the members, not with their pairs.
+    """
+    stars = staged(star_forest(shard_links(sketches.select("fp").distinct(), radius)))
+    rooted = staged(sketches.select("key", "node", "fp").join(stars, sketches.fp == stars.node, "left").select(
+        "key", sketches.node, "fp", F.coalesce("root", "fp").alias("root")))
+    crowds = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    crowds = crowds.select("root", "first", F.ceil(F.col("n") / PAIRED).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    chunks = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(mine))
+    dealt = rooted.join(crowds, "root").select("key", "node", "fp", "root", F.explode(chunks).alias("chunk"))
+    return dealt.select("key", "node", "fp", F.xxhash64("root", "chunk").alias("cell"))
+
+
+def checked_links(docs: DataFrame, cells: DataFrame, least: float, width: int, radius: int) -> DataFrame:
+    """(a, b) links between nodes of `cells` (key, node, fp, cell) that join all of a cell whose sets of shingles are similar
+    enough; `docs` (key, text) are read again for the sets."""
+    dealt = staged(cells)
 
     def grams():
         def compute(texts: pa.Array) -> list[pa.Array]:
@@ -371,8 +411,8 @@ def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, radius: i
 
         return compute
 
-    again = known.select("doc_id", "text").join(dealt.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = through_arrow(again, ["doc_id"], "grams binary", grams)
+    again = docs.join(dealt.select("key").distinct(), "key", "left_semi")
+    sets = through_arrow(again, ["key"], "grams binary", grams)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
@@ -387,40 +427,68 @@ def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, radius: i
     def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
-        ids, fps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        nodes, fps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
         a, b = verified(fps, [r[2] for r in rows], least, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
-    met = dealt.join(sets.hint("shuffle_hash"), "doc_id").select("cell", F.col("doc_id").cast("bigint"), "fp", "grams")
+    met = dealt.join(sets.hint("shuffle_hash"), "key").select("cell", "node", "fp", "grams")
     tasks = max(1, dealt.count() // PAIRED)
-    return met.repartition(tasks, "cell").sortWithinPartitions("cell", "doc_id").mapInArrow(search, "a bigint, b bigint")
+    return met.repartition(tasks, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a bigint, b bigint")
 
 
 def verified(fps: np.ndarray, sets: list[np.ndarray], least: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of links that join all of a shard whose sets are similar enough; pairs joined already are not compared."""
-    up, sizes = list(range(len(fps))), np.array([len(s) for s in sets])
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    links = []
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    starts, label = ends - sizes, np.arange(len(sets))
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    marked, links = np.zeros(len(names), bool), []
     for a, b in Forest(np.zeros(len(fps), np.int64), fps, radius, join=False).links():
         likely = (a < b) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]))
-        for i, j in zip(a[likely].tolist(), b[likely].tolist(), strict=True):
-            if (ri := root(i)) != (rj := root(j)):
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= least * (sizes[i] + sizes[j] - shared):
-                    up[max(ri, rj)] = min(ri, rj)
+        order = np.lexsort((b[likely], a[likely]))
+        a, b = a[likely][order], b[likely][order]
+        for mine in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
+            if not len(mine):
+                continue
+            i, others = int(a[mine[0]]), b[mine]
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            own = names[starts[i] : ends[i]]
+            marked[own] = True
+            if len(others) < 8:
+                shared = np.array([np.count_nonzero(marked[names[starts[j] : ends[j]]]) for j in others])
+            else:  # one pass over all sets
+                upto = np.concatenate([[0], np.cumsum(marked[names])])
+                shared = upto[ends[others]] - upto[starts[others]]
+            marked[own] = False
+            for j in others[shared >= least * (sizes[i] + sizes[others] - shared)].tolist():
+                if label[i] != label[j]:
                     links.append((i, j))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
     pairs = np.array(links, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
 def one_of_similar(docs: DataFrame, least: float = 0.8, radius: int = 4, width: int = 5) -> DataFrame:
-    """`one_of_each`, and of the rows it leaves one of each group that similar texts (`similar_links`) make: the smallest doc_id."""
-    left = staged(one_of_each(docs, radius, width))
-    gone = star_forest(similar_links(left, least, width)).select(F.col("node").alias("doc_id"))
-    return left.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*left.columns)
+    """The rows of `docs`, whole, but for those that a chain of similar texts (`least` or more) joins to a row before them.
+
+    Rows are taken by doc_id, NULL last, then shorter texts first. Texts with the same shingles leave one row. Among the
+    rest, fingerprints within `radius` only say what to compare: a row goes if whole sets of shingles join it to one that stays.
+    Then the rows that are left are searched for similar texts (`checked_links` of `band_cells`), and one of each group stays.
+    Rows are told apart by their own number, so a repeated or missing doc_id changes nothing but the order.
+    """
+    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(ROW).alias("key"), "text")
+    sketches = sketched(texts, "key", width)
+    named = rows.select(F.col(ROW).alias("key"), "doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    ordered = staged(named.join(sketches, "key")).orderBy(F.col("doc_id").asc_nulls_last(), "size", "h", "key")
+    numbered = staged(ordered.select("key", "fp", "digest", "bands", F.monotonically_increasing_id().alias("node")))
+    first = numbered.groupBy("digest").agg(F.min("node").alias("node")).select("node")
+    distinct = staged(numbered.drop("digest").join(first, "node", "left_semi"))
+    left = distinct
+    for cells in (lambda d: near_cells(d, radius), band_cells):
+        gone = star_forest(checked_links(texts, cells(left), least, width, WIDE)).select("node")
+        left = staged(left.join(gone, "node", "left_anti"))
+    kept = left.select(F.col("key").alias(ROW))
+    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)
