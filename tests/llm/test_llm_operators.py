@@ -292,3 +292,30 @@ def test_texts_that_only_share_a_passage_stay(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     left = {r["doc_id"] for r in simhash.one_of_similar(docs).collect()}
     assert left == set(range(len(texts)))
+
+
+def test_near_copies_that_repeat_a_passage_are_found(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(80):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:200] + words[160:200] * (8 if i % 2 else 20) + words[200:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {(r["a"], r["b"]) for r in simhash.similar_links(docs).collect()} == {(i, i + 1) for i in range(0, 160, 2)}
+    assert {r["doc_id"] for r in simhash.one_of_similar(docs).collect()} == set(range(0, 160, 2))
+
+
+def test_radius_misses_one_pair_in_900_000_at_most():
+    def chance(n, most):  # of at most `most` of n bits set
+        return sum(math.comb(n, k) for k in range(min(n, most) + 1)) / 2**n if most >= 0 else 0.0
+
+    worst = 0.0
+    for a in range(1, 61):
+        for b in range(a, a * 5 // 4 + 1):
+            shared = -(-4 * (a + b) // 9)  # the least that makes 0.8
+            if shared <= a:
+                low = [(chance(a - shared, a // 2 - c), chance(b - shared, b // 2 - c)) for c in range(shared + 1)]
+                worst = max(worst, sum(math.comb(shared, c) / 2**shared * (u + v - 2 * u * v) for c, (u, v) in enumerate(low)))
+    assert worst == pytest.approx(0.1875)
+    missed = sum(math.comb(64, k) * worst**k * (1 - worst) ** (64 - k) for k in range(simhash.WIDE + 1, 65))
+    assert missed < 1 / 900_000
