@@ -319,3 +319,15 @@ def test_radius_misses_one_pair_in_900_000_at_most():
     assert worst == pytest.approx(0.1875)
     missed = sum(math.comb(64, k) * worst**k * (1 - worst) ** (64 - k) for k in range(simhash.WIDE + 1, 65))
     assert missed < 1 / 900_000
+
+
+@pytest.mark.parametrize("keep", [simhash.one_of_each, simhash.one_of_similar])
+def test_repeated_and_missing_ids_lose_and_keep_no_text(spark, keep):
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(2000)]
+    near = " ".join(words), " ".join([*words[:-1], "end"])
+    assert 0 < (simhash.fingerprint(near[0], 5) ^ simhash.fingerprint(near[1], 5)).bit_count() <= 4
+    rows = [(1, "one text of its own here"), (1, "quite another text under the same id"), (None, near[0]), (None, near[1]), (2, "x y")]
+    out = keep(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 1, 2]
+    assert {r["text"] for r in out if r["doc_id"] == 1} == {rows[0][1], rows[1][1]}

@@ -264,13 +264,18 @@ def star_forest(links: DataFrame) -> DataFrame:
         edges = staged(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def components(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that can be reached from each distinct fingerprint of (doc_id, fp)."""
+def rooted(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, first_id, root): the smallest doc_id of each distinct fingerprint of (doc_id, fp) and its component's root."""
     fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     stars = star_forest(shard_links(fps.select("fp"), radius))
-    rooted = fps.join(stars, fps.fp == stars.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return fps.join(stars, fps.fp == stars.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def components(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, component_id): the smallest doc_id that can be reached from each distinct fingerprint of (doc_id, fp)."""
+    found = rooted(prints, radius)
+    named = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return found.join(named, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
@@ -281,37 +286,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
-    """The rows of `docs`, whole, one of each component: the one with the smallest doc_id.
+    """The rows of `docs`, whole, one of each component: the one with the smallest doc_id, NULL last, then of the smallest text.
 
-    Of several rows with that doc_id one stays (of its smallest text); of a component without any doc_id one row.
+    Components are told apart by their root fingerprint and rows by their own number, so repeated or missing doc_ids lose none.
     """
-    prints = staged(fingerprints(docs, width))
-    found = staged(prints.join(components(prints, radius), "fp").select("doc_id", "fp", "component_id"))
-    repeated = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
-    gone = found.where("doc_id <> component_id").select("doc_id").unionAll(repeated.where("doc_id IS NOT NULL")).distinct()
-    single = docs.where("doc_id IS NOT NULL").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    if repeated.limit(1).count() == 0:
-        return single
-    # rows that their doc_id does not tell apart: known by id and fingerprint
-    again = docs.join(repeated, docs.doc_id.eqNullSafe(repeated.doc_id), "left_semi")
-    packed = again.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    prints_again = through_arrow_row(packed, width)
-    kept = (
-        prints_again.join(
-            found.select(F.col("doc_id").alias("id"), F.col("fp").alias("f"), "component_id").distinct(),
-            F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f")),
-        )
-        .where("doc_id <=> component_id")
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g"))
-        .agg(F.min_by("row", "order").alias("row"))
-    )
-    return single.unionByName(kept.select("row.*"))
-
-
-def through_arrow_row(packed: DataFrame, width: int) -> DataFrame:
-    """`packed` (row, doc_id, text) with fp and an order of its rows."""
-    fp = F.pandas_udf(lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, width)).astype(np.int64)), "bigint")
-    return packed.select("row", "doc_id", fp("text").alias("fp"), F.struct(F.octet_length("text"), F.xxhash64("text")).alias("order"))
+    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    prints = staged(fingerprints(rows.select(F.col(ROW).alias("doc_id"), "text"), width))
+    order = rows.select(ROW, F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"), ROW
+    ).alias("order"))
+    placed = prints.withColumnRenamed("doc_id", ROW).join(rooted(prints, radius).select("fp", "root"), "fp").join(order, ROW)
+    kept = placed.groupBy("root").agg(F.min("order").alias("order")).select(f"order.{ROW}")
+    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)
 
 
 class Sketcher:
