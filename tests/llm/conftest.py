@@ -57,6 +57,19 @@ def edge(tmp_path_factory):
         "page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([p[1] for p in pages]),
         "html": pa.array([p[2] for p in pages]), "payload": pa.array(["clash"] * len(pages)), "first": pa.array([1] * len(pages)),
     }), "pages")
+    said = lambda conv, n, words=("hi", "ok", "né", ""): [
+        (conv, t, rng.choice(["user", "assistant"]), rng.choice(words)) for t in range(n)]
+    turns = [(c, t, r, x) for c in range(100, 130) for _, t, r, x in said(c, rng.randint(1, 9))]
+    turns += said(0, 3) + said(1, 1) + said(2, 6) + said(-3, 4) + said(-5, 5) + said(66, 1) + said(91, 700, ("a", "b")) + said(None, 3)
+    turns += [(c, t, "user", "the same") for c in range(200, 260) for t in range(3)]  # equal conversations
+    turns += [(300, None, "user", "first"), (300, None, "user", "also"), (300, 2, None, "x"), (300, 2, "user", None), (300, 2, None, "x")]
+    turns += [(305, 1, "user", "the 1:x"), (306, 1, "usert", "he 1:x")]
+    rng.shuffle(turns)
+    write(pa.table({
+        "conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int64()),
+        "role": pa.array([t[2] for t in turns], pa.string()), "text": pa.array([t[3] for t in turns], pa.string()),
+        "family": pa.array(["clash"] * len(turns)), "depth": pa.array([1] * len(turns)), "n": pa.array([2] * len(turns)),
+    }), "conversations")
     return str(path)
 
 
@@ -68,6 +81,8 @@ def empty(tmp_path_factory):
         "labels": pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32()), "toxic": pa.array([], pa.int32())}),
         "embeddings": pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))}),
         "pages": pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())}),
+        "conversations": pa.table({
+            "conv_id": pa.array([], pa.int64()), "turn": pa.array([], pa.int64()), "role": pa.array([], pa.string()), "text": pa.array([], pa.string())}),
     }
     for name, table in tables.items():
         pq.write_table(table, path / f"{name}.parquet")

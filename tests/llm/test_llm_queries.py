@@ -25,7 +25,7 @@ def texts(sf):
 
 def sql(sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con.sql(ORACLES[name]).df()
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, mixing, quality, quality_rules, simhash, token_counts, topk, toxicity, warc
+from tidemark.llm import (
+    byte_bpe, language, mixing, prefix_trie, quality, quality_rules, simhash, token_counts, topk, toxicity, warc,
+)
 from tidemark.llm.common import held_out, table
 from tidemark.session import tune
 
@@ -100,3 +102,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", prefix_trie.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
