@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, divergence, language, mixing, prefix_trie, quality, quality_rules, simhash, token_counts, topk, toxicity, warc,
+    byte_bpe, divergence, language, mixing, prefix_trie, quality, quality_rules, simhash, suffix_dedup,
+    token_counts, topk, toxicity, warc,
 )
 from tidemark.llm.common import held_out, table
 from tidemark.session import tune
@@ -109,6 +110,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_suffix_dedup", suffix_dedup.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op13_source_divergence", divergence.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
