@@ -1,8 +1,8 @@
 """Hashed text features without a Python object per word: whole batches of texts as one byte array.
 
 A word's hash is a polynomial over its bytes, taken as a difference of running sums, so that any number of words costs a
-few passes over the bytes. N-grams are mixed from word hashes. Texts longer than `PIECE` bytes are cut at white space into
-pieces; every word of every piece is a feature, n-grams do not reach over a cut.
+few passes over the bytes. N-grams are mixed from word hashes. Texts longer than twice `PIECE` bytes are looked at in pieces, cut at white
+space, with the last words of a piece in front of the next (`joined_words`), so the cuts change no feature.
 """
 
 from __future__ import annotations
@@ -126,5 +126,21 @@ class Words:
         return joint[same], self.texts[gap:][same]
 
 
+def joined_words(
+    cut: list[tuple[np.ndarray, np.ndarray]], tables: Tables, between: np.ndarray | None = None, carry: int = 2
+) -> Iterator[tuple[Words, int]]:
+    """The words of each piece that `runs` gives of some rows, and how many in front are the last `carry` ones of the piece before."""
+    tail: list[bytes] = []
+    for data, limits in cut:
+        if tail:
+            front = np.frombuffer(b"".join(word + b" " for word in tail), np.uint8)
+            data = np.concatenate([front, data])
+            limits = np.array([0, len(data)])
+        words = Words(data, limits, tables, between)
+        yield words, len(tail)
+        if len(cut) > 1:
+            tail = [data[a:b].tobytes() for a, b in zip(words.starts[-carry:], words.ends[-carry:], strict=True)]
+
+
 def bins(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)

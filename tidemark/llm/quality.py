@@ -5,7 +5,8 @@ x holds a text's hashed tokens as shares of its words: the word itself, its shap
 three), a repeat of the word before, and a run of three words that stood before in the text. The expected grade
 (the sum of all tail probabilities) ranks documents; one tail probability selects them.
 
-The model is fitted on at most `max_rows` labelled texts (see `samples.labelled`). It is 2^16 weights.
+The model is fitted on at most `max_rows` labelled texts of `max_bytes` bytes together (see `samples.labelled`). It is 2^16 weights.
+Texts of any length are looked at whole.
 
 Defined cases: a NULL text is empty; an empty text has w . x = 0, so its score is what the thresholds give; without any
 labelled row all weights are 0 and the thresholds are spread around 0; a grade nobody gave only moves its threshold;
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filtered_by_arrow, held_out, through_arrow
-from tidemark.llm.hashing import Tables, Words, bins, mixed, runs
-from tidemark.llm.samples import labelled
+from tidemark.llm.hashing import Tables, Words, bins, joined_words, mixed, runs
+from tidemark.llm.samples import MAX_BYTES, labelled
 
 BITS = 16
 #: Shares are small numbers; this brings them near 1.
@@ -40,26 +41,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def tokens(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(text, bin) of each hashed token, by kind."""
+def tokens(words: Words, old: int = 0, runs_seen: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """((text, bin) of each hashed token, by kind; hashes of the runs of three words so far).
+
+    The first `old` words and `runs_seen` come from the piece before and only give what follows its neighbours.
+    """
     tables, texts = words.tables, words.texts
+    before = np.zeros(0, np.uint64) if runs_seen is None else runs_seen
     if not len(texts):
-        return []
+        return [], before
     h = words.span_hash(words.sums(tables.values), words.starts, words.ends)
     shapes = words.sums(tables.shapes)
     tail = words.span_hash(shapes, np.maximum(words.starts, words.ends - 3), words.ends)
     head = tables.shapes[words.data[words.starts]]
-    found = [(texts, bins(h, BITS)), (texts, bins(mixed(tail + head), BITS))]
+    found = [(texts[old:], bins(h[old:], BITS)), (texts[old:], bins(mixed(tail + head)[old:], BITS))]
     again = np.flatnonzero((h[1:] == h[:-1]) & (texts[1:] == texts[:-1]))
+    again = again[again + 1 >= old]
     found.append((texts[1:][again], np.zeros(len(again), np.int64)))
     if len(h) > 2:
         three = mixed(mixed(h[:-2] + np.uint64(1)) + mixed(h[1:-1] + np.uint64(2)) * np.uint64(3) + h[2:])
-        inside = texts[2:] == texts[:-2]
+        inside = (texts[2:] == texts[:-2]) & (np.arange(2, len(texts)) >= old)
         three = mixed(three[inside] + texts[2:][inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         seen = np.ones(len(three), bool)
         seen[np.unique(three, return_index=True)[1]] = False
+        if len(before):
+            seen |= np.isin(three, before)
         found.append((texts[2:][inside][seen], np.ones(int(seen.sum()), np.int64)))
-    return found
+        before = np.union1d(before, three) if runs_seen is not None else before
+    return found, before
 
 
 class Scorer:
@@ -71,10 +80,11 @@ class Scorer:
     def tails(self, column: pa.Array) -> np.ndarray:
         sums, words = np.zeros(len(column)), np.zeros(len(column))
         for rows, cut in runs(column, self.tables.space):
-            for data, limits in cut:
-                w = Words(data, limits, self.tables)
-                words[rows] += np.bincount(w.texts, minlength=len(rows))
-                for texts, at in tokens(w):
+            three = np.zeros(0, np.uint64) if len(cut) > 1 else None
+            for w, old in joined_words(cut, self.tables):
+                words[rows] += np.bincount(w.texts[old:], minlength=len(rows))
+                found, three = tokens(w, old, three)
+                for texts, at in found:
                     sums[rows] += np.bincount(texts, self.model.weights[at], minlength=len(rows))
         return self.model.tails(SCALE * sums / np.maximum(words, 1))
 
@@ -87,10 +97,10 @@ def _sparse():
         for rows, cut in runs(texts, tables.space):
             counts: dict[int, np.ndarray] = {}
             n_words = np.zeros(len(rows))
-            for data, limits in cut:
-                w = Words(data, limits, tables)
-                n_words += np.bincount(w.texts, minlength=len(rows))
-                parts = tokens(w)
+            three = np.zeros(0, np.uint64) if len(cut) > 1 else None
+            for w, old in joined_words(cut, tables):
+                n_words += np.bincount(w.texts[old:], minlength=len(rows))
+                parts, three = tokens(w, old, three)
                 keys = np.concatenate([(t << BITS) + a for t, a in parts]) if parts else np.zeros(0, np.int64)
                 keys, n = np.unique(keys, return_counts=True)
                 for i in range(len(rows)):
@@ -114,11 +124,11 @@ def _sparse():
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, max_rows: int = 8000, rounds: int = 12,
+    docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, max_rows: int = 8000, max_bytes: int = MAX_BYTES, rounds: int = 12,
     rate: float = 0.05, decay: float = 1e-4,
 ) -> Model:
     """Fit on labelled texts; `grade` is SQL over `labels`, 0 to n_grades - 1 (others are clipped)."""
-    sample = labelled(docs, labels, F.least(F.greatest(F.expr(grade), F.lit(0)), F.lit(n_grades - 1)), max_rows)
+    sample = labelled(docs, labels, F.least(F.greatest(F.expr(grade), F.lit(0)), F.lit(n_grades - 1)), max_rows, max_bytes)
     got = through_arrow(sample, ["doc_id", "grade"], "bins binary, shares binary", _sparse).toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
     return _fitted(

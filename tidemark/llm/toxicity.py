@@ -4,7 +4,8 @@ Features of a text (lower-cased, words are runs of letters, each feature once):
 pairs of neighbours and pairs with one word between, hashed to 2^20 coordinates. Every coordinate has its own learning rate and an L1 threshold,
 so that most weights are exactly 0; what is broadcast are the others, a few thousand numbers.
 
-The model is fitted in one order on at most `max_rows` labelled texts (see `samples.labelled`).
+The model is fitted in one order on at most `max_rows` labelled texts of `max_bytes` bytes together (see `samples.labelled`). Texts of any
+length are looked at whole.
 
 Defined cases: a NULL or empty text has the bias alone; without any labelled row every score is 0.5; repeated rows each
 give a row; other columns are left out.
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, through_arrow
-from tidemark.llm.hashing import Tables, Words, bins, mixed, runs
-from tidemark.llm.samples import labelled
+from tidemark.llm.hashing import Tables, Words, bins, joined_words, mixed, runs
+from tidemark.llm.samples import MAX_BYTES, labelled
 
 BITS = 20
 
@@ -38,11 +39,10 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
-def coordinates(data: np.ndarray, limits: np.ndarray, tables: Tables) -> list[tuple[np.ndarray, np.ndarray]]:
+def coordinates(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """(text, coordinate) of each feature, by kind, repeats included."""
-    words = Words(data, limits, tables, tables.blank)
     texts, starts, ends = words.texts, words.starts, words.ends
-    sums = words.sums(tables.values)
+    sums = words.sums(words.tables.values)
     h = words.span_hash(sums, starts, ends)
     found = [(texts, bins(h, BITS))]
     for salt, size in ((5, 5), (7, 7)):
@@ -62,7 +62,7 @@ def _sparse():
         found = [b""] * len(column)
         for rows, cut in runs(lowered(column), tables.space):
             keys = np.unique(np.concatenate(
-                [(t << BITS) + a for data, limits in cut for t, a in coordinates(data, limits, tables)]
+                [(t << BITS) + a for words, _ in joined_words(cut, tables, tables.blank) for t, a in coordinates(words)]
             ))
             limits = np.searchsorted(keys, np.arange(len(rows) + 1) << BITS)
             for i, row in enumerate(rows):
@@ -73,11 +73,11 @@ def _sparse():
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, toxic: str, max_rows: int = 12000, rounds: int = 4,
+    docs: DataFrame, labels: DataFrame, toxic: str, max_rows: int = 12000, max_bytes: int = MAX_BYTES, rounds: int = 4,
     alpha: float = 0.3, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1,
 ) -> Model:
     """Fit on labelled texts; `toxic` is SQL over `labels`, 0 or 1."""
-    sample = labelled(docs, labels, F.expr(toxic), max_rows)
+    sample = labelled(docs, labels, F.expr(toxic), max_rows, max_bytes)
     got = through_arrow(sample, ["doc_id", "grade"], "coordinates binary", _sparse).toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
     order = np.random.default_rng(3).permutation(len(got))  # ids may come in groups
@@ -121,8 +121,8 @@ def scores(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame
             sums = np.full(len(column), model.bias)
             for rows, cut in runs(lowered(column), tables.space):
                 hits = []
-                for data, limits in cut:
-                    for texts, at in coordinates(data, limits, tables):
+                for words, _ in joined_words(cut, tables, tables.blank):
+                    for texts, at in coordinates(words):
                         some = dense[at] != 0
                         hits.append((texts[some] << BITS) + at[some])
                 keys = np.unique(np.concatenate(hits))
