@@ -3,7 +3,8 @@
 A text is a vector of hashed letter 2- and 3-grams (of bytes, lower-cased, everything ASCII but letters read as a blank),
 root term frequency times inverse document frequency, scaled to length 1. Each language has several centroids, found by
 spherical k-means; a text gets the language of the centroid with the largest cosine. A text whose best cosine is under
-`least_similarity` is too far from everything known and is rejected.
+`least_similarity` sqrt(min(1, grams / `LONG`)) is too far from everything known and is rejected: a short text shares few grams with any
+centroid, whatever its language.
 
 Document frequencies come from every training row. Centroids are fitted on a sample by hash of at most about `max_rows`
 rows, shared equally by the languages. The model is G languages x K centroids x 2^13 floats (128 kB a language).
@@ -27,6 +28,8 @@ from tidemark.llm.hashing import PIECE, Tables, mixed, runs
 BITS = 13
 BATCH = 64
 UNKNOWN = "und"
+#: Cosine under which a long text is rejected, and the grams from which a text is long. A cosine grows with the root of the number of grams.
+LEAST, LONG = 0.12, 400
 
 
 @dataclass
@@ -56,11 +59,16 @@ class Grams:
         for start in range(0, len(lowered), BATCH):
             for rows, cut in runs(lowered.slice(start, BATCH), self.space, PIECE):
                 total = np.zeros((len(rows), 1 << BITS), np.float32)
+                front = np.zeros(0, np.uint8)  # the last bytes of the piece before
                 for data, limits in cut:
-                    total += self.of(data, limits)
+                    if len(front):
+                        data, limits = np.concatenate([front, data]), np.array([0, len(front) + len(data)])
+                    total += self.of(data, limits, len(front))
+                    front = data[-2:] if len(cut) > 1 else front
                 yield start + rows, total
 
-    def of(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    def of(self, data: np.ndarray, limits: np.ndarray, old: int = 0) -> np.ndarray:
+        """Counts of the grams that end behind the first `old` bytes."""
         n = len(limits) - 1
         read = self.letters[data].astype(np.uint64)
         text = np.repeat(np.arange(n), np.diff(limits))
@@ -75,6 +83,7 @@ class Grams:
                 gram = (gram << np.uint64(8)) | part
                 blanks += part == 32
             whole = (text[: len(gram)] == text[size - 1 :]) & (blanks <= 1)
+            whole[: max(0, old - size + 1)] = False
             if size == 3:  # a blank in the middle joins two words
                 whole &= read[1 : 1 + len(gram)] != 32
             at = (text[: len(gram)][whole] << BITS) + (mixed(gram[whole]) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -105,7 +114,7 @@ def clustered(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, max_rows: int = 4000, per_language: int = 3, least_similarity: float = 0.04) -> Model:
+def fit(docs: DataFrame, max_rows: int = 4000, per_language: int = 3, least_similarity: float = LEAST) -> Model:
     rows = docs.select("doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
 
     def document_frequencies(batches):
@@ -169,7 +178,7 @@ def _packed():
 
 
 def _predictor(model: Model):
-    """Language and cosine of each text of an Arrow column; None where there is no letter or no model."""
+    """Language, cosine and acceptance of each text of an Arrow column; None where there is no letter or no model."""
 
     def start():
         import regex
@@ -177,16 +186,18 @@ def _predictor(model: Model):
         letter = regex.compile(r"\p{L}")
         grams, weights = Grams(), model.centroids.T.copy()
 
-        def compute(texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
-            best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        def compute(texts: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+            best, score, size = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             if model.languages:
                 for rows, counts in grams.counts(texts):
                     cosines = vectors(counts, model.idf) @ weights
                     best[rows] = cosines.argmax(1)
                     score[rows] = np.clip(cosines.max(1), 0, 1)
-            known = [bool(model.languages) and t is not None and letter.search(t) is not None for t in texts.to_pylist()]
-            score[~np.array(known, bool)] = 0
-            return [model.languages[b] if k else None for b, k in zip(best, known, strict=True)], score
+                    size[rows] = counts.sum(1)
+            known = np.array([bool(model.languages) and t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
+            score[~known] = 0
+            near = known & (score >= model.least_similarity * np.sqrt(np.minimum(1, size / LONG)))
+            return [model.languages[b] if k else None for b, k in zip(best, known, strict=True)], score, near
 
         return compute
 
@@ -201,9 +212,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         predictor = _predictor(shared.value)()
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            found, score = predictor(texts)
-            rejected = [f is None or s < shared.value.least_similarity for f, s in zip(found, score, strict=True)]
-            return [pa.array([f or UNKNOWN for f in found]), pa.array(score), pa.array(rejected)]
+            found, score, near = predictor(texts)
+            return [pa.array([UNKNOWN if f is None else f for f in found]), pa.array(score), pa.array(~near)]
 
         return compute
 
@@ -216,11 +226,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def start():
         predictor = _predictor(shared.value)()
-
-        def keep(texts: pa.Array) -> pa.Array:
-            found, score = predictor(texts)
-            return pa.array([f is not None and s >= shared.value.least_similarity for f, s in zip(found, score, strict=True)])
-
-        return keep
+        return lambda texts: pa.array(predictor(texts)[2])
 
     return filtered_by_arrow(docs, start)
