@@ -2,8 +2,9 @@
 
 DataFrame functions only. One pass over the texts makes the counts and the votes; the distinct patterns of votes
 (3 to the number of rules at most) with their numbers of documents are all that expectation-maximisation needs, so it runs on a
-table of a few hundred rows. A rule that votes is right with one accuracy on good documents and another on poor ones
-(a rule sees one kind of junk only, so the latter is held low), independently of the others given the true quality; abstaining says nothing.
+table of a few hundred rows. A rule that votes is right with one accuracy on good documents and another on poor ones, independently of the
+others given the true quality; abstaining says nothing. The accuracies and the share of good
+documents are what the votes of all documents say; limits only keep logarithms finite and "good" the side a rule's good votes are on.
 The posterior probability of being good replaces "all rules must pass".
 
 Repeats of 5-word windows are found by the windows' XXH64, in one sort per text.
@@ -35,8 +36,8 @@ RULES = [
     ("stops", "n_stops >= 1 AND 40 * n_stops >= n_words", "n_words >= 60 AND n_stops = 0"),
 ]
 ROUNDS = 20
-#: First guesses, and limits that keep "good" and "poor" in their roles: accuracy on good documents, on poor ones, share of good.
-GUESS = {"good": (0.99, 0.99, 0.999), "poor": (0.3, 0.2, 0.4), "share": (0.8, 0.05, 0.95)}
+#: First guesses, and limits: accuracy on good documents, on poor ones, share of good.
+GUESS = {"good": (0.95, 0.5, 0.9999), "poor": (0.3, 0.0001, 0.9999), "share": (0.8, 0.01, 0.99)}
 
 
 def counts(docs: DataFrame) -> DataFrame:
