@@ -102,7 +102,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_source_mix", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop(mixing.ROW)
 
 
 @query("op11_prefix_trie", prefix_trie.SQL)
