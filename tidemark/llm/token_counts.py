@@ -6,7 +6,7 @@ is made once from the vocabulary (`proven`): no piece holds a space mark after a
 the two sides and each side's tokens are those of the whole text. If the overlap has no such boundary it is doubled, and
 when it reaches the last splice the chunk itself grows, in the end to the whole text.
 
-Shorter texts fall into the same stable segments; each distinct segment is encoded once per task and remembered. A model
+Shorter texts fall into the same stable segments; each distinct segment of at most 64 characters is encoded once per task and remembered. A model
 without the proof has every text encoded whole.
 
 Defined cases: a NULL or empty text has 0 tokens; repeated rows each give a row; other columns are left out; an empty table
@@ -23,8 +23,8 @@ from tidemark.llm.common import through_arrow
 
 CHUNK = 1 << 14
 OVERLAP = 1 << 8
-#: Remembered segments per task; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Remembered segments per task, and characters of one; beyond the number the memory starts anew, longer ones are not remembered.
+REMEMBERED, SHORT = 300_000, 64
 MARK = "▁"
 
 
@@ -102,9 +102,11 @@ class Counter:
 
     def segment(self, text: str) -> int:
         """Tokens of a segment that stands behind a space mark; a line feed in front of it replaces the mark."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        n = self.known[text] = len(self.processor.encode(text)) - text.startswith("\n")
+        n = len(self.processor.encode(text)) - text.startswith("\n")
+        if len(text) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = n
         return n
 
     def count(self, text: str) -> int:
