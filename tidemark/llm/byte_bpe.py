@@ -1,6 +1,6 @@
 """Byte-level BPE: text to token ids and back to bytes, with a local rank file and the tiktoken library.
 
-Long texts are cut before white space that follows an ASCII letter or digit. No match of the split pattern reaches over
+Long texts are cut before white space that follows a letter or number of any script. No match of the split pattern reaches over
 such a place (only white-space matches hold white space after their first character, and what they look ahead at is never
 the cut), so the parts' ids joined are the ids of the whole text; a text without such a place stays whole.
 
@@ -25,7 +25,7 @@ LONG = 1 << 16
 #: White space of the split pattern, fixed by Unicode's property of that name.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]{{4096,}}")
-_CUT = re.compile(r"[A-Za-z0-9](?=[ \n])")
+_CUT = re.compile(r"[^\W_](?=[ \n])")
 
 
 def parts(text: str, size: int = LONG) -> Iterator[str]:
