@@ -482,7 +482,8 @@ def without_repeats(
         return known
 
     def dealt(parts: DataFrame, shards: int) -> DataFrame:
-        return parts.repartition(max(1, min(shards, 4 * tasks)), "shard").sortWithinPartitions("shard", "chunk")
+        parted = max(1, min(shards, 4 * tasks))
+        return parts.repartitionById(parted, (F.col("shard") % parted).cast("int")).sortWithinPartitions("shard", "chunk")
 
     asked = chunks.select("chunk", "lengths", "size", "data").mapInArrow(anchor_names(rules), "shard bigint, chunk bigint, names binary, sizes binary")
     names = answered(dealt(asked, rules.names).mapInArrow(shared_names(hot), "chunk bigint, shard bigint, shared binary, hot binary"), "names")
