@@ -19,7 +19,7 @@ def sample(n, seed):
     rows = []
     for i in range(n):
         bad = rng.random() < 0.4
-        text = [rng.choice(words) for _ in range(rng.randint(0, 25))] + (["you", "stupid", "fools"] if bad else ["kind", "regards"])
+        text = [rng.choice(words) for _ in range(rng.randint(0, 25))] + (["ye", "stupid", "fools"] if bad else ["kind", "regards"])
         rows.append((i, rng.choice([" ", "  ", "\n"]).join(text), int(not bad or rng.random() < 0.2), int(bad)))
     return rows
 
