@@ -1,6 +1,14 @@
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.functions.ladder import bar_of
+from tidemark.operators.resample import candle_ladder
+from tidemark.plans.labels import excursion_labels
 from tidemark.streaming import live
+from tidemark.streaming.labels import matured_labels
 
 START = datetime(2024, 1, 1)
 SCHEMA = "symbol string, date timestamp, seq long, price double, volume double"
@@ -35,16 +43,43 @@ def test_repeated_ticks_count_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
-def test_labels_wait_for_their_horizon(spark, tmp_path):
-    rows = [("s", START + timedelta(minutes=5 * i), 10.0 + i, 9.0 + i) for i in range(8)]
-    schema = "symbol string, date timestamp, high double, low double"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "c"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "c"))
+def test_labels_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows, price = {"s": [], "quiet": []}, 100.0
+    for i in range(400):
+        price += rng.uniform(-3, 3)
+        for symbol in rows:
+            if symbol == "s" or rng.random() < 0.6:  # a gap is filled with the close before it
+                rows[symbol].append((symbol, START + timedelta(minutes=5 * i), price, price + rng.random(), price - rng.random(), price))
+    rows["quiet"] = [r for r in rows["quiet"] if not 150 < (r[1] - START).seconds // 300 < 190]
+    schema = "symbol string, date timestamp, open double, high double, low double, close double"
     out = str(tmp_path / "out")
-    live.run_to_end(live.excursions(live.matured_horizons(stream, "5min", 3, "0 minutes")), out)
-    got = sorted(((r.date - START).total_seconds() / 60, r.mfe_long, r.mae_long) for r in spark.read.parquet(out).collect())
-    # bars 0 … 6 are closed at the mark of minute 35
-    assert got == [(5.0 * (i - 1), 3.0, 0.0) for i in range(1, 5)]
+
+    def run(part, lo, hi, extra=()):
+        minutes = lambda r: (r[1] - START).total_seconds() / 60
+        some = [r for s in rows.values() for r in s if lo <= minutes(r) < hi] + list(extra)
+        rng.shuffle(some)
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(str(tmp_path / "c" / part))
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/c/*")
+        live.run_to_end(matured_labels(stream, "5min", "15min", "10 minutes", horizon=6, floor_length=5, gate=1.2), out)
+        return spark.read.parquet(out)
+
+    assert run("a", 0, 500).count() > 100
+    again = [r for r in rows["s"] if 480 <= (r[1] - START).total_seconds() / 60 < 500]  # repeats change nothing
+    run("b", 500, 510, again)
+    run("c", 510, 1300)
+    got = run("d", 1300, 2000).toPandas().sort_values(["symbol", "date"])
+    whole = spark.createDataFrame([r for s in rows.values() for r in s], schema).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    mt = candle_ladder(whole.withColumns({"volume": F.lit(1.0), "timeframe": F.lit("5min"), "bar": bar_of("date", "5min")}), "5min", ["15min"])
+    batch = excursion_labels(mt.where("timeframe = '5min'"), mt.where("timeframe = '15min'"), "5min", "15min", 6, 5, 1.2)
+    batch = batch.select("symbol", "date", "mfe", "rer", "action").toPandas()
+    # the mark is at minute 1985: bars that start at 1980 are settled
+    seen = {s: max(r[1] for r in part if r[1] + timedelta(minutes=5) <= START + timedelta(minutes=1985)) for s, part in rows.items()}
+    batch = batch[batch.date + timedelta(minutes=30) <= batch.symbol.map(seen)].sort_values(["symbol", "date"])
+    assert len(got) == len(batch) > 700 and batch.mfe.isna().any()
+    assert got.date.tolist() == batch.date.tolist() and got.action.tolist() == batch.action.tolist()
+    for c in ("mfe", "rer"):
+        assert np.allclose(got[c], batch[c], equal_nan=True)
 
 
 def test_windows_are_rewritten_whole_and_repeats_change_nothing(spark, tmp_path):

@@ -28,7 +28,7 @@ CANDLE_TIMEFRAMES: list[str] = ["1min", "5min", "15min", "1h", "4h", "1D", "1W"]
 ROLE_SHIFT: dict[str, int] = {"structure": 0, "pattern": -1, "trigger": -2, "double": -4, "hat_trick": -6}
 
 # Weeks start on Monday; 1970-01-05 was one.
-_WEEK_OFFSET_S = 4 * DAY_S
+WEEK_OFFSET_S = 4 * DAY_S
 
 
 def ladder(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def bar_of(date: str | Column, tf: str) -> Column:
     if tf in ("1M", "4M", "1Y"):
         months = F.year(col(date)) * 12 + F.month(col(date)) - 1
         return F.floor(months / {"1M": 1, "4M": 4, "1Y": 12}[tf]).cast("long")
-    offset = _WEEK_OFFSET_S if tf == "1W" else 0
+    offset = WEEK_OFFSET_S if tf == "1W" else 0
     return F.floor((epoch_s(date) - offset) / F.lit(TF_MINUTES[tf] * 60)).cast("long")
 
 
@@ -85,7 +85,7 @@ def start_of_bar(bar: str | Column, tf: str) -> Column:
         months = col(bar) * {"1M": 1, "4M": 4, "1Y": 12}[tf]
         first = F.make_date(F.floor(months / 12).cast("int"), (months % 12 + 1).cast("int"), F.lit(1))
         return first.cast("timestamp_ntz")
-    offset = _WEEK_OFFSET_S if tf == "1W" else 0
+    offset = WEEK_OFFSET_S if tf == "1W" else 0
     return from_epoch_s(col(bar) * (TF_MINUTES[tf] * 60) + offset)
 
 
@@ -95,5 +95,5 @@ def floor_to_bar(date: str | Column, tf: str) -> Column:
 
 def bar_of_stacked(date: str | Column = "date", timeframe: str | Column = "timeframe") -> Column:
     """`bar_of` for a stacked table, the timeframe being a column (fixed-width timeframes)."""
-    offset = F.when(col(timeframe) == "1W", _WEEK_OFFSET_S).otherwise(0)
+    offset = F.when(col(timeframe) == "1W", WEEK_OFFSET_S).otherwise(0)
     return F.floor((epoch_s(date) - offset) / (minutes_of(timeframe) * 60)).cast("long")

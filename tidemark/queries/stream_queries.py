@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tidemark.plans.dataset import build_dataset
 from tidemark.queries import query
 from tidemark.queries.dataset_queries import LAYOUT, ROW_COLUMNS, SQL_DATASET, all_rows
-from tidemark.queries.views import candles, r6, s6, sql_candles, stacked, table
+from tidemark.queries.feature_queries import _labels_sql
+from tidemark.queries.views import candles, r6, raw_candles, s6, sql_candles, stacked, table
 from tidemark.session import shared_folder, staged
 from tidemark.streaming import live
+from tidemark.streaming.labels import matured_labels
 
 KEY = ["symbol", "date"]
 
@@ -48,19 +50,20 @@ def stream_unique_ticks(spark, sf):
     return _drained(spark, live.unique_ticks(doubled, "2 hours")).select(*KEY, "seq")
 
 
-@query("stream_matured_labels", f"""WITH {sql_candles()},
-f AS (SELECT symbol, date, list(high) OVER w AS h, list(low) OVER w AS l, max(date) OVER (PARTITION BY symbol) AS last FROM c_1h
-  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
-mx AS (SELECT max(date) - INTERVAL 2 HOUR AS mark FROM c_1h)
-SELECT symbol, date, {s6("greatest(0.0, list_max(h) - l[1])", "mfe_long")}, {s6("greatest(0.0, l[1] - list_min(l[1:list_position(h, list_max(h))]))", "mae_long")},
-  {s6("greatest(0.0, h[1] - list_min(l))", "mfe_short")}, {s6("greatest(0.0, list_max(h[1:list_position(l, list_min(l))]) - h[1])", "mae_short")}
-FROM f, mx WHERE len(h) = 12 AND date + INTERVAL 13 HOUR <= mark""")
+def _matured_sql() -> str:
+    """The batch labels of the anchors whose horizon had settled, quiet bars filled, when the stream ended."""
+    body, final = _labels_sql(3).rsplit("\nSELECT", 1)
+    return f"""{body}, mx AS (SELECT max(date) - INTERVAL 2 HOUR AS mark FROM raw_1h),
+seen AS (SELECT symbol, max(date) AS seen FROM raw_1h, mx WHERE date + INTERVAL 1 HOUR <= mark GROUP BY symbol)
+SELECT l.* FROM (SELECT{final}) l JOIN seen USING (symbol) WHERE date + INTERVAL 12 HOUR <= seen"""
+
+
+@query("stream_matured_labels", _matured_sql())
 def stream_matured_labels(spark, sf):
-    stored = staged(candles(spark, sf).withColumn("date", F.col("date").cast("timestamp")))
-    path = stored.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(stored.schema).parquet(path)
-    out = _drained(spark, live.excursions(live.matured_horizons(stream, "1h", 12, "2 hours")))
-    return out.select(*KEY, *[r6(c).alias(c) for c in ("mfe_long", "mae_long", "mfe_short", "mae_short")])
+    closed = staged(raw_candles(spark, sf).withColumn("date", F.col("date").cast("timestamp")))
+    stream = spark.readStream.schema(closed.schema).parquet(closed.inputFiles()[0].rsplit("/", 1)[0])
+    out = _drained(spark, matured_labels(stream, "1h", "4h", "2 hours", horizon=12, floor_length=14, gate=1.5))
+    return out.select(*KEY, r6("mfe").alias("mfe"), "action", r6("rer").alias("rer"))
 
 
 @query("stream_into_windows", f"""WITH {sql_candles()}

@@ -46,40 +46,6 @@ def closed_candles(ticks: DataFrame, tf: str, late: str) -> DataFrame:
     )
 
 
-def matured_horizons(candles: DataFrame, tf: str, horizon: int, late: str) -> DataFrame:
-    """Per anchor of a candle stream the highs and lows of its next `horizon` bars, once all of them are closed.
-
-    A window of the anchor and `horizon` bars slides by one bar; the watermark gives it out when it is over. The state is
-    those bars per anchor. Anchors that lack bars (a gap in the stream), or their own candle, are left out.
-    """
-    width = TF_MINUTES[tf]
-    bars = F.array_sort(F.collect_list(F.struct("date", "high", "low")))
-    return (
-        candles.withWatermark("date", late)
-        .groupBy("symbol", F.window("date", f"{width * (horizon + 1)} minutes", f"{width} minutes").alias("_w"))
-        .agg(bars.alias("bars"))
-        .where(F.size("bars") == horizon + 1)
-        .select("symbol", F.col("_w.start").alias("date"), F.slice("bars", 2, horizon).alias("bars"))
-    )
-
-
-def excursions(horizons: DataFrame) -> DataFrame:
-    """Favourable and adverse moves of both directions from the first bar's best price, up to the best bar."""
-    highs, lows = F.transform("bars", lambda b: b["high"]), F.transform("bars", lambda b: b["low"])
-    out = horizons.withColumns({"_h": highs, "_l": lows})
-    top, bottom = F.array_max("_h"), F.array_min("_l")
-    until_top = F.slice("_l", F.lit(1), F.array_position("_h", top).cast("int"))
-    until_bottom = F.slice("_h", F.lit(1), F.array_position("_l", bottom).cast("int"))
-    zero = F.lit(0.0)
-    return out.select(
-        "symbol", "date",
-        F.greatest(zero, top - F.element_at("_l", 1)).alias("mfe_long"),
-        F.greatest(zero, F.element_at("_l", 1) - F.array_min(until_top)).alias("mae_long"),
-        F.greatest(zero, F.element_at("_h", 1) - bottom).alias("mfe_short"),
-        F.greatest(zero, F.array_max(until_bottom) - F.element_at("_h", 1)).alias("mae_short"),
-    )
-
-
 def into_table(stream: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
                tf: str = "1D", keys: tuple[str, ...] = ("symbol", "date")) -> DataStreamWriter:
     """Write a stream to a table of windows, each touched window as a whole.
