@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from tidemark.functions.clock import epoch_us, plus_seconds
-from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_ladder, shifted
+from tidemark.functions.ladder import RUNGS, TF_MINUTES, WEEK_OFFSET_S, bar_of, shifted, start_of_bar
 from tidemark.operators.asof import asof_channels
 from tidemark.operators.blocks import framed, numbered
 from tidemark.operators.nearest import nearest_in_prefix
@@ -131,59 +133,118 @@ def minutes(c: str | Column) -> Column:
     return epoch_us(c) / F.lit(60_000_000.0)
 
 
-def branch_windows(facts: DataFrame, tf: str, length: int) -> DataFrame:
-    """Per bar the last `length` bars' facts as an array of structs; bars with less history are left out."""
-    fields = [minutes("date").alias("t"), "close", "atr", *STATIC, F.col("extremum_sign").alias("sign"),
-              F.col("true_extremum_tf_minutes").alias("size")]
-    for n in (2, 3):
-        fields.append(F.col(f"p{n}_atr_aligned").alias(f"p{n}_atr"))
-        for k in (PEAK, VALLEY):
-            fields += [
-                F.col(f"near_p{n}_{k}").alias(f"p{n}_{k}_near"),
-                minutes(f"p{n}_{k}_last_time").alias(f"p{n}_{k}_last"),
-                F.col(f"p{n}_{k}_event_price").alias(f"p{n}_{k}_price"),
-                minutes(f"p{n}_{k}_event_time").alias(f"p{n}_{k}_time"),
-            ]
-    rows = facts.select("symbol", "bar", F.struct(*fields).alias("_bar"))
-
-    def gather(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumn("window", F.collect_list("_bar").over(w.rowsBetween(1 - length, 0)))
-
-    out = framed(rows, gather, before=length - 1, keys=("symbol",)).where(F.size("window") == length)
-    return out.select("symbol", F.col("bar").alias("_bar"), "window")
+# What a bar tells whatever the anchor; times in minutes. `p2_peak_last` is the last peak of the pool two rungs up that all anchors know.
+_FACTS = ["t", "close", "atr", *STATIC, "sign", "size", *[
+    f"p{n}_{c}" for n in (2, 3) for c in ("atr", *[f"{k}_{x}" for k in (PEAK, VALLEY) for x in ("near", "last", "price", "time")])]]
 
 
-def _features(x: Column, tf: str, a_time: Column, a_close: Column) -> Column:
-    """The feature array of one bar of a window as the anchor sees it."""
+def branch_facts(facts: DataFrame, tf: str) -> DataFrame:
+    """(symbol, branch, bar, facts as doubles) of one timeframe."""
+    values = {"t": minutes("date"), "sign": F.col("extremum_sign"), "size": F.col("true_extremum_tf_minutes")}
+    for n in (2, 3):
+        values[f"p{n}_atr"] = F.col(f"p{n}_atr_aligned")
+        for k in (PEAK, VALLEY):
+            values[f"p{n}_{k}_near"] = F.col(f"near_p{n}_{k}")
+            values[f"p{n}_{k}_last"] = minutes(f"p{n}_{k}_last_time")
+            values[f"p{n}_{k}_price"] = F.col(f"p{n}_{k}_event_price")
+            values[f"p{n}_{k}_time"] = minutes(f"p{n}_{k}_event_time")
+    columns = [values.get(c, F.col(c)).cast("double").alias(c) for c in _FACTS]
+    return facts.select("symbol", F.lit(tf).alias("branch"), "bar", *columns)
+
+
+def dealt_facts(facts: DataFrame, tf: str, length: int, base: str, block_bars: int) -> DataFrame:
+    """`facts` of a timeframe, each row in every block of anchors one of whose windows holds it."""
+    width, base_width = TF_MINUTES[tf] * 60, TF_MINUTES[base] * 60
+    # a bar is the last closed one of the anchors from its end less an anchor's width on, and stays in windows for `length` bars
+    first = start_of_bar(F.col("bar") + 1, tf)
+    blocks = [F.floor(bar_of(plus_seconds(first, s - base_width), base) / block_bars) for s in (0, length * width - base_width)]
+    return facts.withColumn("_block", F.explode(F.sequence(*blocks)))
+
+
+def features(x: dict[str, np.ndarray], tf: str, a_time: np.ndarray, a_close: np.ndarray) -> np.ndarray:
+    """The features (anchors, bars, 15) of windows of facts (anchors, bars) as each anchor sees them; NaN is missing."""
+    a_time, a_close = a_time[:, None], a_close[:, None]
+    rungs = np.array([0.0, *[float(TF_MINUTES[r]) for r in RUNGS]])
     age = a_time - x["t"]
-    seen = F.least(x["size"], floor_to_ladder(age))
-    raw = x["sign"] * F.log1p(seen / float(TF_MINUTES[tf])) * F.least(F.lit(1.0), F.try_divide(age, seen))
-    weight = F.when(seen == 0, 0.0).otherwise(raw)
+    seen = np.fmin(x["size"], rungs[np.searchsorted(rungs[1:], age, side="right")])
+    weight = np.where(seen == 0, 0.0, x["sign"] * np.log1p(seen / TF_MINUTES[tf]) * np.fmin(1.0, divided(age, seen)))
     prices, times = [], []
     for n in (2, 3):
         width = float(TF_MINUTES[shifted(tf, n)])
         for k in (PEAK, VALLEY):
-            fresh = F.coalesce(x[f"p{n}_{k}_time"] <= a_time - width, F.lit(False))
-            near, event = x[f"p{n}_{k}_near"], x[f"p{n}_{k}_price"]
-            nearer = fresh & (near.isNull() | (F.abs(x["close"] - event) < F.abs(x["close"] - near)))
-            diff = F.coalesce(x["close"] - F.when(nearer, event).otherwise(near), F.lit(0.0))
-            prices.append(F.try_divide(diff, x[f"p{n}_atr"]))
-            last = F.when(fresh, x[f"p{n}_{k}_time"]).otherwise(x[f"p{n}_{k}_last"])
-            times.append(F.log1p(F.coalesce(F.greatest(x["t"] - last, F.lit(0.0)), F.lit(0.0)) / width))
-    values = [F.try_divide(x["close"] - a_close, x["atr"]), *[x[c] for c in STATIC], *prices, *times, weight]
-    return F.array(*[v.cast("float") for v in values])
+            near, last, event, since = (x[f"p{n}_{k}_{c}"] for c in ("near", "last", "price", "time"))
+            fresh = since <= a_time - width
+            nearer = fresh & (np.isnan(near) | (np.abs(x["close"] - event) < np.abs(x["close"] - near)))
+            apart = x["close"] - np.where(nearer, event, near)
+            prices.append(divided(np.where(np.isnan(apart), 0.0, apart), x[f"p{n}_atr"]))
+            times.append(np.log1p(np.fmax(x["t"] - np.where(fresh, since, last), 0.0) / width))
+    static = [x[c] for c in STATIC]
+    return np.stack([divided(x["close"] - a_close, x["atr"]), *static, *prices, *times, weight], axis=-1).astype(np.float32)
+
 
+def divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
 
-def _seen_window(tf: str) -> Column:
-    return F.transform("window", lambda x: _features(x, tf, F.col("_time"), F.col("_close")))
 
+def _nested(values: np.ndarray) -> pa.Array:
+    """An Arrow array of the nested lists of (rows, …) floats."""
+    out = pa.array(values.ravel(), pa.float32())
+    for size in reversed(values.shape[1:]):
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, size, dtype=np.int32)), out)
+    return out
 
-def build_dataset(mt_candles: DataFrame, layout: Layout | None = None, anchors: Column | None = None) -> DataFrame:
+
+def _assembled(layout: Layout):
+    """Arrow function for one block: its anchors and the facts of their windows become samples."""
+    base = layout.branches[0]
+
+    def assemble(anchors: pa.Table, facts: pa.Table) -> pa.Table:
+        branch = facts["branch"].to_numpy(zero_copy_only=False)
+        table = {c: facts[c].to_numpy().astype(np.float64) for c in _FACTS}
+        a_time, a_close = (anchors[c].to_numpy().astype(np.float64) for c in ("_time", "_close"))
+        good, found = np.ones(len(a_time), bool), {}
+        rows, bars = {}, {}
+        for tf in layout.branches:
+            own = np.flatnonzero(branch == tf)
+            bars[tf] = facts["bar"].to_numpy()[own]
+            rows[tf] = own[np.argsort(bars[tf], kind="stable")]
+            bars[tf] = np.sort(bars[tf])
+            offset = WEEK_OFFSET_S // 60 if tf == "1W" else 0
+            # the last bar of the branch that is closed when the anchor closes
+            last = np.floor((a_time - (TF_MINUTES[tf] - TF_MINUTES[base]) - offset) / TF_MINUTES[tf]).astype(np.int64)
+            start, end = (np.searchsorted(bars[tf], x) for x in (last - layout.windows[tf] + 1, last))
+            whole = (end < len(bars[tf])) & (end - start == layout.windows[tf] - 1)
+            whole[whole] &= bars[tf][end[whole]] == last[whole]
+            good &= whole
+            found[tf] = start
+        for tf in layout.branches:
+            chosen = np.flatnonzero(good)
+            at = rows[tf][found[tf][chosen][:, None] + np.arange(layout.windows[tf])[None, :]]
+            found[tf] = np.empty((len(good), layout.windows[tf], len(FEATURES)), np.float32)
+            found[tf][chosen] = features({c: v[at] for c, v in table.items()}, tf, a_time[chosen], a_close[chosen])
+            good[chosen] = ~np.isnan(found[tf][chosen]).any(axis=(1, 2))
+        kept = pa.array(good)
+        samples = {tf: found[tf][good] for tf in layout.branches}
+        columns = {c: anchors[c].filter(kept) for c in ("symbol", "date")}
+        columns |= {f"branch_{tf}": _nested(v) for tf, v in samples.items()}
+        columns["auxiliary"] = _nested(np.concatenate([v[:, -1] for v in samples.values()], axis=1))
+        columns |= {c: anchors[c].filter(kept).cast(pa.float32()) for c in ("mfe", "rer")}
+        actions = np.stack([anchors[f"action_{a}"].to_numpy()[good] for a in ("long", "short", "none")], axis=1)
+        columns["action"] = _nested(actions.astype(np.float32))
+        return pa.table(columns)
+
+    return assemble
+
+
+def build_dataset(
+    mt_candles: DataFrame, layout: Layout | None = None, anchors: Column | None = None, block_bars: int = 512
+) -> DataFrame:
     """One row per anchor: `branch_<timeframe>` (window × 15 floats), `auxiliary` (the last bar of every branch),
     `mfe`, `rer` and `action` (one-hot). Anchors with any missing value are left out.
 
     `mt_candles` is a stacked gap-free table and is read once per branch. `anchors`, a condition on symbol and date, keeps
-    some anchors only, before any window is joined to them.
+    some anchors only, before anything is joined to them. Anchors and the facts of all branches meet once, by symbol and block of
+    `block_bars` anchors; a fact is one row there, however many windows hold it.
     """
     layout = layout or Layout()
     base = layout.branches[0]
@@ -198,24 +259,23 @@ def build_dataset(mt_candles: DataFrame, layout: Layout | None = None, anchors:
     if anchors is not None:
         labels = labels.where(anchors)
     closes = tables[base].select("symbol", "bar", F.col("close").alias("_close"))
-    out = labels.join(closes, ["symbol", "bar"]).withColumn("_time", minutes("date"))
-    for tf in layout.branches:
-        facts = add_pool_facts(tables[tf], tables, tf, layout)
-        windows = branch_windows(facts, tf, layout.windows[tf])
-        # the last bar of the branch that is closed when the anchor closes
-        closed = plus_seconds("date", -(TF_MINUTES[tf] - TF_MINUTES[base]) * 60)
-        out = out.withColumn("_bar", bar_of(closed, tf)).join(windows, ["symbol", "_bar"])
-        out = out.withColumn(f"branch_{tf}", _seen_window(tf)).drop("window", "_bar")
-    missing = F.lit(False)
-    for tf in layout.branches:
-        missing = missing | F.exists(f"branch_{tf}", lambda row: F.exists(row, lambda v: v.isNull() | F.isnan(v)))
-    out = out.where(~missing)
-    last = [F.element_at(f"branch_{tf}", -1) for tf in layout.branches]
-    return out.select(
-        "symbol", "date", *[f"branch_{tf}" for tf in layout.branches], F.concat(*last).alias("auxiliary"),
-        F.col("mfe").cast("float").alias("mfe"), F.col("rer").cast("float").alias("rer"),
-        F.array(*[F.col(f"action_{a}").cast("float") for a in ("long", "short", "none")]).alias("action"),
+    asked = labels.join(closes, ["symbol", "bar"]).select(
+        "symbol", "date", "mfe", "rer", *[f"action_{a}" for a in ("long", "short", "none")], "_close", minutes("date").alias("_time"),
+        F.floor(F.col("bar") / block_bars).alias("_block"),
     )
+    if anchors is not None:
+        asked = staged(asked)
+    facts = reduce(DataFrame.unionByName, [
+        dealt_facts(branch_facts(add_pool_facts(tables[tf], tables, tf, layout), tf), tf, layout.windows[tf], base, block_bars)
+        for tf in layout.branches
+    ])
+    if anchors is not None:
+        facts = facts.join(asked.select("symbol", "_block").distinct(), ["symbol", "_block"], "left_semi")
+    facts = facts.withColumnsRenamed({"symbol": "_symbol", "_block": "_of"})
+    arrays = ", ".join(f"`branch_{tf}` array<array<float>>" for tf in layout.branches)
+    met = asked.groupBy("symbol", "_block").cogroup(facts.groupBy("_symbol", "_of"))
+    return met.applyInArrow(
+        _assembled(layout), f"symbol string, date timestamp_ntz, {arrays}, auxiliary array<float>, mfe float, rer float, action array<float>")
 
 
 def sample_rows(dataset: DataFrame, tf: str) -> DataFrame:
