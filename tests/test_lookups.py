@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import column
-from tidemark.operators import asof
+from tidemark.operators import asof, crossing
 from tidemark.operators.asof import asof_channels, asof_join
 from tidemark.operators.crossing import first_beating, first_crossing
 from tidemark.operators.nearest import nearest_in_prefix, nearest_known
@@ -114,6 +114,39 @@ def test_crossing_with_base_rows_dealt_out(series):
     assert column(whole, "right_crossing_time") == column(dealt, "right_crossing_time")
 
 
+@pytest.mark.parametrize("hours", [3, 40, 1000])
+def test_crossing_within_a_time(series, hours):
+    n, rng = 300, np.random.default_rng(5)
+    v = np.cumsum(rng.normal(size=n))
+    df = series(tf="1h", close=list(v))
+    out = first_crossing(df, df, "close", "close", "gt", 3600, directions=("right", "left"), block_bars=16, within_s=hours * 3600)
+    for i, (right, left) in enumerate(column(out, "right_crossing_time", "left_crossing_time")):
+        hits = [next((j for j in order if v[j] > v[i]), None) for order in (range(i + 1, n), range(i - 1, -1, -1))]
+        want = [None if j is None or abs(j - i) > hours else at(60 * j) for j in hits]
+        assert [right, left] == want
+
+
+def test_a_block_that_answers_for_a_whole_series_does_so_in_parts(series, monkeypatch, tmp_path):
+    def noted(strict):
+        search = crossing_search(strict)
+
+        def run(asked, records):
+            (tmp_path / str(asked["_id"][0].as_py())).write_text(f"{asked.num_rows} {records.num_rows}")
+            return search(asked, records)
+
+        return run
+
+    crossing_search = crossing._far_search
+    monkeypatch.setattr(crossing, "_far_search", noted)
+    n = 16 * 20
+    v = [*np.arange(n, 0, -1.0), *np.repeat(2.0, n), float(n + 1)]  # falls, stays low, and one bar beats everything
+    df = series(tf="1h", close=v)
+    out = column(first_crossing(df, df, "close", "close", "gt", 3600, block_bars=16), "right_crossing_time")
+    assert out[: n - 2] == [at(60 * 2 * n)] * (n - 2) and out[n - 1] == at(60 * n)
+    groups = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert len(groups) >= 39 and max(asked for asked, _ in groups) <= 16 and max(rows for _, rows in groups) <= 16
+
+
 def test_nearest_known_hand_values():
     times, prices = np.array([0, 30, 200]), np.array([100.0, 105.0, 98.0])
     # an anchor at 250 with an hour's wait knows events up to 190; a bar sees only events before it

@@ -92,12 +92,16 @@ def base_candles(df: DataFrame, n: int = SPINNING_CANDLES, least_overlap: float
 
 
 def first_passed(
-    bases: DataFrame, candles: DataFrame, level: str, column: str, comparator: str, base_tf: str, out: str
+    bases: DataFrame, candles: DataFrame, level: str, column: str, comparator: str, base_tf: str, out: str,
+    longest_s: int | None = None,
 ) -> DataFrame:
-    """First base candle from one bar after the base until its `ttl` that passes the level."""
+    """First base candle from one bar after the base until its `ttl` that passes the level.
+
+    No `ttl` is more than `longest_s` seconds after that bar; the search then only looks at blocks that near.
+    """
     start = plus_seconds("date", minutes_of("timeframe") * 60 * SHIFT_BARS)
     found = first_crossing(
-        bases, candles, level, column, comparator, TF_MINUTES[base_tf] * 60, base_time=start, same_time=True
+        bases, candles, level, column, comparator, TF_MINUTES[base_tf] * 60, base_time=start, same_time=True, within_s=longest_s
     )
     hit = F.col("right_crossing_time")
     return found.withColumn(out, F.when(hit <= F.col("ttl"), hit)).drop("right_crossing_time", "right_crossing_value")
@@ -139,6 +143,7 @@ def base_patterns(
         }
     )
     out = out.withColumn("ignore_backtesting", F.col("size") < F.col("base_timeframe_atr") * SMALL_BASE_ATRS)
-    out = first_passed(staged(out), base_candles_only, "_upper", "low", "lt", base_tf, "upper_band_activated")
-    out = first_passed(staged(out), base_candles_only, "_below", "high", "gt", base_tf, "below_band_activated")
+    longest = max(TF_MINUTES[tf] for tf in timeframes) * 60 * ttl_bars
+    out = first_passed(staged(out), base_candles_only, "_upper", "low", "lt", base_tf, "upper_band_activated", longest)
+    out = first_passed(staged(out), base_candles_only, "_below", "high", "gt", base_tf, "below_band_activated", longest)
     return out.drop("_upper", "_below").withColumn("end", F.lit(None).cast("timestamp_ntz"))
