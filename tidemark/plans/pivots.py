@@ -310,6 +310,8 @@ def add_master_pivot(pivots: DataFrame, cell: float) -> DataFrame:
 
 
 # --- life of a pivot -------------------------------------------------------------------------------------
+# Pivots and candles of all timeframes go through each search together; `tf` is the smallest one, which sets the block length.
+PIVOT_SIDE = ["symbol", "timeframe", "is_resistance"]
 
 
 def add_passing(pivots: DataFrame, candles: DataFrame, tf: str) -> DataFrame:
@@ -318,9 +320,9 @@ def add_passing(pivots: DataFrame, candles: DataFrame, tf: str) -> DataFrame:
         F.struct(F.lit(True).alias("is_resistance"), F.col("low").alias("v")),
         F.struct(F.lit(False).alias("is_resistance"), (-F.col("high")).alias("v")),
     )
-    sides = candles.select("symbol", "date", F.explode(kinds).alias("_k")).select("symbol", "date", "_k.*")
+    sides = candles.select(*SERIES, "date", F.explode(kinds).alias("_k")).select(*SERIES, "date", "_k.*")
     level = F.when(F.col("is_resistance"), F.col("external_margin")).otherwise(-F.col("external_margin"))
-    out = first_crossing(pivots, sides, level, "v", "gt", TF_MINUTES[tf] * 60, by=["symbol", "is_resistance"])
+    out = first_crossing(pivots, sides, level, "v", "gt", TF_MINUTES[tf] * 60, by=PIVOT_SIDE)
     return out.withColumnRenamed("right_crossing_time", "passing_time").drop("right_crossing_value")
 
 
@@ -364,15 +366,14 @@ def add_hits(pivots: DataFrame, candles: DataFrame, tf: str, hits: int = ACTIVE_
         F.struct(F.lit(True).alias("is_resistance"), F.col("high").alias("v")),
         F.struct(F.lit(False).alias("is_resistance"), (-F.col("low")).alias("v")),
     )
-    sides = staged(candles.select("symbol", "date", F.explode(kinds).alias("_k")).select("symbol", "date", "_k.*"))
+    sides = staged(candles.select(*SERIES, "date", F.explode(kinds).alias("_k")).select(*SERIES, "date", "_k.*"))
     margin = F.when(F.col("is_resistance"), F.col("internal_margin")).otherwise(-F.col("internal_margin"))
-    bar_s = TF_MINUTES[tf] * 60
 
     def search(df: DataFrame, since: Column, comparator: str, out: str, limited: bool) -> DataFrame:
         # a bar later, and from there strictly later again
         df = first_crossing(
-            staged(df), sides, margin, "v", comparator, bar_s, by=["symbol", "is_resistance"],
-            base_time=plus_seconds(since, bar_s),
+            staged(df), sides, margin, "v", comparator, TF_MINUTES[tf] * 60, by=PIVOT_SIDE,
+            base_time=plus_seconds(since, minutes_of("timeframe") * 60),
         )
         hit = F.col("right_crossing_time")
         valid = hit if not limited else F.when(hit > F.col("passing_time"), F.lit(None)).otherwise(hit)
@@ -389,17 +390,17 @@ def add_hits(pivots: DataFrame, candles: DataFrame, tf: str, hits: int = ACTIVE_
 
 def deactivate(pivots: DataFrame, candles: DataFrame, hits: int = ACTIVE_HITS) -> DataFrame:
     """When a pivot ends: at its last allowed hit, else at its passing, and at its `ttl` at the latest."""
-    last = candles.groupBy("symbol").agg(F.max("date").alias("_last"))
+    last = candles.groupBy(*SERIES).agg(F.max("date").alias("_last"))
     passed = F.when(F.col("passing_time") < F.col("ttl"), F.col("passing_time"))
     ended = F.coalesce(F.col(f"hit_end_{hits}"), passed)
     expired = F.when(F.col("ttl") < F.col("_last"), F.col("ttl"))
     return (
-        pivots.join(last, ["symbol"])
+        pivots.join(last, list(SERIES))
         .withColumn("deactivated_at", F.coalesce(F.least(ended, F.when(ended.isNotNull(), F.col("ttl"))), expired))
         .drop("_last")
     )
 
 
 def pivot_life(pivots: DataFrame, candles: DataFrame, tf: str, hits: int = ACTIVE_HITS) -> DataFrame:
-    """Passing with flips, hits, and the end of each pivot of one timeframe."""
+    """Passing with flips, hits, and the end of each pivot on the candles of its own timeframe."""
     return deactivate(add_hits(flip_on_passing(pivots, candles, tf), candles, tf, hits), candles, hits)

@@ -709,20 +709,19 @@ def master_pivot(spark, sf):
     return out.select(*KEY, "top_type", "master_pivot_timeframe", "master_pivot_date")
 
 
-# --- life of the 4h pivots -------------------------------------------------------------------------------
+# --- life of the pivots of every timeframe -------------------------------------------------------------------------------
 
-SQL_PASS = """SELECT {a}, (SELECT min(b.date) FROM h4 b WHERE b.symbol = a.symbol AND b.date > a.date
-    AND CASE WHEN a.is_resistance THEN b.low > a.external_margin ELSE b.high < a.external_margin END) AS passing_time"""
+SQL_MINUTES = "CASE a.timeframe WHEN '1h' THEN 60 WHEN '4h' THEN 240 WHEN '1D' THEN 1440 ELSE 10080 END"
 SQL_FLIP = f"""
-h4 AS (SELECT symbol, date, high, low FROM mta WHERE timeframe = '4h'),
+h4 AS (SELECT symbol, timeframe, date, high, low FROM mta),
 fl AS (
-  SELECT symbol, date AS original_start, top_type, date, is_resistance, internal_margin, external_margin, ttl, return_end_time, 0 AS flips,
-    (SELECT min(b.date) FROM h4 b WHERE b.symbol = a.symbol AND b.date > a.date
+  SELECT symbol, timeframe, date AS original_start, top_type, date, is_resistance, internal_margin, external_margin, ttl, return_end_time, 0 AS flips,
+    (SELECT min(b.date) FROM h4 b WHERE b.symbol = a.symbol AND b.timeframe = a.timeframe AND b.date > a.date
       AND CASE WHEN a.is_resistance THEN b.low > a.external_margin ELSE b.high < a.external_margin END) AS passing_time
-  FROM rp a WHERE timeframe = '4h'
+  FROM rp a
   UNION ALL
-  SELECT f.symbol, f.original_start, f.top_type, f.passing_time, NOT f.is_resistance, f.external_margin, f.internal_margin, f.ttl, f.passing_time, f.flips + 1,
-    (SELECT min(b.date) FROM h4 b WHERE b.symbol = f.symbol AND b.date > f.passing_time
+  SELECT f.symbol, f.timeframe, f.original_start, f.top_type, f.passing_time, NOT f.is_resistance, f.external_margin, f.internal_margin, f.ttl, f.passing_time, f.flips + 1,
+    (SELECT min(b.date) FROM h4 b WHERE b.symbol = f.symbol AND b.timeframe = f.timeframe AND b.date > f.passing_time
       AND CASE WHEN NOT f.is_resistance THEN b.low > f.internal_margin ELSE b.high < f.internal_margin END)
   FROM fl f WHERE f.passing_time < f.ttl)"""
 
@@ -731,8 +730,8 @@ def _hit_sql(name, source, out, since, touch, limited):
     op = (">=", "<=") if touch else ("<", ">")
     limit = f"CASE WHEN t > passing_time THEN NULL ELSE t END" if limited else "t"
     return f"""
-{name} AS (SELECT * EXCLUDE (t), {limit} AS {out} FROM (SELECT a.*, (SELECT min(b.date) FROM h4 b WHERE b.symbol = a.symbol
-    AND b.date > {since} + INTERVAL 4 HOUR AND CASE WHEN a.is_resistance THEN b.high {op[0]} a.internal_margin ELSE b.low {op[1]} a.internal_margin END) AS t
+{name} AS (SELECT * EXCLUDE (t), {limit} AS {out} FROM (SELECT a.*, (SELECT min(b.date) FROM h4 b WHERE b.symbol = a.symbol AND b.timeframe = a.timeframe
+    AND b.date > {since} + to_minutes({SQL_MINUTES}) AND CASE WHEN a.is_resistance THEN b.high {op[0]} a.internal_margin ELSE b.low {op[1]} a.internal_margin END) AS t
   FROM {source} a))"""
 
 
@@ -742,32 +741,32 @@ SQL_HITS = f"""{_hit_sql("k0", "fl", "e0", "greatest(a.return_end_time, a.date)"
 life AS (SELECT k4.*, CASE WHEN e2 IS NOT NULL THEN 3 WHEN e1 IS NOT NULL THEN 2 ELSE 0 END AS hit,
     coalesce(least(coalesce(e2, CASE WHEN passing_time < ttl THEN passing_time END), CASE WHEN coalesce(e2, CASE WHEN passing_time < ttl THEN passing_time END) IS NOT NULL THEN ttl END),
       CASE WHEN ttl < l.d THEN ttl END) AS deactivated_at
-  FROM k4 JOIN (SELECT symbol, max(date) AS d FROM h4 GROUP BY 1) l ON l.symbol = k4.symbol)"""
+  FROM k4 JOIN (SELECT symbol, timeframe, max(date) AS d FROM h4 GROUP BY 1, 2) l ON l.symbol = k4.symbol AND l.timeframe = k4.timeframe)"""
 
 
-def _four_hour_pivots(spark, sf):
+def _margined_pivots(spark, sf):
     mt = _mt(spark, sf)
     tops = _tops(mt)
-    found = staged(_atr_pivots(mt, tops, _effective(tops))).where("timeframe = '4h'")
+    found = staged(_atr_pivots(mt, tops, _effective(tops)))
     found = found.select(*KEY, "top_type", "high", "low", "return_end_time")
     pivots = staged(pv.add_level_and_margins(found, _valid(mt)).drop("high", "low"))
-    return pivots, mt.where("timeframe = '4h'")
+    return pivots, mt
 
 
 @query("pivot_passing_flips", f"""WITH RECURSIVE {SQL_TO_REAL}, {SQL_FLIP}
-SELECT symbol, original_start, top_type, date, is_resistance, flips, passing_time FROM fl""")
+SELECT symbol, timeframe, original_start, top_type, date, is_resistance, flips, passing_time FROM fl""")
 def pivot_passing_flips(spark, sf):
-    pivots, four = _four_hour_pivots(spark, sf)
-    out = pv.flip_on_passing(pivots, four, "4h")
-    return out.select("symbol", "original_start", "top_type", "date", "is_resistance", "flips", "passing_time")
+    pivots, mt = _margined_pivots(spark, sf)
+    out = pv.flip_on_passing(pivots, mt, LADDER[0])
+    return out.select("symbol", "timeframe", "original_start", "top_type", "date", "is_resistance", "flips", "passing_time")
 
 
 @query("pivot_life", f"""WITH RECURSIVE {SQL_TO_REAL}, {SQL_FLIP}, {SQL_HITS}
-SELECT symbol, original_start, top_type, date, flips, e0 AS hit_end_0, s1 AS hit_start_1, e1 AS hit_end_1, s2 AS hit_start_2, e2 AS hit_end_2, hit, deactivated_at FROM life""")
+SELECT symbol, timeframe, original_start, top_type, date, flips, e0 AS hit_end_0, s1 AS hit_start_1, e1 AS hit_end_1, s2 AS hit_start_2, e2 AS hit_end_2, hit, deactivated_at FROM life""")
 def pivot_life(spark, sf):
-    pivots, four = _four_hour_pivots(spark, sf)
-    out = pv.pivot_life(pivots, four, "4h")
+    pivots, mt = _margined_pivots(spark, sf)
+    out = pv.pivot_life(pivots, mt, LADDER[0])
     return out.select(
-        "symbol", "original_start", "top_type", "date", "flips", "hit_end_0", "hit_start_1", "hit_end_1", "hit_start_2",
+        "symbol", "timeframe", "original_start", "top_type", "date", "flips", "hit_end_0", "hit_start_1", "hit_end_1", "hit_start_2",
         "hit_end_2", "hit", "deactivated_at",
     )
