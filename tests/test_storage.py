@@ -1,11 +1,12 @@
-import zipfile
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from tidemark.functions.clock import plus_seconds
 from tidemark.functions.ladder import bar_of
+from tidemark.functions.scalars import normalized_timeframe
 from tidemark.operators import validate as vd
 from tidemark.sources import manifest as mf
 from tidemark.sources import sinks
@@ -65,25 +66,25 @@ def test_partial_coverage_is_an_error(spark):
 def test_missing_windows_are_generated_once(spark, tmp_path):
     calls = []
 
-    def generate(session, start, end):
-        calls.append((start, end))
-        n = (end - start).days * 24
-        return session.createDataFrame([(start + timedelta(hours=i), float(i)) for i in range(n)], SIMPLE)
+    def generate(session, missing):
+        calls.append(sorted((r.start, r.end) for r in missing.collect()))
+        return missing.select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"), "start").select(
+            plus_seconds("start", F.col("h") * 3600).alias("date"), F.col("h").cast("double").alias("value"))
 
     table = str(tmp_path / "t")
     args = (spark, table, "x", day(1), day(3, 600), generate, SIMPLE)
     first = sinks.read_or_generate(*args, now=day(20)).orderBy("date").collect()
     second = sinks.read_or_generate(*args, now=day(20)).orderBy("date").collect()
     assert first == second and len(first) == 59
-    assert calls == [(day(1), day(4))]
+    assert calls == [[(day(n), day(n + 1)) for n in (1, 2, 3)]]
     # only the new days are asked for, and the open one is never stored
     sinks.read_or_generate(spark, table, "x", day(1), day(5, 60), generate, SIMPLE, now=day(5, 60))
-    assert calls[1:] == [(day(4), day(5)), (day(5), day(6))]
+    assert calls[1:] == [[(day(4), day(5))], [(day(5), day(6))]]
     stored = {r.window for r in spark.read.parquet(table).select("window").distinct().collect()}
     assert len(stored) == 4
     # a hook may change what was read
     hooked = sinks.read_or_generate(*args, now=day(20), after_read=lambda df: df.where("value < 5"))
-    assert hooked.count() == 5 and len(calls) == 3  # the run was generated in one call, with values from 0 on
+    assert hooked.count() == 15 and len(calls) == 3
     # a dataset that looks ahead waits longer
     sinks.register_maturity("slow", timedelta(days=2))
     slow = str(tmp_path / "slow")
@@ -97,11 +98,11 @@ KEYED = T.StructType([T.StructField("symbol", T.StringType(), False), T.StructFi
 def test_windows_are_known_by_symbol_and_empty_ones_too(spark, tmp_path):
     calls = []
 
-    def generate(session, start, end):
-        """Symbols a, b with a row a day, none on the third."""
-        calls.append((start.day, end.day))
-        days = [start + timedelta(days=i) for i in range((end - start).days)]
-        return session.createDataFrame([(s, "1h", d, 1.0) for d in days for s in "ab" if d.day != 3], KEYED)
+    def generate(session, missing):
+        """A row a day, none on the third; and rows nobody asked for, which are left out."""
+        calls.append(sorted((r.symbol, r.start.day) for r in missing.collect()))
+        rows = missing.where(F.dayofmonth("start") != 3).select("symbol", F.lit("1h").alias("timeframe"), F.col("start").alias("date"), F.lit(1.0).alias("value"))
+        return rows.unionByName(rows.withColumn("symbol", F.lit("other")))
 
     def read(symbols, last=4):
         series = spark.createDataFrame([(s,) for s in symbols], "symbol string")
@@ -109,11 +110,11 @@ def test_windows_are_known_by_symbol_and_empty_ones_too(spark, tmp_path):
         return sorted((r.symbol, r.date.day) for r in out.collect())
 
     table = str(tmp_path / "t")
-    assert read("a") == [("a", 1), ("a", 2), ("a", 4)] and calls == [(1, 5)]
+    assert read("a") == [("a", 1), ("a", 2), ("a", 4)] and calls == [[("a", n) for n in (1, 2, 3, 4)]]
     both = [(s, d) for s in "ab" for d in (1, 2, 4)]
-    assert read("ab") == both and calls == [(1, 5), (1, 5)]  # b came later
+    assert read("ab") == both and calls[1:] == [[("b", n) for n in (1, 2, 3, 4)]]  # b came later, and only b is asked for
     assert read("ab") == both and read("b") == both[3:] and len(calls) == 2  # the empty day is known
-    assert len(read("ab", 5)) == 8 and calls[2:] == [(5, 6)]
+    assert len(read("ab", 5)) == 8 and calls[2:] == [[("a", 5), ("b", 5)]]
     assert read("") == []
     with pytest.raises(ValueError, match="series"):
         sinks.read_or_generate(spark, table, "x", day(1), day(2), generate, KEYED, now=day(20))
@@ -123,7 +124,7 @@ def test_failed_and_partial_windows(spark, tmp_path):
     series = spark.createDataFrame([("a",)], "symbol string")
 
     def store(table, rows, schema=KEYED, last=2, **options):
-        def generate(session, start, end):
+        def generate(session, missing):
             return session.createDataFrame(rows, "symbol string, timeframe string, date timestamp_ntz, value double")
 
         return sinks.read_or_generate(spark, table, "x", day(1), day(last), generate, schema, now=day(20), series=series, **options)
@@ -184,49 +185,77 @@ def test_conform_and_decorator(spark):
     assert double(raw).collect()[0].value == 3.0
 
 
-def test_compaction_keeps_rows_and_drops_sources(spark, tmp_path):
-    root = tmp_path / "files"
-    root.mkdir()
-    for n in (1, 2, 3, 7):
+def small_files(root, days):
+    for n in days:
         frame = pd.DataFrame({"date": [day(n), day(n, 60)], "value": [1.0 * n, 2.0 * n]})
         frame["date"] = frame["date"].astype("datetime64[us]")
         frame.to_parquet(root / f"s.ohlcv.24-08-0{n}.00-00T24-08-0{n}.23-59.parquet")
+
+
+def test_compaction_by_marks(spark, tmp_path):
+    root, target = tmp_path / "files", str(tmp_path / "merged")
+    root.mkdir()
+    small_files(root, (1, 2, 3, 7))
     files = sinks.manifest_of(spark, str(root), "ohlcv")
     assert files.count() == 4
-    assert sinks.compact(spark, files, "D", 10**9, dry_run=True)[0]["files"] == 3
-    report = sinks.compact(spark, files, "D", 10**9)
-    assert report == [{"symbol": "s", "files": 3, "rows": 6, "ok": True}]
-    left = sorted(p.name for p in root.glob("*.parquet"))
-    assert left == ["s.ohlcv.24-08-01.00-00T24-08-03.23-59.parquet", "s.ohlcv.24-08-07.00-00T24-08-07.23-59.parquet"]
-    assert spark.read.parquet(*[str(root / n) for n in left]).count() == 8
 
+    def values():
+        return sorted((r.value, r.file_batch) if r.file_batch is not None else (r.value, -1) for r in
+                      sinks.read_compacted(spark, sinks.manifest_of(spark, str(root), "ohlcv"), target, SIMPLE).collect())
+
+    before = values()
+    assert [b for _, b in before] == [-1] * 8
+    report = sinks.compact(spark, files, "D", 10**9, target).collect()
+    assert [(r.symbol, r.files, r.rows, r.ok) for r in report] == [("s", 3, 6, True)]
+    assert sorted(r.path.rsplit("/", 1)[1][:16] for r in sinks.merged_files(spark, target).collect()) == [f"s.ohlcv.24-08-0{n}" for n in (1, 2, 3)]
+    assert [v for v, _ in values()] == [v for v, _ in before] and sum(b >= 0 for _, b in values()) == 6
+    assert len(list((tmp_path / "merged").rglob("part-*"))) == 1
+    assert sinks.compact(spark, files, "D", 10**9, target).count() == 0  # nothing is merged twice
+    # files of marked batches are not needed, new neighbours are merged on their own
+    for path in root.glob("s.ohlcv.24-08-0[123]*"):
+        path.unlink()
+    small_files(root, (8,))
+    assert sinks.compact(spark, sinks.manifest_of(spark, str(root), "ohlcv"), "D", 10**9, target).first().files == 2
+    assert sorted(v for v, _ in values()) == sorted([*[v for v, _ in before], 8.0, 16.0])
+
+
+def test_a_compaction_that_died_changes_nothing(spark, tmp_path):
+    root, target = tmp_path / "files", tmp_path / "merged"
+    root.mkdir()
+    small_files(root, (1, 2))
+    files = sinks.manifest_of(spark, str(root), "ohlcv")
+    rows = spark.createDataFrame([(day(1), 99.0)], SIMPLE).withColumns({
+        "run": F.lit("dead"), "file_dataset": F.lit("ohlcv"), "file_symbol": F.lit("s"), "file_batch": F.lit(0)})
+    rows.write.partitionBy("run", "file_dataset", "file_symbol", "file_batch").parquet(str(target))  # rows without a mark
+    read = lambda: sorted(r.value for r in sinks.read_compacted(spark, files, str(target), SIMPLE).collect())
+    assert read() == [1.0, 2.0, 2.0, 4.0]
+    assert sinks.compact(spark, files, "D", 10**9, str(target)).first().ok
+    assert read() == [1.0, 2.0, 2.0, 4.0]
+
+
+def test_stored_windows_are_rewritten_by_version(spark, tmp_path):
+    table, series = str(tmp_path / "t"), spark.createDataFrame([("a",), ("b",)], "symbol string")
+
+    def generate(session, missing):
+        name = F.when(F.col("symbol") == "a", "1H").otherwise("4h")
+        return missing.select("symbol", name.alias("timeframe"), F.col("start").alias("date"), F.lit(1.0).alias("value"))
+
+    def read():
+        out = sinks.read_or_generate(spark, table, "x", day(1), day(2, 60), generate, KEYED, now=day(20), series=series)
+        return sorted((r.symbol, r.timeframe, r.date.day) for r in out.collect())
 
-def test_compaction_goes_on_after_a_run_that_died(spark, tmp_path):
-    names = ["24-08-01.00-00T24-08-01.23-59", "24-08-02.00-00T24-08-02.23-59", "24-08-01.00-00T24-08-02.23-59"]
-    for name, values in zip(names, ([1.0], [2.0], [1.0, 2.0]), strict=True):
-        frame = pd.DataFrame({"date": pd.to_datetime([day(int(v)) for v in values]).astype("datetime64[us]"), "value": values})
-        frame.to_parquet(tmp_path / f"s.ohlcv.{name}.parquet")
-    files = sinks.manifest_of(spark, str(tmp_path), "ohlcv")
-    assert sinks.compact(spark, files, "D", 10**9) == [{"symbol": "s", "files": 2, "rows": 2, "ok": True}]
-    assert [p.name for p in tmp_path.glob("*.parquet")] == [f"s.ohlcv.{names[2]}.parquet"]
+    assert read() == [("a", "1H", 1), ("a", "1H", 2), ("b", "4h", 1), ("b", "4h", 2)]
+    assert sinks.rewritten(spark, table, KEYED, "timeframe", normalized_timeframe("timeframe")) == 2  # b stays as it is
+    assert read() == [("a", "1h", 1), ("a", "1h", 2), ("b", "4h", 1), ("b", "4h", 2)]
+    assert sinks.rewritten(spark, table, KEYED, "timeframe", normalized_timeframe("timeframe")) == 0
 
 
-def test_legacy_files_and_readers(spark, tmp_path):
+def test_readers(spark, tmp_path):
     frame = pd.DataFrame({"date": [str(day(1)), str(day(2))], "value": [1.0, 2.0]})
     frame.to_csv(tmp_path / "good.csv", index=False)
-    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
-        z.write(tmp_path / "good.csv", "good.csv")
-    (tmp_path / "bad.zip").write_bytes(b"not a zip")
-    pd.DataFrame({"date": [day(3)], "value": [3.0]}).to_feather(tmp_path / "fine.feather")
-    target = str(tmp_path / "out")
-    dry = sinks.convert_legacy(spark, str(tmp_path), target, SIMPLE, dry_run=True)
-    assert dry.count() == 3 and not sinks.exists(spark, target)
-    report = {r.path.rsplit("/", 1)[1]: r for r in sinks.convert_legacy(spark, str(tmp_path), target, SIMPLE).collect()}
-    assert report["good.zip"].ok and report["good.zip"].rows == 2 and report["fine.feather"].rows == 1
-    assert not report["bad.zip"].ok and "BadZipFile" in report["bad.zip"].error
-    assert spark.read.parquet(target).groupBy("source").count().count() == 2
-    assert read_any(spark, str(tmp_path / "good"), SIMPLE).count() == 2
-    assert read_any(spark, str(tmp_path / "fine"), SIMPLE).first().value == 3.0
+    assert sorted(r.value for r in read_any(spark, str(tmp_path / "good"), SIMPLE).collect()) == [1.0, 2.0]
+    spark.createDataFrame([(day(3), 3.0)], SIMPLE).write.parquet(str(tmp_path / "good.parquet"))
+    assert read_any(spark, str(tmp_path / "good"), SIMPLE).first().value == 3.0
     with pytest.raises(FileNotFoundError):
         read_any(spark, str(tmp_path / "none"), SIMPLE)
 

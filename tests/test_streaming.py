@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark.functions.ladder import bar_of
 from tidemark.operators.resample import candle_ladder
@@ -82,16 +82,35 @@ def test_labels_of_a_stream_are_those_of_the_batch(spark, tmp_path):
         assert np.allclose(got[c], batch[c], equal_nan=True)
 
 
-def test_windows_are_rewritten_whole_and_repeats_change_nothing(spark, tmp_path):
-    schema = "symbol string, date timestamp_ntz, close double"
+def test_batches_are_appended_and_repeats_change_nothing(spark, tmp_path):
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.TimestampNTZType()), T.StructField("close", T.DoubleType())])
+    table = str(tmp_path / "t")
 
-    def put(name, rows):
-        data = [("s", START + timedelta(hours=h), float(c)) for h, c in rows]
+    def rows():
+        return sorted(((r.date - START).total_seconds() / 3600, r.close) for r in live.live_rows(spark, table, schema).collect())
+
+    def put(name, data):
+        data = [("s", START + timedelta(hours=h), float(c)) for h, c in data]
         spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        query = live.into_table(stream, str(tmp_path / "t"), str(tmp_path / "cp"))
-        query.trigger(availableNow=True).start().awaitTermination()
-        return sorted(((r.date - START).total_seconds() / 3600, r.close) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+        live.into_table(stream, table, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return rows()
+
+    def files():
+        return {p.relative_to(table): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*")}
 
     assert put("a", [(0, 1), (1, 2), (30, 3)]) == [(0, 1), (1, 2), (30, 3)]
-    assert put("b", [(1, 5), (2, 6)]) == [(0, 1), (1, 5), (2, 6), (30, 3)]
+    before = files()
+    merged = [(0, 1), (1, 5), (2, 6), (30, 3)]
+    assert put("b", [(1, 5), (2, 6)]) == merged
+    assert before.items() <= files().items()  # nothing stored was touched
+    # a batch that is written again
+    again = spark.createDataFrame([("s", START + timedelta(hours=h), float(c)) for h, c in [(1, 5), (2, 6)]], schema)
+    again = again.withColumns({"window": bar_of("date", "1D"), "run": F.lit("b000000000001")})
+    live._put(again, table, f"{table}.runs")
+    assert rows() == merged
+    # windows of several runs become one run; what comes later still wins
+    assert live.compact_windows(spark, table, schema) == 1 and rows() == merged
+    assert live.compact_windows(spark, table, schema) == 0
+    assert put("c", [(2, 7), (31, 8)]) == [(0, 1), (1, 5), (2, 7), (30, 3), (31, 8)]
+    assert live.compact_windows(spark, table, schema) == 2 and rows() == [(0, 1), (1, 5), (2, 7), (30, 3), (31, 8)]

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.clock import epoch_us, plus_seconds
+from tidemark.functions.ladder import bar_of
+from tidemark.functions.scalars import normalized_timeframe
 from tidemark.operators import validate as vd
+from tidemark.operators.blocks import framed
 from tidemark.operators.smoothing import add_atr
 from tidemark.plans import sampling as sp
 from tidemark.queries import query
 from tidemark.queries.structure_queries import sql_mt_atr
-from tidemark.queries.views import candles, daily_raw, ntz, raw_candles, s6, sql_atr, sql_candles, sql_daily, sql_ewm, stacked, table, ticks
+from tidemark.queries.views import candles, daily_raw, ntz, raw_candles, s6, sql_atr, sql_candles, sql_daily, sql_ewm, sql_stacked, stacked, table, ticks
 from tidemark.session import shared_folder, staged
 from tidemark.sources import manifest as mf
 from tidemark.sources import sinks
@@ -168,15 +172,21 @@ def raw_rows_to_candles(spark, sf):
     return raw_to_candles(rows, "1min").drop("timeframe")
 
 
+def _from_source(source):
+    """A generator that takes the rows of the missing windows from a table."""
+
+    def generate(_, missing):
+        day = bar_of("date", "1D")
+        return source.withColumn("window", day).join(missing.select("symbol", "window"), ["symbol", "window"]).drop("window")
+
+    return generate
+
+
 @query("windowed_read_or_generate", f"""WITH {sql_candles()}
 SELECT symbol, date, open, high, low, close, {s6("volume", "volume")} FROM raw_1h WHERE date BETWEEN TIMESTAMP '2024-01-03 05:00:00' AND TIMESTAMP '2024-01-29 10:00:00'""")
 def windowed_read_or_generate(spark, sf):
     source = staged(raw_candles(spark, sf))
-
-    def generate(_, start, end):
-        inside = (F.col("date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("date") < F.lit(end).cast("timestamp_ntz"))
-        return source.where(inside)
-
+    generate = _from_source(source)
     place = f"{shared_folder(spark)}/candles-{uuid.uuid4().hex}"
     now = datetime(2024, 1, 28, 12)
     symbols = source.select("symbol").distinct()
@@ -198,6 +208,115 @@ def checked_table_write(spark, sf):
     return out.select("symbol", "timeframe", *["date", "open", "high", "low", "close"], (F.round("volume", 6) + F.lit(0.0)).alias("volume"))
 
 
+@query("generated_windows", """
+WITH s AS (SELECT DISTINCT event_type AS symbol FROM events),
+w AS (SELECT symbol, unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-29', INTERVAL 1 DAY)) AS start FROM s)
+SELECT symbol, start, start + INTERVAL 1 DAY AS "end" FROM w WHERE NOT (symbol = 'click' AND start BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-11')""")
+def generated_windows(spark, sf):
+    """The windows a generator is asked for when some are stored already."""
+    source = staged(raw_candles(spark, sf))
+    asked = []
+
+    def generate(session, missing):
+        asked.append(missing)
+        return _from_source(source)(session, missing)
+
+    place = f"{shared_folder(spark)}/candles-{uuid.uuid4().hex}"
+    symbols = source.select("symbol").distinct()
+    read = lambda first, last, series: sinks.read_or_generate(
+        spark, place, "ohlcv", first, last, generate, vd.CANDLES, now=datetime(2024, 1, 28, 12), series=series)
+    read(datetime(2024, 1, 8), datetime(2024, 1, 11, 23), symbols.where("symbol = 'click'"))
+    asked.clear()
+    read(datetime(2024, 1, 3, 5), datetime(2024, 1, 29, 10), symbols)
+    return reduce(DataFrame.unionByName, asked).select("symbol", "start", "end")
+
+
+@query("hook_after_read", f"""WITH {sql_candles()}
+SELECT symbol, date, {s6("high - low", "width")} FROM raw_1h WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 10:00:00' AND high > low""")
+def hook_after_read(spark, sf):
+    source = staged(raw_candles(spark, sf))
+    out = sinks.read_or_generate(
+        spark, f"{shared_folder(spark)}/candles-{uuid.uuid4().hex}", "ohlcv", datetime(2024, 1, 5), datetime(2024, 1, 19, 10),
+        _from_source(source), vd.CANDLES, now=datetime(2024, 1, 28), series=source.select("symbol").distinct(),
+        after_read=lambda rows: rows.where("high > low").withColumn("width", F.col("high") - F.col("low")),
+    )
+    return out.select(*KEY, (F.round("width", 6) + F.lit(0.0)).alias("width"))
+
+
+@query("single_stored_result", f"""WITH {sql_candles()} SELECT symbol, date, close FROM raw_1h WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 10:00:00'""")
+def single_stored_result(spark, sf):
+    """Generated once; the second read takes what is stored and needs no generator."""
+    schema = T.StructType([f for f in vd.CANDLES if f.name in ("symbol", "date", "close")])
+    path, span = f"{shared_folder(spark)}/one-{uuid.uuid4().hex}", (datetime(2024, 1, 5), datetime(2024, 1, 19, 10))
+
+    def generate(_, start, end):
+        return raw_candles(spark, sf).where(F.col("date").between(*[F.lit(t).cast("timestamp_ntz") for t in (start, end)]))
+
+    sinks.read_or_generate_one(spark, path, *span, generate, schema, now=datetime(2024, 1, 28))
+    return sinks.read_or_generate_one(spark, path, *span, None, schema, now=datetime(2024, 1, 28))
+
+
+@query("compacted_rows", f"""WITH RECURSIVE {sql_candles()},
+o AS (SELECT symbol, date_trunc('day', date) AS start, count(*) * 100 AS bytes, row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', date)) AS k
+  FROM raw_1h GROUP BY 1, 2),
+walk AS (SELECT symbol, start, k, bytes AS size, 0 AS batch FROM o WHERE k = 1
+  UNION ALL SELECT o.symbol, o.start, o.k, CASE WHEN w.size >= 6000 OR o.start <> w.start + INTERVAL 1 DAY THEN o.bytes ELSE w.size + o.bytes END,
+    w.batch + CASE WHEN w.size >= 6000 OR o.start <> w.start + INTERVAL 1 DAY THEN 1 ELSE 0 END FROM walk w JOIN o ON o.symbol = w.symbol AND o.k = w.k + 1),
+b AS (SELECT *, count(*) OVER (PARTITION BY symbol, batch) AS files FROM walk)
+SELECT r.symbol, r.date, r.close, CASE WHEN files > 1 THEN batch END AS batch FROM raw_1h r JOIN b ON b.symbol = r.symbol AND b.start = date_trunc('day', r.date)""")
+def compacted_rows(spark, sf):
+    """A file a day and symbol, merged by size; rows come from merged batches and from the files that stay alone."""
+    rows = raw_candles(spark, sf).select(*KEY, "close").withColumn("start", F.date_trunc("day", "date").cast("timestamp_ntz"))
+    rows = staged(rows)
+    root = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    keyed = rows.withColumns({"series": F.col("symbol"), "day": F.date_format("start", "yyyy-MM-dd")}).drop("start")
+    keyed.repartition("series", "day").write.partitionBy("series", "day").parquet(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select(
+        "path", F.regexp_extract("path", "series=([^/]+)", 1).alias("symbol"),
+        F.regexp_extract("path", "day=([^/]+)", 1).cast("timestamp_ntz").alias("start"))
+    sizes = rows.groupBy("symbol", "start").agg((F.count(F.lit(1)) * 100).alias("bytes"))
+    manifest = staged(listed.join(sizes, ["symbol", "start"]).select(
+        F.lit("ohlcv").alias("dataset"), "symbol", "start", plus_seconds("start", 86_400 - 60).alias("end"), "bytes", "path"))
+    target = f"{root}-merged"
+    schema = T.StructType([f for f in rows.schema if f.name != "start"])
+    sinks.compact(spark, manifest, "D", 6_000, target)
+    return sinks.read_compacted(spark, manifest, target, schema).select(*KEY, "close", F.col("file_batch").alias("batch"))
+
+
+@query("rewritten_timeframes", f"""WITH {sql_stacked()} SELECT symbol, timeframe, date, close FROM mt
+WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 10:00:00'""")
+def rewritten_timeframes(spark, sf):
+    """A stored table whose hours are written with a capital letter, rewritten by version and read again."""
+    old = F.regexp_replace("timeframe", r"(\d+)h", "$1H")
+    source = staged(stacked(spark, sf).withColumn("timeframe", old))
+    place = f"{shared_folder(spark)}/old-{uuid.uuid4().hex}"
+
+    def read():
+        return sinks.read_or_generate(
+            spark, place, "ohlcv", datetime(2024, 1, 5), datetime(2024, 1, 19, 10), _from_source(source), vd.CANDLES,
+            now=datetime(2024, 1, 28), series=source.select("symbol").distinct())
+
+    read()
+    sinks.rewritten(spark, place, vd.CANDLES, "timeframe", normalized_timeframe("timeframe"))
+    return read().select("symbol", "timeframe", "date", "close")
+
+
+@query("sample_batches", f"""WITH {sql_candles()},
+p AS (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM c_1h)
+SELECT count(*) AS samples, CAST(sum(len(x)) AS BIGINT) AS cells, true AS small_files FROM p WHERE len(x) = 6""")
+def sample_batches(spark, sf):
+    """Samples with array columns, at most 500 to a file, as they are read back."""
+    def gather(rows, w):
+        return rows.withColumn("x", F.collect_list("close").over(w.rowsBetween(-5, 0)))
+
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    samples = framed(candles(spark, sf).select(*KEY, "bar", "close"), gather, before=5, keys=("symbol",)).where(F.size("x") == 6)
+    sinks.write_batches(samples.select(*KEY, "x"), path, 500)
+    per_file = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("x")).alias("cells"))
+    return per_file.agg(F.sum("n").alias("samples"), F.sum("cells").alias("cells"), (F.max("n") <= 500).alias("small_files"))
+
+
 # --- periods and forecasts -------------------------------------------------------------------------------
 
 

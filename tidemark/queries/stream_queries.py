@@ -73,7 +73,8 @@ def stream_into_windows(spark, sf):
     stream = live.closed_candles(_tick_stream(spark, sf), "1h", "2 hours")
     stream = stream.withColumn("date", F.col("date").cast("timestamp_ntz"))
     live.into_table(stream, place, f"{place}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(place).select(*KEY, "close", r6("volume").alias("volume"))
+    live.compact_windows(spark, place, stream.schema)
+    return live.live_rows(spark, place, stream.schema).select(*KEY, "close", r6("volume").alias("volume"))
 
 
 @query("mature_rows", f"""WITH {sql_candles()}

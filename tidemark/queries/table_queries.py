@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark.functions import ladder as ld
 from tidemark.functions import scalars as sc
@@ -239,12 +239,53 @@ def schema_conform(spark, sf):
 
 @query("disallowed_null_columns", f"""WITH {sql_daily()}, {SQL_SHIPPED},
 u AS (SELECT high, low, close, volume FROM raw_d UNION ALL SELECT high, low, NULL, volume FROM shipped)
-SELECT count(*) FILTER (WHERE close IS NULL) > 0 AS close_has_null, count(*) FILTER (WHERE high IS NULL) > 0 AS high_has_null FROM u""")
+SELECT unnest(list_filter(['close', 'high', 'low', 'volume'], lambda c: CASE c WHEN 'close' THEN a WHEN 'high' THEN b WHEN 'low' THEN d ELSE e END)) AS column_name
+FROM (SELECT bool_or(close IS NULL) AS a, bool_or(high IS NULL) AS b, bool_or(low IS NULL) AS d, bool_or(volume IS NULL) AS e FROM u)""")
 def disallowed_null_columns(spark, sf):
     both = vd.concat(daily_raw(spark, sf).select(*KEY, "high", "low", "close", "volume"), shipped(spark, sf))
-    return both.agg(
-        F.max(vd.is_missing(both, "close")).alias("close_has_null"), F.max(vd.is_missing(both, "high")).alias("high_has_null")
-    )
+    return spark.createDataFrame([(c,) for c in vd.null_columns(both, vd.CANDLES)], "column_name string")
+
+
+@query("concat_with_empty", f"""WITH {sql_candles()} SELECT symbol, timeframe, date, open, high, low, close, {s6("volume", "volume")} FROM c_1h""")
+def concat_with_empty(spark, sf):
+    out = vd.concat(vd.empty(spark, vd.CANDLES), candles(spark, sf).select(*vd.CANDLES.names))
+    return out.withColumn("volume", r6("volume"))
+
+
+@query("keys_as_columns", f"""WITH {sql_candles()} SELECT symbol, timeframe, date, open, high, low, close, {s6("volume", "volume")}, bar AS more FROM c_1h""")
+def keys_as_columns(spark, sf):
+    """Keys come as text and as plain columns behind the values; they go to the front in their types, other columns to the end."""
+    text = [F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume", "date")]
+    raw = candles(spark, sf).select(F.col("bar").alias("more"), *text, "timeframe", "symbol")
+    return vd.conform(raw, vd.CANDLES, strict=False).withColumn("volume", r6("volume"))
+
+
+@query("frames_with_a_timeframe_key", f"""WITH {sql_candles()}
+SELECT 'keyed' AS frame, true AS rejected, count(*) AS n FROM c_1h UNION ALL SELECT 'plain', false, count(*) FROM c_1h""")
+def frames_with_a_timeframe_key(spark, sf):
+    rows, checked = staged(candles(spark, sf)), []
+    for name, frame in (("keyed", rows), ("plain", vd.one_timeframe(rows, "1h"))):
+        try:
+            rejected = vd.reject_timeframe(frame) is None
+        except vd.SchemaError:
+            rejected = True
+        checked.append(frame.agg(F.lit(name).alias("frame"), F.lit(rejected).alias("rejected"), F.count(F.lit(1)).alias("n")))
+    return checked[0].unionByName(checked[1])
+
+
+MIDDLES = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.TimestampNTZType()), T.StructField("middle", T.DoubleType())])
+
+
+@vd.with_schemas(result=MIDDLES, df=vd.CANDLES)
+def middles(df):
+    return df.withColumn("middle", (F.col("high") + F.col("low")) / 2)
+
+
+@query("checked_function", f"""WITH {sql_candles()} SELECT symbol, date, {s6("(high + low) / 2", "middle")} FROM c_1h""")
+def checked_function(spark, sf):
+    """A function whose argument (prices come as text) and result are conformed to schemas by a decorator."""
+    raw = candles(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("high", "low")})
+    return middles(raw).withColumn("middle", r6("middle"))
 
 
 @query("min_max_scaled", f"""WITH {sql_candles()}

@@ -1,20 +1,26 @@
-"""Scans: Parquet ranges, raw candle rows, CSV and Feather files."""
+"""Scans: Parquet ranges, raw candle rows, CSV files."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.feather as feather
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.clock import from_epoch_us
 from tidemark.operators.validate import CANDLES, conform
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def read_range(
     spark: SparkSession, paths: Sequence[str], start: str, end: str, time: str = "date", schema: T.StructType | None = None
 ) -> DataFrame:
@@ -37,61 +43,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV files inside zip archives, one task per archive, read in slices of rows."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = _arrow_schema(schema)
-        for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for name in archive.namelist():
-                        with archive.open(name) as f:
-                            for part in pd.read_csv(f, chunksize=100_000):
-                                yield from _to_batches(part, target)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
-
-
-def read_feather(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Feather files, one task per file."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = _arrow_schema(schema)
-        for batch in batches:
-            for content in batch.column("content"):
-                part = feather.read_table(io.BytesIO(content.as_py())).to_pandas()
-                yield from _to_batches(part.reset_index() if part.index.name else part, target)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {
-        T.StringType: pa.string(), T.DoubleType: pa.float64(), T.LongType: pa.int64(), T.IntegerType: pa.int32(),
-        T.BooleanType: pa.bool_(), T.TimestampNTZType: pa.timestamp("us"),
-    }
-    return pa.schema([pa.field(f.name, kinds[type(f.dataType)]) for f in schema])
-
-
-def _to_batches(part: pd.DataFrame, target: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for field in target:
-        if pa.types.is_timestamp(field.type) and field.name in part:
-            part[field.name] = pd.to_datetime(part[field.name], utc=True).dt.tz_localize(None).astype("datetime64[us]")
-    yield from pa.Table.from_pandas(part[target.names], schema=target, preserve_index=False).to_batches()
-
-
-READERS = {"csv": read_csv, "zip": read_zipped_csv, "feather": read_feather}
-
-
 def read_any(spark: SparkSession, stem: str, schema: T.StructType) -> DataFrame:
-    """`stem.parquet`, `stem.feather` or `stem.zip`, the first that exists."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for kind in ("parquet", "feather", "zip", "csv"):
-        path = fs_path(f"{stem}.{kind}")
-        if path.getFileSystem(conf).exists(path):
-            if kind == "parquet":
-                return conform(spark.read.parquet(f"{stem}.parquet"), schema)
-            return READERS[kind](spark, f"{stem}.{kind}", schema)
+    """`stem.parquet` or `stem.csv`, the first that exists."""
+    if exists(spark, f"{stem}.parquet"):
+        return conform(spark.read.parquet(f"{stem}.parquet"), schema)
+    if exists(spark, f"{stem}.csv"):
+        return read_csv(spark, f"{stem}.csv", schema)
     raise FileNotFoundError(stem)

@@ -1,42 +1,26 @@
-"""Writes: checked tables, windowed tables that fill their own gaps, sample batches, compaction, conversion."""
+"""Writes: checked tables, windowed tables that fill their own gaps, sample batches, compaction and rewriting by versions."""
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime, timedelta
-from functools import reduce
+from collections.abc import Callable, Sequence
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.feather as feather
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.ladder import bar_of, start_of_bar
 from tidemark.operators.validate import SchemaError, conform, null_columns
 from tidemark.session import staged
 from tidemark.sources.manifest import FREQUENCIES, merge_batches, require_whole_windows, window_coverage
-from tidemark.sources.readers import _arrow_schema, _to_batches
+from tidemark.sources.readers import exists
 
-Generator = Callable[[SparkSession, datetime, datetime], DataFrame]
+#: Rows of the windows in a table (symbol if there are symbols, window, start, end), `end` excluded. Other rows are left out.
+Generator = Callable[[SparkSession, DataFrame], DataFrame]
 
 
-def _fs(spark: SparkSession, path: str):
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
+def utc_now() -> datetime:
+    """Now in UTC, without a zone, as dates are stored."""
+    return datetime.now(UTC).replace(tzinfo=None)
 
 
 def write_checked(
@@ -77,8 +61,8 @@ def read_or_generate(
     """Rows of a closed range from a windowed table; windows it lacks are generated, and stored once they are over.
 
     A window is known per symbol: `series` (column symbol) names the symbols asked for, and is needed if the table has
-    symbols. `generate(spark, start, end)` gives the rows of a range of windows; all missing windows are written by one job.
-    Windows that are still open, or whose rows still wait for later bars, are generated for this read and not stored.
+    symbols. `generate(spark, missing)` is given the missing windows as a table and is called once for all windows that are over, and once for
+    those that are not. Windows that are still open, or whose rows still wait for later bars, are generated for this read and not stored.
 
     Each write is a run of its own. Its rows are checked as written, and count only once the run's marks are there, one per
     symbol and window, empty windows included; so a failed run leaves its windows missing, and an empty window is asked for
@@ -91,8 +75,7 @@ def read_or_generate(
     keys = ["symbol"] if "symbol" in schema.names else []
     if keys and series is None:
         raise ValueError("a table with symbols needs the series that are asked for")
-    now = now or datetime.utcnow()
-    final = now - MATURITY.get(dataset, timedelta())
+    final = (now or utc_now()) - MATURITY.get(dataset, timedelta())
     first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
     source = series.select(*keys).distinct() if keys else spark.range(1)
     asked = source.select(*keys, F.explode(F.sequence(bar_of(first, tf), bar_of(last, tf))).alias("window"))
@@ -103,25 +86,42 @@ def read_or_generate(
         state = window_coverage(_stored(spark, table, schema, held), held.select(*keys, "window"), timeframes, freq, not_null)
         unusable = require_whole_windows(state).where("state = 'missing'").select(*keys, "window")
         missing = missing.unionByName(unusable)
-    missing = staged(missing.withColumns({"_from": start_of_bar("window", tf), "_to": start_of_bar(F.col("window") + 1, tf)}))
-    # window numbers and their borders only: as many as there are days or months in the range
-    starts = {r.window: (r._from, r._to) for r in missing.select("window", "_from", "_to").distinct().collect()}
-    made: dict[bool, list[DataFrame]] = {True: [], False: []}
-    for a, b, over in (part for run in _runs(sorted(starts)) for part in _split_at(starts, *run, final)):
-        # windows are half open here: the minute before the next one belongs to this one
-        rows = conform(generate(spark, starts[a][0], starts[b][1]), schema).withColumn("window", bar_of("date", tf))
-        made[over].append(rows.where(F.col("window").between(a, b)))
-    if made[True]:
-        over = missing.where(F.col("_to") <= F.lit(final).cast("timestamp_ntz")).select(*keys, "window")
-        _store(table, reduce(DataFrame.unionByName, made[True]).join(over, [*keys, "window"], "left_semi"), over, schema, keys)
+    missing = missing.withColumns({"start": start_of_bar("window", tf), "end": start_of_bar(F.col("window") + 1, tf)})
+    missing = staged(missing.withColumn("_over", F.col("end") <= F.lit(final).cast("timestamp_ntz")))
+    # two numbers: how many windows are over, and how many are not
+    over, still_open = missing.agg(F.count_if("_over"), F.count_if(~F.col("_over"))).first()
+
+    def made(windows: DataFrame) -> DataFrame:
+        rows = conform(generate(spark, windows.drop("_over")), schema).withColumn("window", bar_of("date", tf))
+        return rows.join(windows.select(*keys, "window"), [*keys, "window"], "left_semi")
+
+    if over:
+        windows = missing.where("_over")
+        _store(table, made(windows), windows.select(*keys, "window"), schema, keys)
     wanted = asked.join(_latest_marks(spark, table, keys), [*keys, "window"])
     out = _stored(spark, table, schema, wanted).where(F.col("window").between(bar_of(first, tf), bar_of(last, tf)))
-    for rows in made[False]:
-        out = out.unionByName(rows.join(missing, [*keys, "window"], "left_semi").select(*out.columns))
+    if still_open:
+        out = out.unionByName(made(missing.where("NOT _over")).select(*out.columns))
     out = out.where(F.col("date").between(first, last)).drop("window")
     return after_read(out) if after_read else out
 
 
+def rewritten(spark: SparkSession, table: str, schema: T.StructType, column: str, value: Column) -> int:
+    """Store the windows of a table in which `value` differs from `column` anew, with `value` instead; how many there were.
+
+    Rows are written as a run of their own, and its marks take the place of the old ones when they are there: a reader sees a
+    window as it was or as it is now. Old rows stay until the shared folder lets go of them.
+    """
+    keys = ["symbol"] if "symbol" in schema.names else []
+    rows = _stored(spark, table, schema, _latest_marks(spark, table, keys))
+    stale = staged(rows.where(~F.col(column).eqNullSafe(value)).select(*keys, "window").distinct())
+    n = stale.count()
+    if n:
+        fresh = rows.join(stale, [*keys, "window"], "left_semi").withColumn(column, value)
+        _store(table, fresh, stale, schema, keys)
+    return n
+
+
 def _marks_of(table: str) -> str:
     return f"{table.rstrip('/')}.windows"
 
@@ -147,7 +147,7 @@ def _stored(spark: SparkSession, table: str, schema: T.StructType, marks: DataFr
 
 def _store(table: str, rows: DataFrame, windows: DataFrame, schema: T.StructType, keys: list[str]) -> None:
     """Write rows as a run, check what was written, then mark all `windows` as known."""
-    spark, run = rows.sparkSession, f"r{datetime.utcnow():%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+    spark, run = rows.sparkSession, f"r{utc_now():%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
     out = rows.select(*schema.names, "window").withColumn("run", F.lit(run))
     out.write.mode("append").option("compression", "zstd").partitionBy("run", "window").parquet(table)
     written = spark.read.schema(out.schema).parquet(table).where(F.col("run") == run)
@@ -159,25 +159,6 @@ def _store(table: str, rows: DataFrame, windows: DataFrame, schema: T.StructType
     marks.select(*keys, "window", F.lit(run).alias("run"), F.coalesce("rows", F.lit(0)).alias("rows")).write.mode("append").parquet(_marks_of(table))
 
 
-def _runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
-    first = None
-    for i, n in enumerate(numbers):
-        first = n if first is None else first
-        if i + 1 == len(numbers) or numbers[i + 1] != n + 1:
-            yield first, n
-            first = None
-
-
-def _split_at(starts: dict, first: int, last: int, final: datetime) -> Iterator[tuple[int, int, bool]]:
-    """A run cut into its windows that are over by `final` and the rest."""
-    closed = [w for w in range(first, last + 1) if starts[w][1] <= final]
-    rest = [w for w in range(first, last + 1) if starts[w][1] > final]
-    if closed:
-        yield closed[0], closed[-1], True
-    if rest:
-        yield rest[0], rest[-1], False
-
-
 def read_or_generate_one(
     spark: SparkSession, path: str, start: datetime, end: datetime, generate: Generator, schema: T.StructType,
     now: datetime | None = None, empty_allowed: bool = False,
@@ -188,7 +169,7 @@ def read_or_generate_one(
     rows = staged(conform(generate(spark, start, end), schema))
     if not empty_allowed and rows.isEmpty():
         raise ValueError("the generated result is empty")
-    if end >= (now or datetime.utcnow()):
+    if end >= (now or utc_now()):
         return rows
     bad = null_columns(rows, schema)
     if bad:
@@ -211,103 +192,76 @@ def manifest_of(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     )
 
 
-def compact(
-    spark: SparkSession, manifest: DataFrame, freq: str, target_bytes: int, dry_run: bool = False
-) -> list[dict]:
-    """Merge small neighbouring files. A merged file must have as many rows as its sources before these go.
+def _plain_path(path: str | Column) -> Column:
+    """One spelling of a path: Spark names local files with one slash or three."""
+    return F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^file:/+", "file:/")
 
-    One report entry per batch: `(symbol, files, rows, ok)`. A batch that fails leaves its sources as they are.
-    """
-    report = []
-    plan = merge_batches(manifest, freq, target_bytes).groupBy("dataset", "symbol", "batch").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "path"))).alias("members")
-    )
-    # file names only: the batches of a run, not their rows
-    for row in plan.toLocalIterator():
-        paths = [m.path for m in row.members]
-        entry = {"symbol": row.symbol, "files": len(paths), "rows": None, "ok": dry_run}
-        if not dry_run:
-            entry["rows"], entry["ok"] = _merge(spark, row, paths)
-        report.append(entry)
-    return report
-
-
-def _merge(spark: SparkSession, row, paths: list[str]) -> tuple[int, bool]:
-    folder = paths[0].rsplit("/", 1)[0]
-    token = f"{row.members[0].start:%y-%m-%d.%H-%M}T{row.members[-1].end:%y-%m-%d.%H-%M}"
-    target = f"{folder}/{row.symbol}.{row.dataset}.{token}.parquet"
-    rows = spark.read.parquet(*paths)
-    expected = rows.count()
-    if exists(spark, target):  # a run that died after the merge and before its sources went, or another file
-        written = spark.read.parquet(target).count()
-        return written, written == expected and _deleted(spark, paths)
-    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
-    # one output file is the point of compaction, and its size is bounded by the target size
-    rows.repartitionByRange(1, "date").sortWithinPartitions("date").write.option("compression", "zstd").parquet(staging)
-    fs, staged_path = _fs(spark, staging)
-    written = spark.read.parquet(staging).count()
-    if written != expected:
-        fs.delete(staged_path, True)
-        return written, False
-    part = next(s.getPath() for s in fs.listStatus(staged_path) if s.getPath().getName().startswith("part-"))
-    moved = fs.rename(part, _fs(spark, target)[1])
-    fs.delete(staged_path, True)
-    return written, moved and _deleted(spark, paths)
-
-
-def _deleted(spark: SparkSession, paths: list[str]) -> bool:
-    fs = _fs(spark, paths[0])[0]
-    return all([fs.delete(_fs(spark, p)[1], False) for p in paths])
-
-
-def convert_legacy(
-    spark: SparkSession, root: str, target: str, schema: T.StructType, dry_run: bool = False
-) -> DataFrame:
-    """Zipped CSV and Feather files to Parquet, one task per file; a bad file is reported and stops nothing.
 
-    Returns `(path, ok, rows, error)`. Rows land in `target`, partitioned by the name of their source file.
+def compact(spark: SparkSession, manifest: DataFrame, freq: str, target_bytes: int, target: str) -> DataFrame:
+    """Merge small neighbouring files into the table `target`, all batches in one job: `(dataset, symbol, batch, files, rows, ok)`.
+
+    A batch counts once its mark is there, which needs as many rows written as its files have. Until then, and for a batch
+    whose numbers differ, the files themselves are read (`read_compacted`), so a run that dies changes nothing. Files of marked batches
+    (`merged_files`) are read no more and may be deleted at any time.
     """
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _arrow_schema(schema)
-        full = pa.schema([pa.field("path", pa.string()), pa.field("error", pa.string()), *wanted])
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                parts: list[pa.RecordBatch] = []
-                try:
-                    raw = io.BytesIO(content.as_py())
-                    if path.endswith(".zip"):
-                        with zipfile.ZipFile(raw) as archive:
-                            frames = [pd.read_csv(archive.open(n)) for n in archive.namelist()]
-                    else:
-                        frames = [feather.read_table(raw).to_pandas()]
-                    for frame in frames:
-                        parts += _to_batches(frame.reset_index() if frame.index.name else frame, wanted)
-                    error = None
-                except Exception as problem:  # any unreadable file is a line of the report
-                    parts, error = [], f"{type(problem).__name__}: {problem}"
-                for part in parts:
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * n), pa.nulls(n, pa.string()), *part.columns], schema=full
-                    )
-                if error or not any(p.num_rows for p in parts):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([error or "no rows"]), *[pa.nulls(1, f.type) for f in wanted]],
-                        schema=full,
-                    )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.{zip,feather}"
-    ).load(root).select("path", "content")
-    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-    out_schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("error", T.StringType()), *nullable])
-    rows = staged(files.mapInArrow(parse, out_schema))
-    if not dry_run:
-        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(zip|feather)$", "")
-        rows.where("error is null").withColumn("source", name).drop("path", "error").write.mode("overwrite").option(
-            "compression", "zstd"
-        ).partitionBy("source").parquet(target)
-    return rows.groupBy("path").agg(
-        F.bool_and(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNull()).alias("rows"),
-        F.max("error").alias("error"),
-    )
+    done = merged_files(spark, target)
+    plan = staged(merge_batches(manifest.join(done.select("path"), "path", "left_anti"), freq, target_bytes))
+    paths = [r.path for r in plan.select("path").toLocalIterator()]  # file names only
+    if not paths:
+        return spark.createDataFrame([], "dataset string, symbol string, batch int, files long, rows long, ok boolean")
+    run = f"r{utc_now():%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+    batches = [F.col(c).alias(f"file_{c}") for c in ("dataset", "symbol", "batch")]
+    files = plan.select(*batches, _plain_path("path").alias("_path"))
+    source = spark.read.parquet(*paths).withColumn("_path", _plain_path(F.col("_metadata.file_path")))
+    rows = source.join(files, "_path")
+    keys = ["file_dataset", "file_symbol", "file_batch"]
+    out = rows.drop("_path").withColumn("run", F.lit(run))
+    # a batch is one file, of about the target size
+    out.repartition(*keys).sortWithinPartitions(*keys, "date").write.mode("append").option("compression", "zstd").partitionBy(
+        "run", *keys).parquet(target)
+    written = spark.read.schema(out.schema).parquet(target).where(F.col("run") == run).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    expected = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = plan.groupBy(*batches).agg(F.count(F.lit(1)).alias("files"), F.collect_list("path").alias("paths"))
+    report = staged(sizes.join(written, keys, "left").join(expected, keys, "left").withColumn(
+        "ok", F.coalesce(F.coalesce("rows", F.lit(0)) == F.coalesce("_rows", F.lit(0)), F.lit(False))))
+    report.where("ok").select(*keys, "paths", F.lit(run).alias("run")).write.mode("append").parquet(_merges_of(target))
+    return report.select(
+        F.col("file_dataset").alias("dataset"), F.col("file_symbol").alias("symbol"), F.col("file_batch").alias("batch"), "files",
+        F.coalesce("rows", F.lit(0)).alias("rows"), "ok")
+
+
+_MERGES = "file_dataset string, file_symbol string, file_batch int, paths array<string>, run string"
+
+
+def _merges_of(target: str) -> str:
+    return f"{target.rstrip('/')}.merges"
+
+
+def _merges(spark: SparkSession, target: str) -> DataFrame:
+    if not exists(spark, _merges_of(target)):
+        return spark.createDataFrame([], _MERGES)
+    return spark.read.schema(_MERGES).parquet(_merges_of(target))
+
+
+def merged_files(spark: SparkSession, target: str) -> DataFrame:
+    """`(path, file_symbol, file_batch, run)` of the files whose rows are in the merged table."""
+    return _merges(spark, target).select(F.explode("paths").alias("path"), "file_symbol", "file_batch", "run")
+
+
+def read_compacted(spark: SparkSession, manifest: DataFrame, target: str, schema: T.StructType) -> DataFrame:
+    """Rows of all files of a manifest with file_symbol and file_batch: from the merged table if they are there (its batch), else from the files."""
+    merges = _merges(spark, target)
+    left = manifest.join(merged_files(spark, target).select("path"), "path", "left_anti").select("symbol", "path")
+    names = [*schema.names, "file_symbol", "file_batch"]
+    added = [T.StructField("file_symbol", T.StringType()), T.StructField("file_batch", T.IntegerType())]
+    out = spark.createDataFrame([], T.StructType([*schema.fields, *added]))
+    if not merges.isEmpty():
+        kept = [T.StructField(c, T.StringType()) for c in ("run", "file_dataset")]
+        rows = spark.read.schema(T.StructType([*schema.fields, *added, *kept])).parquet(target)
+        out = out.unionByName(rows.join(merges.select("run", "file_symbol", "file_batch"), ["run", "file_symbol", "file_batch"], "left_semi").select(*names))
+    paths = [r.path for r in left.select("path").toLocalIterator()]  # file names only
+    if paths:
+        rows = spark.read.schema(schema).parquet(*paths).withColumn("_path", _plain_path(F.col("_metadata.file_path")))
+        own = left.select(F.col("symbol").alias("file_symbol"), F.lit(None).cast("int").alias("file_batch"), _plain_path("path").alias("_path"))
+        out = out.unionByName(rows.join(own, "_path").select(*names))
+    return out
