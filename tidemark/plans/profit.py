@@ -36,17 +36,44 @@ def add_horizon_extremes(df: DataFrame, horizon: int, delay: int, window: int) -
 
 
 def add_sub_horizons(df: DataFrame, window: int, quantiles: int) -> DataFrame:
-    """Extremes of the next `i/quantiles` of the window, i = 1 … quantiles, as `q<i>_…` columns."""
+    """Extremes of the next `i/quantiles` of the window, i = 1 … quantiles, as `q<i>_…` columns.
+
+    The window is cut into its steps; each step has frames of its own, short ones, and a running fold over the steps gives the
+    extremes from the first step on. A later step only counts if it is more extreme.
+    """
+    ends = [int(i * window / quantiles) for i in range(quantiles + 1)]
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        kinds = {"max_high": ("high", frame_max, frame_argmax, 1), "min_low": ("low", frame_min, frame_argmin, -1)}
+        arrays = {"_ahead": F.count("high").over(w.rowsBetween(1, window))}
+        for name, (c, extreme, place, sign) in kinds.items():
+            steps = [
+                F.struct((extreme(c, w, a + 1, b) * sign).cast("double").alias("v"), (place(c, w, a + 1, b) + a).cast("double").alias("at"))
+                if a < b else F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("at"))
+                for a, b in zip(ends, ends[1:], strict=False)
+            ]
+            arrays[f"_{name}"] = F.array(*steps)
+        rows = rows.withColumns(arrays)
+
+        def running(steps: str) -> Column:
+            first = F.array().cast("array<struct<v:double,at:double>>")
+
+            def fold(done: Column, s: Column) -> Column:
+                last = F.try_element_at(done, F.lit(-1))
+                better = last["v"].isNull() | (s["v"] > last["v"])
+                return F.concat(done, F.array(F.when(better, s).otherwise(last)))
+
+            return F.aggregate(steps, first, fold)
+
+        rows = rows.withColumns({f"_{name}": running(f"_{name}") for name in kinds})
         new = {}
         for i in range(1, quantiles + 1):
-            n = int(i * window / quantiles)
-            new[f"q{i}_max_high"] = _whole(frame_max("high", w, 1, n), w, 1, n)
-            new[f"q{i}_min_low"] = _whole(frame_min("low", w, 1, n), w, 1, n)
-            new[f"q{i}_max_high_distance"] = _whole(frame_argmax("high", w, 1, n).cast("double"), w, 1, n)
-            new[f"q{i}_min_low_distance"] = _whole(frame_argmin("low", w, 1, n).cast("double"), w, 1, n)
-        return rows.withColumns(new)
+            there = F.col("_ahead") >= ends[i]
+            for name, (_, _, _, sign) in kinds.items():
+                best = F.col(f"_{name}")[i - 1]
+                new[f"q{i}_{name}"] = F.when(there, best["v"] * sign)
+                new[f"q{i}_{name}_distance"] = F.when(there, best["at"])
+        return rows.withColumns(new).drop("_ahead", *[f"_{name}" for name in kinds])
 
     return framed(df, build, after=window, size=max(BLOCK_BARS, 4 * window))
 
