@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.clock import DAY_S, epoch_s, from_epoch_s, minutes_between, plus_seconds
 from tidemark.functions.ladder import TF_MINUTES, bar_of, floor_to_bar
 from tidemark.functions.scalars import drawn
-from tidemark.operators.blocks import framed
 from tidemark.operators.indicators import add_classic_indicators
 from tidemark.operators.validate import common_complete_range
 from tidemark.plans.features import add_relative_candle, add_volume_rma
@@ -18,7 +18,12 @@ from tidemark.session import staged
 
 # Columns scaled as prices, those without scale, and the scaling constants.
 PRICES = ["open", "high", "low", "close", "bbands_u", "bbands_m", "bbands_l", "ichi_conv", "ichi_base", "ichi_lead_a",
-          "ichi_lead_b", "ichi_lag"]
+          "ichi_lead_b", "ichi_lag", "min_low", "max_high", "worst_long_open", "worst_short_open", "quantile_long_min_low",
+          "quantile_short_max_high"]
+# The label columns of a sample, in their order; the drawdowns stand there twice.
+LABELS = ["long_signal", "short_signal", "min_low", "max_high", "long_profit", "short_profit", "long_risk", "short_risk",
+          "long_drawdown", "short_drawdown"]
+LABEL_ORDER = [*range(10), 8, 9]
 SCALE_SHARE, CENTRE, SPREAD = 1 / 20, 50.0, 8.0
 
 
@@ -36,15 +41,15 @@ def frame_with_indicators(candles: DataFrame, atr_length: int = 256) -> DataFram
     return add_volume_rma(add_relative_candle(add_classic_indicators(candles), atr_length))
 
 
-def sample_ends(bounds: DataFrame, levels: Sequence[Level], per_symbol: int, seed: int) -> DataFrame:
-    """Random ends of the first level in each symbol's safe range `(symbol, start, end)`, and the ends of the levels
+def sample_ends(bounds: DataFrame, levels: Sequence[Level], draws: int, seed: int) -> DataFrame:
+    """Random ends of the first level in each symbol's safe range `(symbol, start, end)`, draws 1, 2, …, and the ends of the levels
     before it: each slice ends where the next one starts. The same seed draws the same ends."""
     length = sum(TF_MINUTES[v.timeframe] * 60 * v.bars for v in levels)
-    draws = bounds.withColumns(
-        {"_room": epoch_s("end") - epoch_s("start") - length, "draw": F.explode(F.sequence(F.lit(1), F.lit(per_symbol)))}
+    rows = bounds.withColumns(
+        {"_room": epoch_s("end") - epoch_s("start") - length, "draw": F.explode(F.sequence(F.lit(1), F.lit(draws)))}
     ).where("_room > 0")
-    back = F.pmod(F.xxhash64("symbol", "draw", F.lit(seed)), F.col("_room"))
-    out = draws.withColumn(f"end_{levels[0].name}", from_epoch_s(epoch_s("end") - back))
+    back = drawn("symbol", "draw", F.lit(seed)) % F.col("_room")
+    out = rows.withColumn(f"end_{levels[0].name}", from_epoch_s(epoch_s("end") - back))
     for near, far in zip(levels, levels[1:], strict=False):
         out = out.withColumn(
             f"end_{far.name}", plus_seconds(f"end_{near.name}", -TF_MINUTES[near.timeframe] * 60 * near.bars)
@@ -52,22 +57,51 @@ def sample_ends(bounds: DataFrame, levels: Sequence[Level], per_symbol: int, see
     return out.drop("_room", "start", "end")
 
 
-def _slices(frame: DataFrame, level: Level, columns: Sequence[str], n: str) -> DataFrame:
-    """Per bar the last `bars` rows as structs; bars with less complete history are left out."""
+def _slice_rows(ends: DataFrame, frame: DataFrame, level: Level) -> DataFrame:
+    """The bars of a level's slices, a row each: ends carry (symbol, draw, end_<level>), frames are met by bar."""
+    last = bar_of(f"end_{level.name}", level.timeframe)
+    asked = ends.select("symbol", "draw", F.explode(F.sequence(last - (level.bars - 1), last)).alias("bar"))
+    return asked.join(frame, ["symbol", "bar"])
 
-    def gather(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumn(n, F.collect_list(F.struct("date", *columns)).over(w.rowsBetween(1 - level.bars, 0)))
 
-    rows = frame.select("symbol", "bar", "date", *columns)
-    out = framed(rows, gather, before=level.bars - 1, keys=("symbol",)).where(F.size(n) == level.bars)
-    return out.select("symbol", F.col("bar").alias(f"_bar_{n}"), n)
+def whole_slices(ends: DataFrame, frames: dict[str, DataFrame], levels: Sequence[Level], columns: Sequence[str], max_gap: int) -> DataFrame:
+    """The draws of `ends` all of whose slices have their bars, complete and without a gap of more than `max_gap` bars."""
+    out = ends
+    for v in levels:
+        rows = _slice_rows(ends, frames[v.name].dropna(subset=[*columns, "atr"]).select("symbol", "bar", "date"), v)
+        span = minutes_between(F.max("date"), F.min("date")) / TF_MINUTES[v.timeframe]
+        good = rows.groupBy("symbol", "draw").agg(F.count(F.lit(1)).alias("_n"), span.alias("_span")).where(
+            (F.col("_n") == v.bars) & (F.abs(F.col("_span") - (v.bars - 1)) <= max_gap))
+        out = out.join(good.select("symbol", "draw"), ["symbol", "draw"], "left_semi")
+    return out
+
+
+def accepted_draws(draws: DataFrame, count: int, actionable_rate: float) -> DataFrame:
+    """The first `count` draws of each symbol that are taken, in order: one without a signal is passed over while there is no
+    sample with a signal yet, or more than 1/rate - 1 without for each with one. `draws`: (symbol, draw, is_actionable)."""
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, yes, no, kept = rows.sort_values("draw"), 0, 0, []
+        for draw, actionable in zip(rows["draw"], rows["is_actionable"], strict=True):
+            if len(kept) == count:
+                break
+            if actionable or (yes and no / yes <= 1 / actionable_rate - 1):
+                yes, no = yes + bool(actionable), no + (not actionable)
+                kept.append(draw)
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[: len(kept)], "draw": kept})
+
+    # a symbol's draws: a number each, as many as were asked for
+    return draws.select("symbol", "draw", "is_actionable").groupBy("symbol").applyInPandas(take, "symbol string, draw int")
 
 
 def _scaled(x: Column, columns: Sequence[str]) -> Column:
+    """A bar's columns on the sample's scale; missing label values stay NULL."""
     values = []
     for c in columns:
         if c in PRICES:
             v = (x[c] + F.col("price_shift")) * F.col("price_scale") * SCALE_SHARE
+        elif "_profit" in c or "_drawdown" in c:
+            v = x[c] * F.col("price_scale") * SCALE_SHARE
         elif c == "volume":
             v = x[c] * F.col("volume_scale")
         elif c in ("rsi", "mfi"):
@@ -105,44 +139,48 @@ def scale_parameters(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def balanced(samples: DataFrame, actionable_rate: float, seed: int) -> DataFrame:
-    """All samples with a signal and so many of the others that signals make up the rate, drawn by hash."""
-    # two numbers
-    yes, no = samples.agg(F.count_if("is_actionable"), F.count_if(~F.col("is_actionable"))).first()
-    keep = yes * (1 / actionable_rate - 1) / no if no else 1.0
-    luck = F.pmod(F.xxhash64("symbol", "draw", F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000
-    return samples.where(F.col("is_actionable") | (luck < keep))
-
-
 def random_samples(
     frames: dict[str, DataFrame], labels: DataFrame, levels: Sequence[Level], columns: Sequence[str], per_symbol: int,
-    seed: int, label_tf: str, forecast_bars: int, actionable_rate: float = 0.2, max_gap: int = 1,
+    seed: int, label_tf: str, forecast_bars: int, actionable_rate: float = 0.2, max_gap: int = 1, most_draws: int = 1 << 16,
 ) -> DataFrame:
-    """One row per drawn sample: a scaled array per level, the signals at its end, and the scales.
+    """`per_symbol` samples of each symbol: a scaled array per level, the signals at its end, the scales, and `future`, the label columns
+    of the next `forecast_bars` bars on the same scale.
 
-    `frames[level]` has `columns` and `atr`; `labels` has `long_signal` and `short_signal` on `label_tf`. The ends lie
-    where every frame is complete and the forecast still has its bars. `levels` run from the last slice back.
+    `frames[level]` has `columns` and `atr`; `labels` has `LABELS` on `label_tf`. The ends lie where every frame is complete and the
+    forecast still has its bars. `levels` run from the last slice back. Draws are made in order and passed over as `accepted_draws`
+    says, twice as many in each round until every symbol has its number; a symbol that still has fewer after `most_draws` keeps those.
     """
     complete = {v.name: frames[v.name].select("symbol", "date", *columns) for v in levels}
     complete["labels"] = labels.select("symbol", "date", "long_signal", "short_signal")
     bounds = common_complete_range(complete)
     first_bar, ahead = TF_MINUTES[levels[-1].timeframe] * 60, 2 * forecast_bars * TF_MINUTES[label_tf] * 60
-    bounds = bounds.withColumns({"start": plus_seconds("start", first_bar), "end": plus_seconds("end", -ahead)})
-    out = sample_ends(bounds, levels, per_symbol, seed)
+    bounds = staged(bounds.withColumns({"start": plus_seconds("start", first_bar), "end": plus_seconds("end", -ahead)}))
     # the first label at or after the end
     at = bar_of(plus_seconds(f"end_{levels[0].name}", -1), label_tf) + 1
-    future = labels.select("symbol", F.col("bar").alias("_at"), "long_signal", "short_signal")
-    out = out.withColumn("_at", at).join(future, ["symbol", "_at"]).drop("_at")
-    out = out.withColumn("is_actionable", (F.col("long_signal") != 0) | (F.col("short_signal") != 0))
-    for v in levels:
-        slices = _slices(frames[v.name].dropna(subset=[*columns, "atr"]), v, [*columns, "atr"], v.name)
-        out = out.withColumn(f"_bar_{v.name}", bar_of(f"end_{v.name}", v.timeframe))
-        out = out.join(slices, ["symbol", f"_bar_{v.name}"]).drop(f"_bar_{v.name}")
-        span = minutes_between(F.element_at(v.name, -1)["date"], F.element_at(v.name, 1)["date"]) / TF_MINUTES[v.timeframe]
-        out = out.where(F.abs(span - (v.bars - 1)) <= max_gap)
-    out = balanced(staged(out), actionable_rate, seed)
-    out = add_scales(out, levels)
-    return out.withColumns({v.name: F.transform(v.name, lambda x: _scaled(x, columns)) for v in levels})
+    signals = labels.select("symbol", F.col("bar").alias("_at"), "long_signal", "short_signal")
+    draws = 2 * per_symbol
+    while True:
+        ends = sample_ends(bounds, levels, draws, seed).withColumn("_at", at).join(signals, ["symbol", "_at"])
+        signal = F.coalesce((F.col("long_signal") != 0) | (F.col("short_signal") != 0), F.lit(False))
+        ends = staged(ends.withColumn("is_actionable", signal))
+        taken = staged(accepted_draws(whole_slices(ends, frames, levels, columns, max_gap), per_symbol, actionable_rate))
+        wanting = bounds.join(taken.groupBy("symbol").count().where(F.col("count") >= per_symbol), "symbol", "left_anti")
+        if draws >= most_draws or wanting.isEmpty():
+            break
+        draws *= 2
+    out = staged(ends.join(taken, ["symbol", "draw"]))
+
+    def gathered(rows: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
+        return rows.groupBy("symbol", "draw").agg(F.sort_array(F.collect_list(F.struct("date", *values))).alias(name))
+
+    parts = [gathered(_slice_rows(out, frames[v.name].select("symbol", "bar", "date", *columns, "atr"), v), v.name, [*columns, "atr"]) for v in levels]
+    coming = out.select("symbol", "draw", F.explode(F.sequence(F.col("_at"), F.col("_at") + (forecast_bars - 1))).alias("bar"))
+    parts.append(gathered(coming.join(labels.select("symbol", "bar", "date", *LABELS), ["symbol", "bar"]), "future", LABELS))
+    for part in parts:
+        out = out.join(part, ["symbol", "draw"])
+    out = add_scales(staged(out.drop("_at")), levels)
+    scaled = {v.name: F.transform(v.name, lambda x: _scaled(x, columns)) for v in levels}
+    return out.withColumns({**scaled, "future": F.transform("future", lambda x: _scaled(x, [LABELS[i] for i in LABEL_ORDER]))})
 
 
 def overlapped_periods(ranges: DataFrame, length_days: int = 90, slide_days: int = 45) -> DataFrame:

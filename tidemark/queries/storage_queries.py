@@ -15,7 +15,9 @@ from tidemark.operators import validate as vd
 from tidemark.operators.blocks import framed
 from tidemark.operators.smoothing import add_atr
 from tidemark.plans import sampling as sp
+from tidemark.plans.profit import add_long_short_profit
 from tidemark.queries import query
+from tidemark.queries.feature_queries import D, H, Q, RISK, SQL_DRAWDOWN, SQL_EXTREMES, SQL_PROFIT
 from tidemark.queries.structure_queries import sql_mt_atr
 from tidemark.queries.views import candles, daily_raw, ntz, raw_candles, s6, sql_atr, sql_candles, sql_daily, sql_ewm, sql_stacked, stacked, table, ticks
 from tidemark.session import shared_folder, staged
@@ -361,24 +363,94 @@ def forecast_reconstruction(spark, sf):
     return out.select(*KEY, "step", *[(F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c) for c in ("high", "low", "mean_high", "std_low")])
 
 
-@query("random_training_samples")
+SAMPLE_LEVELS = [sp.Level("double", "1h", 6), sp.Level("trigger", "1h", 8), sp.Level("pattern", "4h", 6), sp.Level("structure", "4h", 5)]
+SAMPLE_COLUMNS = ["open", "high", "low", "close", "volume", "rsi", "bbands_m", "rel_close", "volume_atr"]
+SAMPLE_COUNT, SAMPLE_SEED, SAMPLE_RATE = 30, 11, 0.6
+
+
+def _sample_frame_sql(tf: str) -> str:
+    """CTE `f_<tf>`: the sample columns and ATR of one timeframe."""
+    w = "PARTITION BY symbol ORDER BY bar"
+    return f"""{sql_atr(f"fa_{tf}", f"c_{tf}", 14)}, {sql_ewm(f"fe_{tf}", f"fa_{tf}", "volume", 1 / 14, 14, "rma")},
+fs_{tf} AS (SELECT *, greatest(x, 0 * x) AS up, greatest(-x, 0 * x) AS down FROM (SELECT *, close - lag(close) OVER ({w}) AS x FROM fe_{tf})),
+{sql_ewm(f"fg_{tf}", f"fs_{tf}", "up", 1 / 14, 14, "gain")}, {sql_ewm(f"fl_{tf}", f"fg_{tf}", "down", 1 / 14, 14, "loss")},
+f_{tf} AS (SELECT symbol, bar, date, open, high, low, close, volume, 100 * gain / nullif(gain + loss, 0) AS rsi,
+    CASE WHEN count(*) OVER f = 5 THEN avg(close) OVER f END AS bbands_m, close / nullif(atr, 0) AS rel_close, volume / nullif(rma, 0) AS volume_atr, atr
+  FROM fl_{tf} WINDOW f AS ({w} ROWS 4 PRECEDING))"""
+
+
+def _samples_sql() -> str:
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in SAMPLE_COLUMNS)
+    length = sum(v.bars * {"1h": 3600, "4h": 14_400}[v.timeframe] for v in SAMPLE_LEVELS)
+    ends, back, parts = [], 0, []
+    for v in SAMPLE_LEVELS:
+        width = {"1h": 3600, "4h": 14_400}[v.timeframe]
+        ends.append(f"CAST(floor((t - {back}) / {width}) AS BIGINT) AS bar_{v.name}")
+        back += width * v.bars
+        parts.append(f"(SELECT count(*) FROM f_{v.timeframe} f WHERE f.symbol = d.symbol AND f.bar BETWEEN bar_{v.name} - {v.bars - 1} AND bar_{v.name} AND {whole} AND atr IS NOT NULL) = {v.bars}")
+    slices = " UNION ALL ".join(
+        f"SELECT k.symbol, k.draw, '{v.name}' AS level, f.* EXCLUDE (symbol) FROM kept k JOIN f_{v.timeframe} f ON f.symbol = k.symbol "
+        f"AND f.bar BETWEEN bar_{v.name} - {v.bars - 1} AND bar_{v.name}" for v in SAMPLE_LEVELS)
+    as_float = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    closes = ", ".join(
+        f"round(sum({as_float('(close + price_shift) * price_scale / 20')}) FILTER (level = '{v.name}'), 3) + 0.0 AS closes_{v.name}" for v in SAMPLE_LEVELS)
+    label = {"min_low": "(min_low + price_shift) * price_scale / 20", "max_high": "(max_high + price_shift) * price_scale / 20",
+             "long_profit": "long_profit * price_scale / 20", "short_drawdown": "short_drawdown * price_scale / 20", "long_risk": "long_risk"}
+    future = ", ".join(f"round(sum({as_float(x)}), 3) + 0.0 AS future_{c}" for c, x in label.items())
+    return f"""WITH RECURSIVE {sql_stacked()}, {_sample_frame_sql("1h")}, {_sample_frame_sql("4h")}, a AS (SELECT * FROM fa_1h), {SQL_EXTREMES}, {SQL_DRAWDOWN}, {SQL_PROFIT},
+lb AS (SELECT symbol, bar, date, long_signal, short_signal, min_low, max_high, max_high - worst_long_open AS long_profit, worst_short_open - min_low AS short_profit,
+    long_risk, short_risk, long_drawdown, short_drawdown FROM s_short),
+bounds AS (SELECT symbol, max(s) + INTERVAL 4 HOUR AS s, min(e) - INTERVAL 20 HOUR AS e FROM (
+    SELECT symbol, min(date) AS s, max(date) AS e FROM f_1h WHERE {whole} GROUP BY 1 UNION ALL SELECT symbol, min(date), max(date) FROM f_4h WHERE {whole} GROUP BY 1
+    UNION ALL SELECT symbol, min(date), max(date) FROM lb WHERE long_signal IS NOT NULL AND short_signal IS NOT NULL GROUP BY 1) GROUP BY symbol HAVING count(*) = 3),
+rooms AS (SELECT *, CAST(epoch(e) - epoch(s) - {length} AS BIGINT) AS room FROM bounds),
+draws AS (SELECT symbol, e, room, unnest(range(1, 1001)) AS draw FROM rooms WHERE room > 0),
+ends AS (SELECT symbol, draw, CAST(epoch(e) AS BIGINT) - CAST('0x' || md5(symbol || '|' || draw || '|{SAMPLE_SEED}')[1:8] AS BIGINT) % room AS t FROM draws),
+d AS (SELECT *, {", ".join(ends)}, CAST(floor((t - 1) / 3600) AS BIGINT) + 1 AS at FROM ends),
+ok AS (SELECT d.*, long_signal, short_signal, long_signal <> 0 OR short_signal <> 0 AS act, row_number() OVER (PARTITION BY d.symbol ORDER BY draw) AS k
+  FROM d JOIN lb ON lb.symbol = d.symbol AND lb.bar = d.at WHERE {" AND ".join(parts)}),
+walk AS (SELECT symbol, 0 AS k, 0 AS yes, 0 AS no, false AS taken FROM rooms UNION ALL
+  SELECT o.symbol, o.k, w.yes + (x.take AND o.act)::INT, w.no + (x.take AND NOT o.act)::INT, x.take FROM walk w JOIN ok o ON o.symbol = w.symbol AND o.k = w.k + 1,
+    LATERAL (SELECT o.act OR (w.yes > 0 AND w.no / w.yes <= {1 / SAMPLE_RATE - 1!r}) AS take) x WHERE w.yes + w.no < {SAMPLE_COUNT}),
+kept AS (SELECT o.* FROM ok o JOIN walk w ON w.symbol = o.symbol AND w.k = o.k AND w.taken),
+sl AS ({slices}),
+sc AS (SELECT k.symbol, k.draw, 1 / (SELECT avg(atr) FROM sl WHERE sl.symbol = k.symbol AND sl.draw = k.draw AND level = 'trigger') AS price_scale,
+    -(SELECT arg_max(close, date) FROM sl WHERE sl.symbol = k.symbol AND sl.draw = k.draw AND level = 'double') AS price_shift,
+    1 / (SELECT avg(volume) FROM sl WHERE sl.symbol = k.symbol AND sl.draw = k.draw) AS volume_scale FROM kept k),
+xs AS (SELECT symbol, draw, {closes}, round(sum({as_float("volume * volume_scale")}), 3) + 0.0 AS volumes, round(sum({as_float("(rsi - 50) / 8")}), 3) + 0.0 AS rsis
+  FROM sl JOIN sc USING (symbol, draw) GROUP BY 1, 2),
+ys AS (SELECT symbol, draw, count(*) AS bars, {future} FROM (SELECT k.symbol, k.draw, l.* EXCLUDE (symbol) FROM kept k JOIN lb l ON l.symbol = k.symbol AND l.bar BETWEEN k.at AND k.at + 9)
+  JOIN sc USING (symbol, draw) GROUP BY 1, 2)
+SELECT k.symbol, k.draw, make_timestamp(t * 1000000) AS end_double, round(k.long_signal, 5) + 0.0 AS long_signal, round(k.short_signal, 5) + 0.0 AS short_signal, act AS is_actionable, xs.* EXCLUDE (symbol, draw), ys.* EXCLUDE (symbol, draw)
+FROM kept k JOIN xs USING (symbol, draw) JOIN ys USING (symbol, draw)"""
+
+
+@query("random_training_samples", _samples_sql())
 def random_training_samples(spark, sf):
-    levels = [sp.Level("double", "1h", 6), sp.Level("trigger", "1h", 8), sp.Level("pattern", "4h", 6), sp.Level("structure", "4h", 5)]
-    columns = ["open", "high", "low", "close", "volume", "rsi", "mfi", "bbands_m", "rel_close", "volume_atr"]
     mt = staged(stacked(spark, sf))
-    from tidemark.plans.profit import add_long_short_profit
-
-    framed = {tf: staged(sp.frame_with_indicators(mt.where(F.col("timeframe") == tf), 14)) for tf in ("1h", "4h")}
-    frames = {v.name: framed[v.timeframe] for v in levels}
+    framed_tf = {tf: staged(sp.frame_with_indicators(mt.where(F.col("timeframe") == tf), 14)) for tf in ("1h", "4h")}
     labels = staged(
-        add_long_short_profit(framed["1h"].select("symbol", "timeframe", "bar", "date", "high", "low", "close", "atr"),
-                              horizon=10, delay=2, quantiles=4, max_risk=2.0, trigger_tf="1h")
+        add_long_short_profit(framed_tf["1h"].select("symbol", "timeframe", "bar", "date", "high", "low", "close", "atr"),
+                              horizon=H, delay=D, quantiles=Q, max_risk=RISK, trigger_tf="1h")
     )
-    out = sp.random_samples(frames, labels, levels, columns, per_symbol=40, seed=11, label_tf="1h", forecast_bars=10)
+    out = sp.random_samples(
+        {v.name: framed_tf[v.timeframe] for v in SAMPLE_LEVELS}, labels, SAMPLE_LEVELS, SAMPLE_COLUMNS, SAMPLE_COUNT, SAMPLE_SEED, "1h", 10,
+        SAMPLE_RATE)
+
+    def total(name, i):
+        return F.aggregate(name, F.lit(0.0), lambda a, x: a + x[i].cast("double"))
+
+    def r3(x):
+        return F.round(x, 3) + F.lit(0.0)
+
+    every = [v.name for v in SAMPLE_LEVELS]
+    volume, rsi = (sum((total(n, SAMPLE_COLUMNS.index(c)) for n in every), F.lit(0.0)) for c in ("volume", "rsi"))
+    names = ("min_low", "max_high", "long_profit", "short_drawdown", "long_risk")
     return out.select(
-        "symbol", "draw", "end_double", "long_signal", "short_signal", "is_actionable",
-        *[F.size(v.name).alias(f"bars_{v.name}") for v in levels],
-        F.round(F.aggregate("double", F.lit(0.0), lambda a, x: a + x[3].cast("double")), 4).alias("scaled_closes"),
+        "symbol", "draw", "end_double", (F.round("long_signal", 5) + F.lit(0.0)).alias("long_signal"),
+        (F.round("short_signal", 5) + F.lit(0.0)).alias("short_signal"), "is_actionable",
+        *[r3(total(n, SAMPLE_COLUMNS.index("close"))).alias(f"closes_{n}") for n in every], r3(volume).alias("volumes"), r3(rsi).alias("rsis"),
+        F.size("future").alias("bars"), *[r3(total("future", sp.LABELS.index(c))).alias(f"future_{c}") for c in names],
     )
 
 
