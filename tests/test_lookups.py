@@ -199,14 +199,30 @@ def test_interval_and_overlap_join(spark):
     assert {r.i: r.island for r in groups} == want
 
 
-@pytest.mark.parametrize("cell", [0.3, 2.0, 50.0])
-def test_best_covering_against_a_scan(spark, cell):
+@pytest.mark.parametrize("cells", [2, 7, 256])
+def test_best_covering_against_a_scan(spark, cells):
     rng = np.random.default_rng(6)
     spans = [(float(a), float(a + rng.integers(1, 8)), int(rng.integers(0, 4))) for a in rng.integers(0, 60, 50)]
     values = [float(v) for v in rng.integers(0, 70, 80)]
     iv = spark.createDataFrame([("a", lo, hi, r, i) for i, (lo, hi, r) in enumerate(spans)], "symbol string, lo double, hi double, r int, i int")
     pts = spark.createDataFrame([("a", v, k) for k, v in enumerate(values)], "symbol string, v double, k int")
-    out = best_covering(pts, iv, ["symbol"], "v", "lo", "hi", [F.col("r"), -F.col("i")], ["i"], cell)
+    out = best_covering(pts, iv, ["symbol"], "v", "lo", "hi", [F.col("r"), -F.col("i")], ["i"], cells)
     for row in out.collect():
         fits = [(r, -i) for i, (lo, hi, r) in enumerate(spans) if lo < row.v < hi]
         assert row.i == (-max(fits)[1] if fits else None)
+
+
+def test_best_covering_of_flat_and_dear_markets(spark):
+    rng = np.random.default_rng(16)
+    spans, values = [], []
+    for symbol, base, step in (("flat", 100.0, 1e-4), ("dear", 4e7, 900.0), ("wide", 5.0, 1.0)):
+        lows = base + step * rng.integers(0, 200, 300)
+        spans += [(symbol, float(lo), float(lo + step * rng.integers(1, 40)), int(r), i) for i, (lo, r) in enumerate(zip(lows, rng.integers(0, 3, 300), strict=True))]
+        values += [(symbol, float(base + step * v), k) for k, v in enumerate(rng.integers(0, 240, 200))]
+    iv = spark.createDataFrame(spans, "symbol string, lo double, hi double, r int, i int")
+    pts = spark.createDataFrame(values, "symbol string, v double, k int")
+    rows = best_covering(pts, iv, ["symbol"], "v", "lo", "hi", [F.col("r"), -F.col("i")], ["i"], 64).collect()
+    assert len(rows) == 600
+    for row in rows:
+        fits = [(r, -i) for symbol, lo, hi, r, i in spans if symbol == row.symbol and lo < row.v < hi]
+        assert row.i == (-max(fits)[1] if fits else None)

@@ -60,6 +60,10 @@ def islands(
     return filled(opened.drop("_reach"), ["island"], keys=keys, order=start, block_s=block_s)
 
 
+#: Cells of a value axis, see `best_covering`.
+CELLS = 256
+
+
 def best_covering(
     points: DataFrame,
     intervals: DataFrame,
@@ -69,24 +73,31 @@ def best_covering(
     high: str,
     preference: Sequence[Column],
     payload: Sequence[str],
-    cell: float | Column,
+    cells: int = CELLS,
     prefix: str = "",
 ) -> DataFrame:
     """For each point the most preferred interval with `low < value < high`, NULL where there is none.
 
-    The value axis is cut into cells. An interval covers the cells between its ends whole: of those only the best
+    The value axis of each group is cut into `cells` cells that hold about equally many values, points and interval ends together, so
+    cells are narrow where values crowd, whatever their scale. An interval covers the cells between its ends whole: of those only the best
     per cell is kept. In the two cells of its ends it holds above its low or below its high: there the best so far
     in value order answers. Only an interval that lies inside one cell is compared with that cell's points.
     """
-    width = F.lit(cell) if isinstance(cell, float) else cell
     rank = F.struct(*preference).alias("_rank")
     iv = intervals.select(
-        *by, F.col(low).alias("_lo"), F.col(high).alias("_hi"), rank, F.struct(*payload).alias("_best"),
-        F.floor(F.col(low) / width).cast("long").alias("_first"), F.floor(F.col(high) / width).cast("long").alias("_last"),
-    ).where("_lo < _hi")
+        *by, F.col(low).alias("_lo"), F.col(high).alias("_hi"), rank, F.struct(*payload).alias("_best")).where("_lo < _hi")
     # staged, so that the row numbers stay what they are when the rows are read again
-    marked = staged(points.withColumn("_id", F.monotonically_increasing_id()))
-    p = marked.withColumn("_cell", F.floor(F.col(value) / width).cast("long")).withColumn("_v", F.col(value))
+    marked = staged(points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_v", F.col(value)))
+    iv = staged(iv)
+    values = marked.select(*by, "_v").unionByName(iv.select(*by, F.explode(F.array("_lo", "_hi")).alias("_v")))
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    bounds = values.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", shares, 10 * cells)).alias("_bounds"))
+
+    def cell(x: str) -> Column:
+        return F.size(F.filter("_bounds", lambda b: b <= F.col(x))).cast("long")
+
+    iv = iv.join(bounds, list(by)).withColumns({"_first": cell("_lo"), "_last": cell("_hi")}).drop("_bounds")
+    p = marked.join(bounds, list(by), "left").withColumn("_cell", cell("_v")).drop("_bounds")
     choice = F.struct("_rank", "_best")
 
     inner = (

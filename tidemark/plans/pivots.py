@@ -288,11 +288,8 @@ def _largest_timeframe_only(pivots: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def add_master_pivot(pivots: DataFrame, cell: float) -> DataFrame:
-    """The pivot of the largest timeframe, the earliest of them, whose margins hold this pivot's level.
-
-    `cell` is a price step well under a usual distance between the margins.
-    """
+def add_master_pivot(pivots: DataFrame) -> DataFrame:
+    """The pivot of the largest timeframe, the earliest of them, whose margins hold this pivot's level."""
     marked = pivots.withColumns(
         {
             "_low": F.least("internal_margin", "external_margin"),
@@ -304,7 +301,7 @@ def add_master_pivot(pivots: DataFrame, cell: float) -> DataFrame:
     out = best_covering(
         pivots, marked, ["symbol"], "level", "_low", "_high",
         [rank_of("timeframe"), -F.unix_micros(F.col("date").cast("timestamp"))], ["pivot_timeframe", "pivot_date"],
-        cell, prefix="master_",
+        prefix="master_",
     )
     return out
 

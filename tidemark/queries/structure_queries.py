@@ -705,7 +705,7 @@ x AS (SELECT a.id, b.timeframe AS mt, b.date AS md, row_number() OVER (PARTITION
   JOIN tfs t ON t.tf = b.timeframe)
 SELECT c.symbol, c.timeframe, c.date, c.top_type, x.mt AS master_pivot_timeframe, x.md AS master_pivot_date FROM c LEFT JOIN x ON x.id = c.id AND x.k = 1""")
 def master_pivot(spark, sf):
-    out = pv.add_master_pivot(_classic(spark, sf), cell=4.0)
+    out = pv.add_master_pivot(_classic(spark, sf))
     return out.select(*KEY, "top_type", "master_pivot_timeframe", "master_pivot_date")
 
 
