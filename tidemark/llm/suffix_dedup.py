@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,14 @@ from tidemark.llm.hashing import Tables, mixed
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 8 << 20
-#: Bytes hashed at once.
-STEP = 1 << 20
+#: Bytes hashed at once; their hashes stay in the processor's cache.
+STEP = 1 << 16
 #: Occurrences, over all chunks, from which an anchor's strings are dealt one by one.
 HOT = 1 << 16
 #: Bytes of text for each shard of anchor names, and of stretches.
 NAMED, SORTED = 32 << 20, 16 << 20
 #: Bytes of stretches sorted at once; the stretches of one anchor stay together.
-BATCH = 2 << 20
+BATCH = 1 << 19
 LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -113,10 +114,15 @@ def merged_order(text: Hashed, starts: np.ndarray, lengths: np.ndarray, bucket:
     return order
 
 
+@lru_cache(maxsize=2)
+def tables_of(seed: int) -> Tables:
+    return Tables(seed)
+
+
 def suffix_sorted(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): the suffixes in order inside each bucket, and True where one differs from the one before it. Bytes confirm both."""
     for seed in range(17, 1017):
-        text = Hashed(data, Tables(seed))
+        text = Hashed(data, tables_of(seed))
         order = merged_order(text, starts, lengths, bucket)
         x, y = order[:-1], order[1:]
         near = bucket[x] == bucket[y]

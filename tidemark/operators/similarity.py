@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.blocks import running
 from tidemark.session import staged
@@ -14,6 +16,8 @@ from tidemark.session import staged
 BINS, LEAST_SAMPLE = 50, 50
 WEIGHTS = {"js_divergence": 0.4, "cosine_similarity": 0.3, "wasserstein_distance": 0.2, "ks_statistic": 0.1}
 BLOCKS = 256
+#: Values of a block looked at in one go.
+AT_ONCE = 4096
 QUARTILES = (0.25, 0.5, 0.75)
 STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
 
@@ -117,30 +121,59 @@ def _histogram_distances(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     )
 
 
-def _order_distances(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Wasserstein-1 distance and Kolmogorov-Smirnov statistic from the two running value counts."""
-    key = ["feature", "symbol_1", "symbol_2"]
-    sides = []
-    for i, other in ((1, 2), (2, 1)):
-        own = counts.withColumnsRenamed({"symbol": f"symbol_{i}", "c": f"c{i}"})
-        names = pairs.select(*key, "n_1", "n_2")
-        sides.append(names.join(own, ["feature", f"symbol_{i}"]).withColumn(f"c{other}", F.lit(0)))
-    steps = (
-        sides[0].unionByName(sides[1])
-        .groupBy(*key, "x", "n_1", "n_2")
-        .agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    )
-    steps = staged(with_blocks(steps, counts))
-    block = F.col("block")
-    ecdf = staged(running(steps, {"s1": ("sum", "c1"), "s2": ("sum", "c2")}, keys=key, order=("x",), block=block))
-    ecdf = running(ecdf, {"next": ("min", "x")}, keys=key, order=("x",), forward=False, inclusive=False, block=block)
-    gap = F.abs(F.col("s1") / F.col("n_1") - F.col("s2") / F.col("n_2"))
-    return ecdf.groupBy(*key).agg(
-        F.sum(gap * F.coalesce(F.col("next") - F.col("x"), F.lit(0.0))).alias("wasserstein_distance"),
-        F.max(gap).alias("ks_statistic"),
-        F.first("n_1").alias("_n1"),
-        F.first("n_2").alias("_n2"),
-    )
+def _order_distances(stats: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """Wasserstein-1 distance and Kolmogorov-Smirnov statistic of each pair of symbols from running value counts.
+
+    All symbols of a feature meet block by block of values. A symbol comes with its own counts and with how many of its values lie before the
+    block, so nothing is copied per pair; each block gives its part of every pair, and parts add up.
+    """
+    big = stats.where(F.col("n") >= least).select("symbol", "feature", "n")
+    rows = staged(with_blocks(counts.join(big.drop("n"), ["symbol", "feature"], "left_semi"), counts))
+    per_block = rows.groupBy("feature", "block").agg(F.min("x").alias("_first"))
+    after = Window.partitionBy("feature").orderBy("block")
+    blocks = per_block.select("feature", "block", F.lead("_first").over(after).alias("next"))
+    sums = rows.groupBy("symbol", "feature", "block").agg(F.sum("c").alias("_c"))
+    before = Window.partitionBy("symbol", "feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per symbol and block, blocks being at most BLOCKS
+    edges = big.join(blocks, "feature").join(sums, ["symbol", "feature", "block"], "left").select(
+        F.col("symbol").alias("_s"), F.col("feature").alias("_f"), F.col("block").alias("_b"), "n", "next",
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("before"))
+    parts = rows.select("symbol", "feature", "block", "x", "c").groupBy("feature", "block").cogroup(edges.groupBy("_f", "_b")).applyInArrow(
+        _block_distances, "feature string, symbol_1 string, symbol_2 string, w double, k double")
+    return parts.groupBy("feature", "symbol_1", "symbol_2").agg(
+        F.sum("w").alias("wasserstein_distance"), F.max("k").alias("ks_statistic"))
+
+
+def _block_distances(rows: pa.Table, edges: pa.Table) -> pa.Table:
+    """Parts of the distances of all pairs from one block of a feature's values."""
+    order = np.argsort(np.array(edges["_s"].to_pylist(), dtype=object))
+    names = [edges["_s"][int(i)].as_py() for i in order]
+    place = {name: i for i, name in enumerate(names)}
+    n = edges["n"].to_numpy().astype(float)[order]
+    held = edges["before"].to_numpy().astype(float)[order]
+    xs, at = np.unique(rows["x"].to_numpy(), return_inverse=True)
+    own = np.array([place[s] for s in rows["symbol"].to_pylist()], np.int64)
+    c, end = rows["c"].to_numpy().astype(float), edges["next"][0].as_py()
+    steps = np.diff(np.append(xs, xs[-1] if end is None else end)) if len(xs) else np.zeros(0)
+    by_value = np.argsort(at, kind="stable")
+    own, at, c = own[by_value], at[by_value], c[by_value]
+    w, k = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)))
+    for first in range(0, len(xs), AT_ONCE):
+        last = min(len(xs), first + AT_ONCE)
+        some = slice(*np.searchsorted(at, [first, last]))
+        fresh = np.zeros((len(names), last - first))
+        np.add.at(fresh, (own[some], at[some] - first), c[some])
+        upto = held[:, None] + np.cumsum(fresh, axis=1)
+        held, share = upto[:, -1], upto / n[:, None]
+        for i in range(len(names) - 1):
+            gap = np.abs(share[i + 1 :] - share[i])
+            w[i, i + 1 :] += gap @ steps[first:last]
+            k[i, i + 1 :] = np.maximum(k[i, i + 1 :], gap.max(axis=1))
+    a, b = np.triu_indices(len(names), 1)
+    as_text = lambda which: pa.array([names[i] for i in which.tolist()], pa.string())
+    return pa.table({
+        "feature": pa.array([edges["_f"][0].as_py()] * len(a) if len(a) else [], pa.string()), "symbol_1": as_text(a), "symbol_2": as_text(b),
+        "w": w[a, b], "k": k[a, b]})
 
 
 def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
@@ -166,8 +199,8 @@ def compare_symbols(df: DataFrame, features: Sequence[str], least: int = LEAST_S
     stats = staged(describe(counts))
     pairs = staged(symbol_pairs(stats, least))
     key = ["feature", "symbol_1", "symbol_2"]
-    out = pairs.join(_histogram_distances(pairs, histogram(values, stats)), key).join(_order_distances(pairs, counts), key)
-    out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2")))
+    out = pairs.join(_histogram_distances(pairs, histogram(values, stats)), key).join(_order_distances(stats, counts, least), key)
+    out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("n_1"), F.col("n_2")))
     diffs = {f"diff_{s}": F.abs(F.col(f"{s}_1") - F.col(f"{s}_2")) for s in STATS}
     return out.withColumns(diffs).select(
         *key, "js_divergence", "cosine_similarity", "wasserstein_distance", "ks_statistic", "ks_pvalue", *diffs
