@@ -226,3 +226,27 @@ def test_best_covering_of_flat_and_dear_markets(spark):
     for row in rows:
         fits = [(r, -i) for symbol, lo, hi, r, i in spans if symbol == row.symbol and lo < row.v < hi]
         assert row.i == (-max(fits)[1] if fits else None)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("allow_equal", [True, False])
+def test_bar_join_is_the_as_of_join_of_gap_free_bars(spark, series, direction, allow_equal):
+    rng = np.random.default_rng(7)
+    times = sorted([*(float(m) for m in rng.integers(-200, 1800, 80)), *(60.0 * h + s for h in range(0, 30, 3) for s in (0, 1 / 60))])
+    left = spark.createDataFrame([("s", at(m)) for m in times] + [("s", None), ("other", at(5))], "symbol string, date timestamp_ntz")
+    bars = series(tf="1h", close=list(range(24))).withColumn("start", F.col("date"))
+    options = {"direction": direction, "allow_equal": allow_equal}
+    by_bar = asof.bar_join(left, bars, ["start", "close"], "1h", **options).collect()
+    by_time = asof_join(left, bars, ["start", "close"], **options).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(by_bar, key=key) == sorted(by_time, key=key) and len(by_bar) == len(times) + 2
+
+
+def test_gap_runs_over_blocks(spark):
+    from tidemark.operators.validate import gap_runs
+
+    missing = [0, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 16, 31, 32, 47]
+    rows = spark.createDataFrame([(s, b, at(60 * b)) for s in "ab" for b in missing], "symbol string, bar long, date timestamp_ntz")
+    got = sorted((r.symbol, r.start, r.end, r.bars) for r in gap_runs(rows.withColumn("bar", F.col("bar") + 473352), "1h", size=8).collect())
+    want = [(0, 0), (3, 11), (15, 16), (31, 32), (47, 47)]
+    assert got == [(s, at(60 * a), at(60 * b), b - a + 1) for s in "ab" for a, b in want]

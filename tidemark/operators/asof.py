@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.clock import epoch_us, from_epoch_us
+from tidemark.functions.ladder import bar_of
 from tidemark.operators.blocks import BLOCK_S, spread
 
 # Dense look-ups: times per block to aim at, and how finely a block may be cut.
@@ -143,3 +144,24 @@ def asof_join(left: DataFrame, right: DataFrame, payload: Sequence[str], prefix:
     """One-channel form: backward takes the latest right row at or before the left time, forward the first at or
     after it, `allow_equal=False` makes either strict."""
     return asof_channels(left, right, payload, {prefix: None}, **options)
+
+
+def bar_join(
+    left: DataFrame, right: DataFrame, payload: Sequence[str], tf: str, prefix: str = "", by: Sequence[str] = ("symbol",),
+    left_time: str | Column = "date", direction: str = "backward", allow_equal: bool = True,
+) -> DataFrame:
+    """As-of join with gap-free bars of one timeframe: the bar's number says which one it is, so it is an equi join.
+
+    `right` has `bar` and no gap between its first and its last bar of a series; those two, one row a series, keep times beyond them on
+    the last (or first) bar. Any number of left rows may fall into a bar.
+    """
+    time = epoch_us(left_time)
+    just_before = F.timestamp_micros(time - 1).cast("timestamp_ntz")
+    backward = direction == "backward"
+    # backward the last bar that starts by then (strict: before then), forward the one after the last that starts before then (by then)
+    last_by = bar_of(from_epoch_us(time) if allow_equal == backward else just_before, tf)
+    at = F.least(last_by, F.col("_last")) if backward else F.greatest(last_by + 1, F.col("_first"))
+    ends = right.groupBy(*by).agg(F.min("bar").alias("_first"), F.max("bar").alias("_last"))
+    bars = right.select(*by, F.col("bar").alias("_at"), *[F.col(c).alias(prefix + c) for c in payload])
+    placed = left.join(ends, list(by), "left").withColumn("_at", F.when(time.isNotNull(), at))
+    return placed.join(bars, [*by, "_at"], "left").select(*left.columns, *[prefix + c for c in payload])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
 
 from tidemark.functions.ladder import floor_to_bar, start_of_bar
 from tidemark.functions.scalars import drawn
-from tidemark.operators.blocks import BLOCK_BARS, numbered
+from tidemark.operators.blocks import BLOCK_BARS, filled, framed, numbered
 
 CANDLES = T.StructType(
     [
@@ -164,24 +164,21 @@ def excess_rows(df: DataFrame, tf: str) -> DataFrame:
 
 
 def gap_runs(missing: DataFrame, tf: str, size: int = BLOCK_BARS) -> DataFrame:
-    """Runs of missing bars as `(symbol, first, last, bars)`.
+    """Runs of missing bars as `(symbol, start, end, bars)`.
 
-    A run starts where the bar before is not missing. Starts and ends are found separately and paired by their
-    order number, so a long run is never gathered in one place.
+    A run starts where the bar before is not missing and ends where the one after is not: one pass over blocks of bars tells. Only those
+    rows go on, and a run's start is carried forward to its end, so a long run is never gathered in one place.
     """
-    before = missing.select("symbol", (F.col("bar") + 1).alias("bar"))
-    after = missing.select("symbol", (F.col("bar") - 1).alias("bar"))
-    starts = missing.join(before, ["symbol", "bar"], "left_anti").select("symbol", F.col("bar").alias("first"), "date")
-    ends = missing.join(after, ["symbol", "bar"], "left_anti").select("symbol", F.col("bar").alias("last"), "date")
-    pair = (
-        numbered(starts, ("symbol",), name="_n")
-        .drop("date")
-        .join(numbered(ends, ("symbol",), name="_n").drop("date"), ["symbol", "_n"])
-        .drop("_n")
-    )
-    return pair.select(
-        "symbol", start_of_bar("first", tf).alias("start"), start_of_bar("last", tf).alias("end"),
-        (F.col("last") - F.col("first") + 1).alias("bars"),
+    def edges(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        opens = F.coalesce(F.lag("bar").over(w) != F.col("bar") - 1, F.lit(True))
+        closes = F.coalesce(F.lead("bar").over(w) != F.col("bar") + 1, F.lit(True))
+        return rows.withColumns({"first": F.when(opens, F.col("bar")), "_closes": closes})
+
+    flagged = framed(missing.select("symbol", "bar", "date"), edges, before=1, after=1, keys=("symbol",), size=size)
+    runs = filled(flagged.where("first IS NOT NULL OR _closes"), ["first"], keys=("symbol",)).where("_closes")
+    return runs.select(
+        "symbol", start_of_bar("first", tf).alias("start"), start_of_bar("bar", tf).alias("end"),
+        (F.col("bar") - F.col("first") + 1).alias("bars"),
     )
 
 

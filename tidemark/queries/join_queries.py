@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import minutes_between, plus_seconds
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import asof_join, bar_join
 from tidemark.operators.crossing import first_crossing
 from tidemark.operators.smoothing import add_atr
 from tidemark.plans import tops as tp
@@ -24,7 +24,7 @@ FROM events t ASOF LEFT JOIN (SELECT * FROM f WHERE atr IS NOT NULL) f ON t.even
 def asof_backward(spark, sf):
     atr = add_atr(stacked(spark, sf).where("timeframe = '4h'"), 14).where("atr is not null")
     bars = atr.withColumn("bar_date", F.col("date"))
-    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "atr"], block_s=5 * DAYS, dense=True)
+    out = bar_join(ticks(spark, sf).select("seq", "symbol", "date"), staged(bars), ["bar_date", "atr"], "4h")
     return out.select("seq", "symbol", "bar_date", r6("atr").alias("atr"))
 
 
@@ -33,10 +33,7 @@ SELECT t.event_id AS seq, c.date AS bar_date, c.open FROM events t
 ASOF LEFT JOIN c_4h c ON t.event_type = c.symbol AND c.date >= t.ts""")
 def asof_forward(spark, sf):
     bars = candles(spark, sf, "4h").withColumn("bar_date", F.col("date"))
-    out = asof_join(
-        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["bar_date", "open"], direction="forward", block_s=5 * DAYS,
-        dense=True,
-    )
+    out = bar_join(ticks(spark, sf).select("seq", "symbol", "date"), staged(bars), ["bar_date", "open"], "4h", direction="forward")
     return out.select("seq", "bar_date", "open")
 
 
@@ -68,8 +65,8 @@ def source_atr_aligned(spark, sf):
 SELECT t.event_id AS seq, c.date AS matched FROM events t
 ASOF LEFT JOIN c_1h c ON t.event_type = c.symbol AND c.date < t.ts""")
 def nearest_match_left(spark, sf):
-    bars = candles(spark, sf).select("symbol", "date", F.col("date").alias("matched"))
-    out = asof_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], allow_equal=False, dense=True)
+    bars = staged(candles(spark, sf).select("symbol", "bar", F.col("date").alias("matched")))
+    out = bar_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], "1h", allow_equal=False)
     return out.select("seq", "matched")
 
 
@@ -77,11 +74,8 @@ def nearest_match_left(spark, sf):
 SELECT t.event_id AS seq, c.date AS matched FROM events t
 ASOF LEFT JOIN c_1D c ON t.event_type = c.symbol AND c.date > t.ts""")
 def nearest_match_right(spark, sf):
-    bars = candles(spark, sf, "1D").select("symbol", "date", F.col("date").alias("matched"))
-    out = asof_join(
-        ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], direction="forward", allow_equal=False,
-        dense=True,
-    )
+    bars = staged(candles(spark, sf, "1D").select("symbol", "bar", F.col("date").alias("matched")))
+    out = bar_join(ticks(spark, sf).select("seq", "symbol", "date"), bars, ["matched"], "1D", direction="forward", allow_equal=False)
     return out.select("seq", "matched")
 
 
