@@ -15,6 +15,7 @@ from tidemark.operators.indicators import add_classic_indicators
 from tidemark.operators.validate import common_complete_range
 from tidemark.plans.features import add_relative_candle, add_volume_rma
 from tidemark.session import staged
+from tidemark.sources.manifest import cache_gaps
 
 # Columns scaled as prices, those without scale, and the scaling constants.
 PRICES = ["open", "high", "low", "close", "bbands_u", "bbands_m", "bbands_l", "ichi_conv", "ichi_base", "ichi_lead_a",
@@ -215,6 +216,15 @@ def range_for_now(now: Column, weeks: int = 140, ahead_minutes: int = 300) -> tu
     return plus_seconds(now, -weeks * 7 * DAY_S), plus_seconds(now, ahead_minutes * 60)
 
 
+def gaps_for_now(manifest: DataFrame, nows: DataFrame, freq: str = "D", weeks: int = 140, ahead_minutes: int = 300) -> DataFrame:
+    """What a sample at each symbol's `now` lacks: closed windows of the range it needs that nothing stored covers, neighbours
+    merged: `(symbol, start, end, windows)`. `manifest` lists the stored files, `nows` is `(symbol, now)`."""
+    start, end = range_for_now(F.col("now"), weeks, ahead_minutes)
+    asked = nows.select("symbol", start.alias("start"), end.alias("end"))
+    latest = nows.agg(F.max("now")).first()[0]  # one moment: windows that end after it are open
+    return cache_gaps(asked, manifest, freq, F.lit(latest).cast("timestamp_ntz"))
+
+
 def reconstruct_forecast(forecasts: DataFrame, divisor: float = 256.0) -> DataFrame:
     """Highs and lows from forecast steps in deviations.
 

@@ -345,6 +345,18 @@ def range_needed_for_now(spark, sf):
     return ticks(spark, sf).groupBy("symbol").agg(F.max("date").alias("now")).select("symbol", start.alias("start"), end.alias("end"))
 
 
+@query("gaps_for_now", f"""WITH {SQL_MANIFEST},
+nw AS (SELECT event_type AS symbol, max(ts) AS now FROM events GROUP BY 1),
+days AS (SELECT symbol, unnest(generate_series(date_trunc('day', now - INTERVAL 21 DAY), date_trunc('day', now + INTERVAL 300 MINUTE), INTERVAL 1 DAY)) AS ws FROM nw),
+lacking AS (SELECT symbol, ws FROM days w WHERE ws + INTERVAL 1 DAY - INTERVAL 1 MINUTE < (SELECT max(now) FROM nw)
+  AND NOT EXISTS (SELECT 1 FROM m f WHERE f.symbol = w.symbol AND f.start <= w.ws AND f."end" >= w.ws + INTERVAL 1 DAY - INTERVAL 1 MINUTE)),
+runs AS (SELECT *, ws - INTERVAL (row_number() OVER (PARTITION BY symbol ORDER BY ws)) DAY AS i FROM lacking)
+SELECT symbol, min(ws) AS start, max(ws) + INTERVAL 1 DAY - INTERVAL 1 MINUTE AS "end", count(*) AS windows FROM runs GROUP BY symbol, i""")
+def gaps_for_now(spark, sf):
+    nows = ticks(spark, sf).groupBy("symbol").agg(F.max("date").alias("now"))
+    return sp.gaps_for_now(_manifest(spark, sf), nows, weeks=3)
+
+
 @query("forecast_reconstruction", f"""WITH RECURSIVE {sql_candles()},
 b AS (SELECT symbol, date, high, low, high AS mean_high, low AS mean_low, greatest(1.0, high - low) AS std_high, greatest(1.0, high - low) AS std_low, bar FROM c_1h),
 w AS (SELECT symbol, date, 0 AS step, high, low, mean_high, mean_low, std_high, std_low, bar FROM b
