@@ -406,3 +406,12 @@ def test_samples_are_bounded_in_bytes(spark):
     small = take(20, 1 << 20)  # texts over 1 kB are not counted
     assert len(small) == 20 and set(small.grade) == {1}
     assert take(1000, 1 << 15).text.str.len().sum() <= 1 << 15
+
+
+def test_well_packed_archives_are_inflated_in_pieces():
+    import io
+
+    data = bytes(40 << 20)
+    packed = gzip.compress(data) + gzip.compress(b"end")
+    pieces = list(warc.inflated(io.BytesIO(packed)))
+    assert max(map(len, pieces)) <= warc.INFLATED and b"".join(pieces) == data + b"end"

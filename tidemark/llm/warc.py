@@ -33,6 +33,8 @@ from tidemark.llm.common import folder, staged
 #: Bytes of records after which the next archive begins.
 ARCHIVE = 64 << 20
 READ = 1 << 20
+#: Bytes inflated at once.
+INFLATED = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _LEVEL = 5
@@ -128,14 +130,16 @@ def write(rows: DataFrame, to: str) -> DataFrame:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in pieces."""
+    """The bytes of a gzip file of one or more members, in pieces of at most `INFLATED` bytes, however well they were packed."""
     inflate = zlib.decompressobj(wbits=31)
     while raw := source.read(READ):
         while raw:
-            yield inflate.decompress(raw)
-            raw = b""
+            yield inflate.decompress(raw, INFLATED)
+            raw = inflate.unconsumed_tail
             if inflate.eof:
                 raw, inflate = inflate.unused_data, zlib.decompressobj(wbits=31)
+    while piece := inflate.decompress(b"", INFLATED):  # what the last bytes still held back
+        yield piece
 
 
 def records_of(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
