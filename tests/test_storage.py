@@ -8,6 +8,7 @@ from tidemark.functions.clock import plus_seconds
 from tidemark.functions.ladder import bar_of
 from tidemark.functions.scalars import normalized_timeframe
 from tidemark.operators import validate as vd
+from tidemark.queries.storage_queries import calendar_windows
 from tidemark.sources import manifest as mf
 from tidemark.sources import sinks
 from tidemark.sources.readers import raw_to_candles, read_any, read_range
@@ -53,6 +54,32 @@ def test_redundant_and_covering(spark):
     assert found == {1: "01-01", 3: "02-03", 4: None}
 
 
+def test_windows_of_many_ranges_are_looked_up(spark):
+    ends = [(0, 0), (0, 40), (30, 61), (200, 1300), (1300, 200), (59, 59), (5, None), (None, 5)] * 2
+    rows = [(i, *[None if n is None else datetime(2023, 12, 31, 23, 59) + timedelta(days=n) for n in pair]) for i, pair in enumerate(ends)]
+    ranges = spark.createDataFrame([*rows, (None, day(1), day(9))], "id long, start timestamp_ntz, end timestamp_ntz")
+    for freq in ("D", "M"):
+        plain, many = mf.whole_windows(ranges, freq), mf.whole_windows(ranges, freq, many=True)
+        assert many.columns == plain.columns and many.count() == plain.count() > 100
+        assert many.exceptAll(plain).isEmpty() and plain.exceptAll(many).isEmpty()
+    nothing = mf.whole_windows(ranges.where("id < 0"), "M", many=True)
+    assert nothing.isEmpty()
+
+
+def test_calendar_windows_are_shared_out_and_reckoned_once(spark, tmp_path):
+    # one file and one task to read it; the long ranges come last, side by side
+    orders = spark.range(4000).select(
+        F.col("id").alias("o_orderkey"), F.expr("if(id < 3000, 0, id * 24)").alias("o_custkey"),
+        F.lit("2024-01-31 10:00:00").cast("timestamp_ntz").alias("o_orderdate"))
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    out = calendar_windows(spark, str(tmp_path))
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 4 and max(tasks) < 1.5 * sum(tasks) / 4
+    # dates are made in the calendar, not for each window of each order
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "make_date" not in plan[0] and any("make_date" in line for line in plan)
+
+
 def test_partial_coverage_is_an_error(spark):
     rows = spark.createDataFrame([("s", "1h", day(1)), ("s", "4h", day(1)), ("s", "1h", day(2))], "symbol string, timeframe string, date timestamp_ntz")
     windows = rows.select("symbol", bar_of("date", "1D").alias("window")).distinct()
