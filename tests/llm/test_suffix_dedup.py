@@ -9,7 +9,7 @@ from tests.conftest import SF
 from tests.llm.test_llm_queries import key
 from tidemark.llm import suffix_dedup
 from tidemark.llm.hashing import Tables
-from tidemark.llm.suffix_dedup import LAST, Rules, Survey, least_docs, suffix_sorted, without_repeats
+from tidemark.llm.suffix_dedup import LAST, Hashed, Rules, Survey, least_docs, suffix_sorted, without_repeats
 
 
 def plain(rows, length):
@@ -96,6 +96,34 @@ def test_sort_is_right_and_survives_collisions(monkeypatch):
     assert new.tolist() == [True] + [bucket[a] != bucket[b] or suffix(a) != suffix(b) for a, b in zip(order, order[1:], strict=False)]
 
 
+def test_looks_at_a_suffix_do_not_grow_with_its_bucket(monkeypatch):
+    looks, look = [], Hashed.__call__
+    monkeypatch.setattr(Hashed, "__call__", lambda self, starts, lengths: looks.append(len(starts)) or look(self, starts, lengths))
+
+    def per_suffix(n):  # strings round one frequent phrase, all of them in one bucket
+        rng = np.random.default_rng(n)
+        data = rng.integers(97, 123, (n, 60)).astype(np.uint8)
+        data[:, 20:44] = np.frombuffer(b"a phrase of twenty-four.", np.uint8)
+        starts = np.arange(n) * 60 + rng.integers(0, 20, n)
+        looks.clear()
+        order, new = suffix_sorted(data.ravel(), starts, np.full(n, 40), np.zeros(n, np.int64))
+        raw = data.tobytes()
+        suffixes = [raw[starts[i] : starts[i] + 40] for i in order]
+        assert suffixes == sorted(suffixes) and new.sum() == len(set(suffixes))
+        return sum(looks) / n
+
+    few, many = per_suffix(500), per_suffix(16_000)
+    assert many < 2 * few
+
+
+def test_suffixes_that_end_in_the_bytes_that_follow():
+    texts = [b"", b"\0", b"a", b"a\0", b"a\0\0", b"a\0b", b"ab", b"a" * 8, b"a" * 9, b"a" * 7 + b"\0", b"a" * 7, b"\xff" * 9, b"\xff" * 8, b"b"] * 2
+    lengths = np.array([len(t) for t in texts])
+    order, new = suffix_sorted(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths, np.zeros(len(texts), np.int64))
+    assert [texts[i] for i in order] == sorted(texts)
+    assert new.tolist() == [True, False] * 14
+
+
 def test_strings_of_stretches_that_differ():
     text = np.frombuffer(b"xxABCDEyyABCDEyzABCDEy", np.uint8)
     # anchor ABC; stretches xxABCDEy, yyABCDEy, yzABCDEy of strings of 5 bytes

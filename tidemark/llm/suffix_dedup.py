@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,10 @@ HOT = 1 << 16
 NAMED, SORTED = 32 << 20, 16 << 20
 #: Bytes of stretches sorted at once; the stretches of one anchor stay together.
 BATCH = 1 << 19
+#: Times a bucket is cut finer by its next bytes before the mergesort.
+CUTS = 16
+#: The first 0 to 8 bytes of a word.
+FIRST = np.array([(1 << 64) - (1 << (64 - 8 * n)) for n in range(9)], np.uint64)
 LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -58,20 +62,28 @@ class Hashed:
         self.data, self.sums = data, np.zeros(len(data) + 1, np.uint64)
         np.cumsum(tables.values[data] * powers[: len(data)], out=self.sums[1:])
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        """The eight bytes from each place on, as a number that goes by their order; zeros follow the last byte."""
+        return np.ndarray(len(self.data) + 1, ">u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+
     def __call__(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         return (self.sums[starts + lengths] - self.sums[starts]) * self.inverses[starts]
 
     def common(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at `x` and `y` have in common, `most` at most, by binary search."""
-        low = np.where(self(x, most) == self(y, most), most, 0)
-        high = most.copy()
-        seek = np.flatnonzero(low < high)
+        same = most.copy()
+        seek = np.flatnonzero(self(x, most) != self(y, most))
+        x, y, low, high = x[seek], y[seek], np.zeros(len(seek), np.int64), most[seek]
         while len(seek):  # low bytes agree, high bytes do not
-            middle = (low[seek] + high[seek]) // 2
-            agree = self(x[seek], middle) == self(y[seek], middle)
-            low[seek[agree]], high[seek[~agree]] = middle[agree], middle[~agree]
-            seek = seek[high[seek] - low[seek] > 1]
-        return low
+            middle = (low + high) // 2
+            agree = self(x, middle) == self(y, middle)
+            low, high = np.where(agree, middle, low), np.where(agree, high, middle)
+            going = high - low > 1
+            if not going.all():
+                same[seek[~going]] = low[~going]
+                seek, x, y, low, high = seek[going], x[going], y[going], low[going], high[going]
+        return same
 
     def after(self, x: np.ndarray, y: np.ndarray, x_length: np.ndarray, y_length: np.ndarray) -> np.ndarray:
         """1 where the suffix at x is larger than that at y, 0 where equal, -1 where smaller."""
@@ -83,11 +95,56 @@ class Hashed:
         return np.sign(np.where(inside, apart, x_length - y_length))
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """True where a value differs from the one before it."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
+
+
+def alike(text: Hashed, starts: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): suffixes of one bucket and one hash side by side, buckets in order, and True for the first of each."""
+    place = np.cumsum(changes(bucket)).astype(np.uint64)
+    bits = np.uint64(len(place) and int(place[-1]).bit_length())
+    whole = mixed(text(starts, lengths) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = place << (np.uint64(64) - bits) | whole >> bits
+    order = np.argsort(key)
+    return order, changes(key[order])
+
+
+def cut_finer(text: Hashed, starts: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the suffixes by bucket, those of a bucket of several by the bytes that follow what all of it has in common, and so on.
+
+    `new` is True where one is known to differ from the one before it. Up to `CUTS` times; pairs are left to the mergesort.
+    """
+    order, new = np.arange(len(starts)), changes(bucket)
+    for _ in range(CUTS):
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(order)))
+        heads, sizes = heads[sizes > 2], sizes[sizes > 2]
+        if not len(heads):
+            break
+        begin = np.cumsum(sizes) - sizes
+        at = np.repeat(heads - begin, sizes) + np.arange(int(sizes.sum()))
+        item, first = order[at], np.repeat(order[heads], sizes)
+        same = text.common(starts[first], starts[item], np.minimum(lengths[first], lengths[item]))
+        same = np.repeat(np.minimum.reduceat(same, begin), sizes)
+        wide = (61 - len(heads).bit_length()) // 8  # bytes that fit beside the bucket and their number
+        left = np.minimum(lengths[item] - same, wide)
+        word = text.words[starts[item] + same].astype(np.uint64) & FIRST[left]
+        key = np.repeat(np.arange(len(heads)), sizes).astype(np.uint64) << np.uint64(8 * wide + 3)
+        key |= word >> np.uint64(64 - 8 * wide) << np.uint64(3) | left.astype(np.uint64)
+        by = np.argsort(key)
+        order[at] = item[by]
+        new[at] |= changes(key[by])
+    return order, new
+
+
 def merged_order(text: Hashed, starts: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """The suffixes in order inside each bucket (`bucket` ascends): a mergesort, all runs of one width in one pass."""
+    """The suffixes in order inside each bucket (`bucket` ascends): a mergesort of what the next bytes leave together, all runs of one width in one pass."""
     n = len(starts)
-    order = np.arange(n)
-    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else order
+    order, new = cut_finer(text, starts, lengths, bucket)
+    heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, n))
     first, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
     width = 1
@@ -123,13 +180,17 @@ def suffix_sorted(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, buc
     """(order, new): the suffixes in order inside each bucket, and True where one differs from the one before it. Bytes confirm both."""
     for seed in range(17, 1017):
         text = Hashed(data, tables_of(seed))
-        order = merged_order(text, starts, lengths, bucket)
+        order, new = alike(text, starts, lengths, bucket)
+        heads = np.flatnonzero(new)
+        sizes, firsts = np.diff(np.append(heads, len(order))), order[heads]
+        by = merged_order(text, starts[firsts], lengths[firsts], bucket[firsts])
+        order = order[np.repeat(heads[by] - (np.cumsum(sizes[by]) - sizes[by]), sizes[by]) + np.arange(len(order))]
         x, y = order[:-1], order[1:]
         near = bucket[x] == bucket[y]
         x, y = x[near], y[near]
         most = np.minimum(lengths[x], lengths[y])
         same = text.common(starts[x], starts[y], most)
-        if all(confirmed(data, starts[x[at : at + STEP]], starts[y[at : at + STEP]], lengths[x[at : at + STEP]], lengths[y[at : at + STEP]],
+        if all(confirmed(text, starts[x[at : at + STEP]], starts[y[at : at + STEP]], lengths[x[at : at + STEP]], lengths[y[at : at + STEP]],
                          same[at : at + STEP]) for at in range(0, len(x), STEP)):
             new = np.ones(len(order), bool)
             new[1:][near] = (same < most) | (lengths[x] != lengths[y])
@@ -137,14 +198,15 @@ def suffix_sorted(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, buc
     raise RuntimeError("hashes collide for every seed")
 
 
-def confirmed(data: np.ndarray, x: np.ndarray, y: np.ndarray, x_length: np.ndarray, y_length: np.ndarray, same: np.ndarray) -> bool:
+def confirmed(text: Hashed, x: np.ndarray, y: np.ndarray, x_length: np.ndarray, y_length: np.ndarray, same: np.ndarray) -> bool:
     """Whether the suffixes at x and y have just `same` bytes in common and x is not the larger one."""
-    for i in range(int(same.max(initial=0))):
-        on = same > i
-        if not np.array_equal(data[x[on] + i], data[y[on] + i]):
+    on = np.flatnonzero(same > 0)
+    for i in range(0, int(same.max(initial=0)), 8):
+        on = on[same[on] > i]
+        if ((text.words[x[on] + i] ^ text.words[y[on] + i]).astype(np.uint64) & FIRST[np.minimum(same[on] - i, 8)]).any():
             return False
     inside = same < np.minimum(x_length, y_length)
-    return bool((data[(x + same)[inside]] < data[(y + same)[inside]]).all() and (x_length <= y_length)[~inside].all())
+    return bool((text.data[(x + same)[inside]] < text.data[(y + same)[inside]]).all() and (x_length <= y_length)[~inside].all())
 
 
 def least_docs(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, offsets: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
