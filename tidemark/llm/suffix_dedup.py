@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.hashing import Tables, mixed
+from tidemark.llm.hashing import Tables, mixed, raw_texts
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -265,22 +265,21 @@ class Survey:
         length, gram = self.rules.length, self.rules.gram
         data = self.data[begin : begin + STEP + length - 1]
         text = Hashed(data, tables)
-        h = mixed(text(np.arange(len(data) - gram + 1), gram))
+        n = len(data) - gram + 1
+        h = mixed((text.sums[gram:] - text.sums[:n]) * text.inverses[:n])
         least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # the smallest hash, the first of equal ones
         wide, span = 1, length - gram + 1
         while 2 * wide <= span:
             least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
         if wide < span:
             least = np.minimum(least[: len(least) - (span - wide)], least[span - wide :])
-        whole = np.ones(len(least), bool)  # strings that lie in one text
+        at = (least & _PLACE).astype(np.int64)
         for end in self.limits[np.searchsorted(self.limits, begin) : np.searchsorted(self.limits, begin + len(data))].tolist():
-            whole[max(0, end - begin - length + 1) : max(0, end - begin)] = False
-        p = np.flatnonzero(whole)
-        at = (least[p] & _PLACE).astype(np.int64)
-        head = np.ones(len(p), bool)
-        head[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
-        heads = np.flatnonzero(head)
-        return p[heads] + begin, np.diff(np.append(heads, len(p))), at[heads] + begin, h[at[heads]]
+            at[max(0, end - begin - length + 1) : max(0, end - begin)] = -1  # strings that do not lie in one text
+        heads = np.flatnonzero(changes(at))
+        counts, at = np.diff(np.append(heads, len(at))), at[heads]
+        whole = at >= 0
+        return heads[whole] + begin, counts[whole], at[whole] + begin, h[at[whole]]
 
     def shards(self) -> Iterator[tuple[int, slice]]:
         """The shards of anchor names and the places of their names."""
@@ -350,12 +349,19 @@ class Stretches:
             begin[which] = total + np.cumsum(self.counts[which]) - self.counts[which]
             total += size
         bits = np.concatenate(bits) if bits else np.zeros(0, np.uint8)
-        within = np.arange(int(self.count.sum())) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         later = self.order_id > self.least[self.label]  # a smaller document of this very chunk has the whole stretch
-        gone = np.repeat(later, self.count) | bits[np.repeat(begin[self.label], self.count) + within].astype(bool)
-        at = (np.repeat(self.start, self.count) + within)[gone]
-        edges = np.bincount(at, minlength=n + 1) - np.bincount(at + self.length, minlength=n + 1)[: n + 1]
-        return np.cumsum(edges[:n]) > 0
+        ends = np.cumsum(self.count)
+        each, first = np.arange(int(self.count.sum())), ends - self.count
+        gone = np.repeat(later, self.count) | bits[each + np.repeat(begin[self.label] - first, self.count)].astype(bool)
+        starts = np.zeros(n + 1, bool)
+        starts[(each + np.repeat(self.start - first, self.count))[gone]] = True
+        at = np.flatnonzero(starts)
+        apart = np.diff(at) > self.length
+        edges = np.zeros(n + 1, np.int8)
+        if len(at):
+            edges[at[np.append(True, apart)]] = 1
+            edges[at[np.append(apart, True)] + self.length] = -1
+        return np.cumsum(edges[:n], dtype=np.int8).astype(bool)
 
 
 def packed(size: int):
@@ -366,10 +372,12 @@ def packed(size: int):
 
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, limits = raw_texts(batch.column(1))
+            limits = limits.tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), limits[:-1], limits[1:], strict=True):
                 ids.append(doc_id)
-                texts.append((text.as_py() or "").encode())
-                held += len(texts[-1])
+                texts.append(data[a:b].tobytes())
+                held += b - a
                 if held >= size:
                     yield made(number, ids, texts, held)
                     number, ids, texts, held = number + 1, [], [], 0
